@@ -92,6 +92,10 @@ class Distinct:
         if not len(first):
             return np.zeros(0, np.int64)
         hashes, at, inverse = np.unique(ta.span_hash(ta.prefix_hash(codes), first, end), return_index=True, return_inverse=True)
+        return self.of_distinct(text, hashes, first[at], end[at])[inverse]
+
+    def of_distinct(self, text: str, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for distinct spans in the order of their hashes."""
         if len(self.keys) > self.most:
             self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             self.forget()
@@ -103,13 +107,12 @@ class Distinct:
             row = np.full(len(hashes), -1, np.int64)
         new = np.flatnonzero(row < 0)
         if len(new):
-            spans = at[new]
             row[new] = np.arange(len(self.keys), len(self.keys) + len(new))
-            self.store([text[a:b] for a, b in zip(first[spans].tolist(), end[spans].tolist(), strict=True)])
+            self.store([text[a:b] for a, b in zip(first[new].tolist(), end[new].tolist(), strict=True)])
             keys = np.concatenate([self.keys, hashes[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.numbers = keys[order], np.concatenate([self.numbers, row[new]])[order]
-        return row[inverse]
+        return row
 
 
 class Ragged:

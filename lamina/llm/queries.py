@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import common, token_store
+from lamina.llm import bpe_lexicon, common, token_store
 
 
 def _tokenizer(name: str) -> str:
@@ -15,13 +15,17 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_lexicon.digests(common.table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return token_store.read_documents(token_store.write(docs, common.new_folder(spark, "tokens"), _tokenizer("byte_bpe_50k.json")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_store": op10_token_store}
+    return {"op8_bpe_lexicon": op8_bpe_lexicon, "op10_token_store": op10_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
