@@ -361,13 +361,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 def ship_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> str:
     """Compile the ``most`` most frequent words of ``docs`` (ties by word) and ship the file; returns its name."""
     top = [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(most).collect()]
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
+    context = docs.sparkSession.sparkContext
+    folder = os.path.join(os.path.realpath(tempfile.gettempdir()), f"lexicons-{context.applicationId}")
+    os.makedirs(folder, exist_ok=True)
     draft = f"{folder}/draft"
     save_lexicon(draft, top, _merges(tokenizer))
     with open(draft, "rb") as f:
         name = f"lexicon-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}.bin"
     os.replace(draft, f"{folder}/{name}")
-    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    context.addFile(f"{folder}/{name}")
     return name
 
 
