@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe_lexicon, common, quality_rules, token_store, warc
+from lamina.llm import bpe_lexicon, common, quality_qda, quality_rules, token_store, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -20,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(common.table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -36,7 +40,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": op3_quality_rules, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
+    return {"op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
 
 
 OP9_SQL = """
