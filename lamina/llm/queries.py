@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe_lexicon, common, mixing, quality_qda, quality_rules, token_store, warc
+from lamina.llm import bagminhash, bpe_lexicon, common, mixing, quality_qda, quality_rules, token_store, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.assign(common.table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.verdicts(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,7 +48,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
+    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
 
 
 OP9_SQL = """
