@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bagminhash, bpe_lexicon, common, mixing, quality_qda, quality_rules, token_store, warc
+from lamina.llm import bagminhash, bitsliced, bpe_lexicon, common, mixing, quality_qda, quality_rules, token_store, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -32,6 +32,25 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op6_bitsliced_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = bitsliced.quantised(common.table(spark, sf_dir, "embeddings"))
+    return bitsliced.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(common.table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -48,7 +67,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
+    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op6_bitsliced_top5": op6_bitsliced_top5, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
 
 
 OP9_SQL = """
@@ -65,4 +84,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op6_bitsliced_top5": OP6_SQL, "op9_warc": OP9_SQL}
