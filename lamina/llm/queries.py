@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bagminhash, bitsliced, bpe_lexicon, common, mixing, quality_qda, quality_rules, token_store, warc
+from lamina.llm import bagminhash, bitsliced, bpe_lexicon, common, mixing, quality_qda, quality_rules, suffix_dedup, token_store, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op6_bitsliced_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = bitsliced.quantised(common.table(spark, sf_dir, "embeddings"))
     return bitsliced.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
@@ -67,7 +71,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op6_bitsliced_top5": op6_bitsliced_top5, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
+    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_bitsliced_top5": op6_bitsliced_top5, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
 
 
 OP9_SQL = """
