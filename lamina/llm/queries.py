@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bagminhash, bitsliced, bpe_lexicon, common, mixing, quality_qda, quality_rules, suffix_dedup, token_store, warc
+from lamina.llm import bagminhash, bitsliced, bpe_lexicon, common, mixing, pseudo_lm, quality_qda, quality_rules, suffix_dedup, token_store, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -55,6 +55,10 @@ QUALIFY rank <= 5
 """
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.score_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.digests(common.table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -71,7 +75,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_bitsliced_top5": op6_bitsliced_top5, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
+    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_bitsliced_top5": op6_bitsliced_top5, "op7_pseudo_likelihood": op7_pseudo_likelihood, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
 
 
 OP9_SQL = """
