@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm import pretokens
 from lamina.llm import textarray as ta
@@ -377,8 +378,7 @@ def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFr
     """``docs`` without its text and with ``input_ids`` array<int> and ``n_tokens`` long."""
     lexicon = ship_lexicon(docs, tokenizer, most)
     others = [c for c in docs.columns if c not in ("text", "input_ids", "n_tokens")]
-    shape = docs.select("text", *others).schema
-    out = docs.select(*others).schema.add("input_ids", "array<int>").add("n_tokens", "long")
+    out = docs.select(*others).schema.add("input_ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, lexicon)
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFr
                 rest = [batch.column(i)[a:b] for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(np.diff(bounds))], names=out.fieldNames())
 
-    return docs.select(*shape.fieldNames()).mapInArrow(encoded, out)
+    return docs.select("text", *others).mapInArrow(encoded, out)
 
 
 def decode_ids(merges: Merges, ids: list[int]) -> str:
