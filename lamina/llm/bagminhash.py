@@ -9,9 +9,11 @@ Points are made in order of time and a process ends as soon as it is past the la
 so that a shingle of a long document seldom costs more than its first point.
 
 Documents that agree in all ``ROWS`` components of a band share a bucket. Links are verified on whole texts: sum of minima >= 0.8 * sum of maxima.
-Members of a bucket are not paired with each other: first each meets the bucket's first member; components of the verified links are then
-contracted, and only buckets that still hold several components go on, where members outside the largest one become pivots that meet the
-members of other components, more pivots in each round, until no pair of different components in a bucket is untested.
+Members of a bucket are not paired with each other: first each meets the bucket's most central one; components of the verified links are then
+contracted, and only buckets that still hold several components go on. There, members outside the largest component become pivots that meet
+members of other components, more pivots in each round, until no pair of different components in a bucket is left that could be a link. What
+could be is bounded exactly: a shingle that no other open text has is no part of any minimum, so near copies with many edits of
+their own are ruled out by their weights, one by one or as pairs, before anything is compared.
 
 Defined results: equal texts are one class, whatever their ids; a text without words (or null) is a class of its own; a null ``doc_id`` is a member
 like any other, and the class id is the smallest id in the class that is not null; repeated rows get equal classes; an empty table gives no rows;
@@ -34,6 +36,7 @@ from lamina.llm import textarray as ta
 SHINGLE, BANDS, ROWS = 5, 25, 4
 #: Least similarity, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
+_SHINGLE = np.dtype([("hash", "u8"), ("node", "i8"), ("count", "i4")])
 _STEP, _COMPONENT, _LEVEL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -138,8 +141,8 @@ def buckets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return own.mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("bucket"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ``texts`` (node, text) have a weighted Jaccard similarity of at least 0.8."""
+def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``least``, the sum of minima of their ``texts`` (node, text), and ``similar``: whether that is 0.8 of the sum of maxima."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,50 +157,130 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 hashes, counts = hashes[order], counts[order]
                 bounds = np.searchsorted(row, np.arange(len(nodes) + 1))
                 weight = np.bincount(row, counts, len(nodes)).astype(np.int64)
-                good = np.zeros(len(a), bool)
+                sums, good = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
                 for i, (x, y) in enumerate(zip(np.searchsorted(nodes, a).tolist(), np.searchsorted(nodes, b).tolist(), strict=True)):
                     hx, hy = hashes[bounds[x] : bounds[x + 1]], hashes[bounds[y] : bounds[y + 1]]
                     place = np.searchsorted(hx, hy)
                     place[place == len(hx)] = 0
                     both = hx[place] == hy if len(hx) else np.zeros(len(hy), bool)
                     least = int(np.minimum(counts[bounds[x] + place[both]], counts[bounds[y] + np.flatnonzero(both)]).sum())
+                    sums[i] = least
                     good[i] = DENOMINATOR * least >= NUMERATOR * (int(weight[x] + weight[y]) - least) and least > 0
-                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sums), pa.array(good)], names=["a", "b", "least", "similar"])
 
     ta_, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(ta_, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long")
+    return pairs.join(ta_, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long, least long, similar boolean")
+
+
+def shared_weights(texts: DataFrame) -> DataFrame:
+    """(node, w, s): the weight of each text's shingles, and of those that stand in at least one other of ``texts`` as well.
+
+    For any two of the texts, the sum of minima is at most the least s. Shingles go to parts by hash, packed in blobs; a batch that has one
+    twice settles it itself and sends one witness on.
+    """
+    parts = common.shuffle_partitions(texts.sparkSession)
+    names = ["part", "node", "w", "s", "blob"]
+    schema = "part int, node long, w long, s long, blob binary"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ta.bytes_of(batch.column(1))
+            for a, b in ta.groups(offsets, 4 << 20):
+                row, hashes, counts = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                node = batch.column(0)[a:b].to_numpy()
+                order = np.argsort(hashes, kind="stable")
+                row, hashes, counts = row[order], hashes[order], counts[order]
+                same = hashes[1:] == hashes[:-1]
+                twice, head = np.append(same, False) | np.append(False, same), np.append(True, ~same)
+                w = np.bincount(row, counts, b - a).astype(np.int64)
+                s = np.bincount(row[twice], counts[twice], b - a).astype(np.int64)
+                out = [(int(n % parts), int(n), int(x), int(y), None) for n, x, y in zip(node, w, s, strict=True)]
+                sent = np.empty(int(head.sum()), _SHINGLE)
+                sent["hash"], sent["node"], sent["count"] = hashes[head], node[row[head]], np.where(twice[head], 0, counts[head])
+                route = ((sent["hash"] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(route, kind="stable")
+                out += [(int(route[own[0]]), None, None, None, sent[own].tobytes()) for own in np.split(by, np.flatnonzero(np.diff(route[by])) + 1) if len(own)]
+                yield batch_of(out)
+
+    def settle(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, _SHINGLE) for x in table.column("blob").to_pylist() if x is not None]
+        out = [r for r in zip(*(table.column(c).to_pylist() for c in names), strict=True) if r[4] is None]
+        if blobs:
+            rows = np.concatenate(blobs)
+            rows = rows[np.argsort(rows["hash"], kind="stable")]
+            same = rows["hash"][1:] == rows["hash"][:-1]
+            rows = rows[np.append(same, False) | np.append(False, same)]
+            node, at = np.unique(rows["node"], return_inverse=True)
+            out += [(0, n, 0, x, None) for n, x in zip(node.tolist(), np.bincount(at, rows["count"], len(node)).astype(np.int64).tolist(), strict=True)]
+        if not out:
+            return pa.Table.from_batches([], pa.schema([("part", pa.int32()), ("node", pa.int64()), ("w", pa.int64()), ("s", pa.int64()), ("blob", pa.binary())]))
+        return pa.Table.from_batches([batch_of(out)])
+
+    settled = texts.select("node", "text").mapInArrow(send, schema).groupBy("part").applyInArrow(settle, schema)
+    return settled.groupBy("node").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+
+
+def _may_link(minima: Column) -> Column:
+    """Whether a member and a pivot can have ``minima`` as their sum of minima and be similar."""
+    return (DENOMINATOR + NUMERATOR) * minima >= NUMERATOR * (F.col("w") + F.col("pivot_w"))
+
+
+def _central() -> Column:
+    """Orders members: those that share most of their weight are likely nearest to what all others are copies of."""
+    return F.struct((F.col("s") / F.col("w")).alias("part"), *[F.col(c).alias(c) for c in ("node", "label", "w", "s", "inner")])
+
+
+def _as_pivots(chosen: DataFrame) -> DataFrame:
+    return chosen.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "label", "w", "s", "inner")])
 
 
 def _pivots(rows: DataFrame, most: int) -> DataFrame:
-    """Of each bucket with several labels, up to ``most`` members outside its most frequent label: (bucket, pivot, pivot_label)."""
+    """Of each bucket with several labels, up to ``most`` members outside its most frequent label."""
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("top"))
     outside = rows.join(largest, "bucket").filter("label <> top")
-    return outside.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(most)).alias("slot")).agg(F.min(F.struct("node", "label")).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
+    return _as_pivots(outside.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(most)).alias("slot")).agg(F.max(_central()).alias("p")))
+
+
+def _tested(met: DataFrame, texts: DataFrame) -> DataFrame:
+    pairs = met.select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
+    return common.stage(overlaps(pairs, texts), "overlaps")
 
 
 def links(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, label) of the components among the buckets ``shared`` (bucket, node), each with at least two nodes."""
-    heads = shared.groupBy("bucket").agg(F.min("node").alias("b"))
-    star = shared.join(heads, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    found = common.stage(similar(star, texts), "verified")
-    labels = components.components(found)
-    tested, most = heads.select("bucket", F.col("b").alias("node")), 4
-    rows = shared
+    weights = common.stage(shared_weights(texts), "weights")
+    rows = shared.join(weights, "node").withColumn("label", F.col("node")).withColumn("inner", F.lit(None).cast("long"))
+    # at first each bucket has one pivot, its most central member; ``inner``: what a member shares with it
+    pivots = common.stage(_as_pivots(rows.groupBy("bucket").agg(F.max(_central()).alias("p"))), "pivots")
+    met = rows.join(pivots, "bucket").filter("node <> pivot_node")
+    found = _tested(met.filter(_may_link(F.least("s", "pivot_s"))), texts)
+    inner = found.select("a", "b", F.col("least").alias("inner"))
+    with_inner = met.drop("inner").withColumn("a", F.least("node", "pivot_node")).withColumn("b", F.greatest("node", "pivot_node")).join(inner, ["a", "b"], "left")
+    rows = with_inner.select("bucket", "node", "w", "s", "inner")
+    found = found.filter("similar").select("a", "b")
+    labels, most = components.components(found), 2
+    # of a sum of minima one part lies within the first pivot, the other in shingles outside it that others have as well
+    within = F.least("inner", "pivot_inner") + F.least(F.col("s") - F.col("inner"), F.col("pivot_s") - F.col("pivot_inner"))
+    bound = F.least(F.col("s"), F.col("pivot_s"), F.when(F.col("inner").isNotNull() & F.col("pivot_inner").isNotNull(), within))
     while True:
-        # members that met all others of their bucket are done
-        rows = common.stage(rows.join(tested, ["bucket", "node"], "left_anti"), "members")
-        named = rows.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        named = common.stage(named, "named")
-        pivots = common.stage(_pivots(named, most), "pivots")
+        named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+        rows = common.stage(named.join(several, "bucket", "left_semi"), "members")
+        pivots = common.stage(_pivots(rows, most), "pivots")
         if not pivots.limit(1).count():
             return labels
-        meet = named.join(pivots, "bucket").filter("label <> pivot_label").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        more = common.stage(similar(meet, texts), "verified")
+        met = rows.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & _may_link(bound))
+        more = _tested(met, texts).filter("similar").select("a", "b")
         if more.limit(1).count():
             found = found.unionByName(more)
             labels = components.components(found)
-        tested, most = pivots.select("bucket", F.col("pivot").alias("node")), most * 8
+        # pivots have met all others of their buckets
+        rows, most = rows.join(pivots.select("bucket", F.col("pivot_node").alias("node")), ["bucket", "node"], "left_anti").drop("label"), most * 16
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
