@@ -4,7 +4,7 @@ Sorting all suffixes of a corpus in one order would compare strings that differ
 ``LENGTH - GRAM + 1`` grams (strings of ``GRAM`` bytes) in a window of ``LENGTH`` bytes, the one of least hash is its anchor, so equal windows have
 equal anchors at equal offsets, and one anchor serves a whole interval of neighbouring windows.
 
-1. Anchors (28 for 1,000 bytes) are shuffled by gram, packed in blobs. Only grams that stand twice or more go on.
+1. Anchors (about 32 for 1,000 bytes) are shuffled by gram, packed in blobs. Only grams that stand twice or more go on.
 2. Documents with such anchors send for each its context, the bytes of all windows that the anchor serves.
 3. Contexts of a gram are put in order by deep-shallow sorting (``deepshallow``). Equal ones are neighbours: all but the earliest
    are repeats as a whole. If a gram has several different contexts, the suffixes at all windows of each one's earliest place are sorted as well, to
@@ -42,35 +42,65 @@ _LAST = (1 << 63) - 1
 _ANCHOR = [("gram", "u8"), ("doc", "i8"), ("tie", "i8"), ("at", "i8"), ("low", "i2"), ("high", "i2")]
 ANCHOR = np.dtype(_ANCHOR)
 SPAN = np.dtype([("first", "i8"), ("last", "i8")])
+#: Of a gram's hash so many bits go along with its part's number; grams that agree in them are told apart later, by their contexts.
+_GRAM_BITS = 40
+_WITNESS = 255
 _BLOB = "kind int, part int, doc long, tie long, blob binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays field by field, compressed."""
-    parts = []
-    for a in arrays:
-        fields = [np.ascontiguousarray(a[f]) for f in a.dtype.names] if a.dtype.names else [a]
-        parts += [len(a).to_bytes(8, "little"), *(f.tobytes() for f in fields)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpack(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    for kind in kinds:
-        n = int.from_bytes(raw[at : at + 8], "little")
-        at += 8
-        if kind.names:
-            a = np.empty(n, kind)
-            for f in kind.names:
-                a[f] = np.frombuffer(raw, kind[f], n, at)
-                at += n * kind[f].itemsize
-        else:
-            a = np.frombuffer(raw, kind, n, at)
-            at += a.nbytes
-        out.append(a)
+def _deflated(arrays: list[np.ndarray]) -> bytes:
+    parts = [np.array([len(a) for a in arrays], "<i8").tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts + [np.ascontiguousarray(a).tobytes() for a in arrays]))
+
+
+def _inflated(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    raw, out = zstandard.ZstdDecompressor().decompress(blob), []
+    at = 8 * len(kinds)
+    for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
     return out
 
 
+_FIELDS = ("<i8", "<i8", "<i8", "<u4", "u1", "<i8", "u1", "u1", "u1")
+
+
+def pack_anchors(rows: np.ndarray, data: np.ndarray | None = None) -> bytes:
+    """Anchors in the order of documents and places, with bytes that go with them. Documents are named once, places are differences."""
+    doc, tie, at = rows["doc"], rows["tie"], rows["at"]
+    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])))
+    step = np.diff(at, prepend=0)
+    step[head] = at[head]
+    counts = np.diff(np.append(head, len(rows)))
+    return _deflated(
+        [np.diff(doc[head], prepend=0), tie[head], counts, rows["gram"].astype("<u4"), (rows["gram"] >> np.uint64(32)).astype("u1"), step, rows["low"].astype("u1"), rows["high"].astype("u1"), np.zeros(0, "u1") if data is None else data]
+    )
+
+
+def unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    doc, tie, counts, low_gram, high_gram, step, low, high, data = _inflated(blob, _FIELDS)
+    out = np.empty(len(step), ANCHOR)
+    out["doc"], out["tie"] = np.repeat(np.cumsum(doc), counts), np.repeat(tie, counts)
+    out["gram"] = low_gram.astype("u8") | (high_gram.astype("u8") << np.uint64(32))
+    total = np.cumsum(step)
+    first = np.cumsum(counts) - counts
+    out["at"] = total - np.repeat(total[first] - step[first], counts)
+    out["low"], out["high"] = low, high
+    out["low"][low == _WITNESS] = -1
+    return out, data
+
+
+def pack_spans(doc: np.ndarray, tie: np.ndarray, spans: np.ndarray) -> bytes:
+    return _deflated([np.diff(doc, prepend=0), tie, spans["first"], spans["last"] - spans["first"]])
+
+
+def unpack_spans(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, tie, first, length = _inflated(blob, ("<i8",) * 4)
+    spans = np.empty(len(doc), SPAN)
+    spans["first"], spans["last"] = first, first + length
+    return np.cumsum(doc), tie, spans
+
+
 def _order(anchors: np.ndarray, *first: np.ndarray) -> np.ndarray:
     """Sorted by ``first``, then by place in the corpus."""
     return np.lexsort((anchors["at"], anchors["tie"], anchors["doc"], *reversed(first)))
@@ -120,16 +150,37 @@ def _anchors(doc: np.ndarray, tie: np.ndarray, data: np.ndarray, offsets: np.nda
     for a, own, bounds, base in _pieces(data, offsets, length):
         row, place, hashes, low, high = anchors_of(own, bounds, length, gram)
         part = np.empty(len(row), ANCHOR)
-        part["gram"], part["doc"], part["tie"], part["at"], part["low"], part["high"] = hashes, doc[a + row], tie[a + row], place - bounds[row] + base, low, high
+        part["gram"], part["doc"], part["tie"], part["at"], part["low"], part["high"] = hashes >> np.uint64(64 - _GRAM_BITS), doc[a + row], tie[a + row], place - bounds[row] + base, low, high
         out.append(part)
     return np.concatenate(out) if out else np.zeros(0, ANCHOR)
 
 
-def _blobs(kind: int, parts: np.ndarray, rows: np.ndarray) -> list[tuple]:
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    change = np.zeros(len(keys[0]) - 1, bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.flatnonzero(change) + 1
+
+
+def _in_order(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.lexsort((rows["at"], rows["tie"], rows["doc"], first))
+
+
+def _anchor_blobs(kind: int, parts: np.ndarray, rows: np.ndarray) -> list[tuple]:
     """One blob of ``rows`` for each of their ``parts``."""
-    order = np.argsort(parts, kind="stable")
-    cuts = np.flatnonzero(np.diff(parts[order])) + 1
-    return [(kind, int(parts[own[0]]), None, None, _pack(rows[own])) for own in np.split(order, cuts) if len(own)]
+    if not len(rows):
+        return []
+    order = _in_order(rows, parts)
+    return [(kind, int(parts[own[0]]), None, None, pack_anchors(rows[own])) for own in np.split(order, _cuts(parts[order]))]
+
+
+def _span_blobs(doc: np.ndarray, tie: np.ndarray, spans: np.ndarray, parts: int) -> list[tuple]:
+    if not len(doc):
+        return []
+    route = _spread(doc, parts)
+    order = np.lexsort((spans["first"], tie, doc, route))
+    return [(_KNOWN, int(route[own[0]]), None, None, pack_spans(doc[own], tie[own], spans[own])) for own in np.split(order, _cuts(route[order]))]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -139,13 +190,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _route(gram: np.ndarray, parts: int) -> np.ndarray:
-    return ((gram >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    return (gram % np.uint64(parts)).astype(np.int64)
 
 
-def _by_document(doc: np.ndarray, tie: np.ndarray, rows: np.ndarray, kind: int = 1, part: int = 0) -> list[tuple]:
-    order = np.lexsort((tie, doc))
-    cut = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(tie[order]) != 0)) + 1
-    return [(kind, part, int(doc[own[0]]), int(tie[own[0]]), _pack(rows[own])) for own in np.split(order, cut) if len(own)]
+def _spread(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (ta.mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 #: Kinds of rows between the steps: anchors or contexts to be compared, and what is known already, for its document.
@@ -167,29 +216,47 @@ def _send_anchors(parts: int, length: int, gram: int):
             # of grams met twice here, one goes on as a witness; it is marked by a negative ``low``, as it needs no answer
             witness = found[head]
             witness["low"] = np.where(twice[head], -1, witness["low"])
-            yield _batch(_blobs(_OPEN, _route(witness["gram"], parts), witness))
+            rows = _anchor_blobs(_OPEN, _route(witness["gram"], parts), witness)
             known = found[twice]
-            if len(known):
-                spread = (ta.mix(known["doc"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                yield _batch(_blobs(_KNOWN, spread, known))
+            yield _batch(rows + _anchor_blobs(_KNOWN, _spread(known["doc"], parts), known))
 
     return send
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of one part's anchors, those whose gram stands twice, by document."""
-    kind = table.column("kind").to_numpy()
-    blobs = table.column("blob").to_pylist()
-    opened = [_unpack(b, ANCHOR)[0] for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
-    out = [_unpack(b, ANCHOR)[0] for b, k in zip(blobs, kind, strict=True) if k == _KNOWN]
-    if opened:
-        rows = np.concatenate(opened)
-        rows = rows[np.argsort(rows["gram"], kind="stable")]
-        same = rows["gram"][1:] == rows["gram"][:-1]
-        twice = np.append(same, False) | np.append(False, same)
-        out.append(rows[twice & (rows["low"] >= 0)])
-    rows = np.concatenate(out) if out else np.zeros(0, ANCHOR)
-    return pa.Table.from_batches([_batch(_by_document(rows["doc"], rows["tie"], rows))])
+def _repeated(parts: int):
+    """Of one part's anchors, those whose gram stands twice, dealt out by document."""
+
+    def repeated(table: pa.Table) -> pa.Table:
+        kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        part = table.column("part")[0].as_py()
+        out = [(_KNOWN, part, None, None, b) for b, k in zip(blobs, kind, strict=True) if k == _KNOWN]
+        opened = [unpack_anchors(b)[0] for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
+        if opened:
+            rows = np.concatenate(opened)
+            rows = rows[np.argsort(rows["gram"], kind="stable")]
+            same = rows["gram"][1:] == rows["gram"][:-1]
+            twice = np.append(same, False) | np.append(False, same)
+            rows = rows[twice & (rows["low"] >= 0)]
+            out += _anchor_blobs(_KNOWN, _spread(rows["doc"], parts), rows)
+        return pa.Table.from_batches([_batch(out)])
+
+    return repeated
+
+
+def _anchors_per_document(table: pa.Table) -> pa.Table:
+    """One row per document, with all of its anchors."""
+    rows = np.concatenate([unpack_anchors(b)[0] for b in table.column("blob").to_pylist()])
+    rows = rows[_in_order(rows, np.zeros(len(rows)))]
+    out = [(_KNOWN, 0, int(own[0]["doc"]), int(own[0]["tie"]), pack_anchors(own)) for own in np.split(rows, _cuts(rows["doc"], rows["tie"])) if len(own)]
+    return pa.Table.from_batches([_batch(out)])
+
+
+def _spans_per_document(table: pa.Table) -> pa.Table:
+    """One row per document, with the union of its intervals."""
+    doc, tie, spans = (np.concatenate(x) for x in zip(*map(unpack_spans, table.column("blob").to_pylist()), strict=True))
+    order = np.lexsort((spans["first"], tie, doc))
+    out = [(_KNOWN, 0, int(doc[own[0]]), int(tie[own[0]]), united(spans[own]).tobytes()) for own in np.split(order, _cuts(doc[order], tie[order])) if len(own)]
+    return pa.Table.from_batches([_batch(out)])
 
 
 def _padded(pieces: list[np.ndarray]) -> np.ndarray:
@@ -238,43 +305,40 @@ def _send_contexts(parts: int, length: int):
         for batch in batches:
             data, offsets = ta.bytes_of(batch.column(0))
             wanted = batch.column(1)
-            first, rows = 0, []
+            first = 0
             while first < batch.num_rows:
-                anchors, starts, last = [], [], first
-                # contexts of about PIECE bytes and more are compared at once
-                held = 0
+                anchors, starts, last, held = [], [], first, 0
+                # contexts of about 8 * PIECE bytes are compared at once
                 while last < batch.num_rows and held < 8 * PIECE:
-                    for blob in wanted[last].as_py():
-                        own = _unpack(blob, ANCHOR)[0]
-                        anchors.append(own)
-                        starts.append(offsets[last] + own["at"] - own["high"])
-                        held += len(own) * (length + 30)
+                    own = unpack_anchors(wanted[last].as_py())[0]
+                    anchors.append(own)
+                    starts.append(offsets[last] + own["at"] - own["high"])
+                    held += len(own) * (length + 30)
                     last += 1
                 found, begin = np.concatenate(anchors), np.concatenate(starts).astype(np.int64)
                 repeats = _equal_contexts(found, _padded([data]), begin, length)
-                if repeats.any():
-                    rows += _by_document(found["doc"][repeats], found["tie"][repeats], _spans(found[repeats], length), _KNOWN, int(found["doc"][0] % parts))
+                rows = _span_blobs(found["doc"][repeats], found["tie"][repeats], _spans(found[repeats], length), parts)
                 new = np.flatnonzero(~repeats)
                 sizes = (found["high"] - found["low"] + length).astype(np.int64)
                 route = _route(found["gram"][new], parts)
-                order = np.lexsort((found["gram"][new], route))
-                for own in np.split(order, np.flatnonzero(np.diff(route[order])) + 1):
+                order = _in_order(found[new], route)
+                for own in np.split(order, _cuts(route[order])):
                     pick = new[own]
-                    rows.append((_OPEN, int(route[own[0]]), None, None, _pack(found[pick], _gather(data, begin[pick], sizes[pick]))))
+                    rows.append((_OPEN, int(route[own[0]]), None, None, pack_anchors(found[pick], _gather(data, begin[pick], sizes[pick]))))
                 yield _batch(rows)
-                first, rows = last, []
+                first = last
 
     return send
 
 
-def _resolve(length: int):
-    """Repeats among one part's contexts, as intervals by document."""
+def _resolve(parts: int, length: int):
+    """Repeats among one part's contexts, as intervals dealt out by document."""
 
     def resolve(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_pylist()
-        blobs, docs, ties = (table.column(c).to_pylist() for c in ("blob", "doc", "tie"))
-        out = [(_KNOWN, 0, d, t, b) for k, d, t, b in zip(kind, docs, ties, blobs, strict=True) if k == _KNOWN]
-        opened = [_unpack(b, ANCHOR, np.dtype("u1")) for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
+        kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        part = table.column("part")[0].as_py()
+        out = [(_KNOWN, part, None, None, b) for k, b in zip(kind, blobs, strict=True) if k == _KNOWN]
+        opened = [unpack_anchors(b) for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
         if not opened:
             return pa.Table.from_batches([_batch(out)])
         anchors, data = np.concatenate([a for a, _ in opened]), _padded([d for _, d in opened])
@@ -303,15 +367,15 @@ def _resolve(length: int):
             offset = base["high"].astype(np.int64) - step
             order, equal = sort_groups(data, starts[own[each]] + step, np.full(len(each), length), number[first:last][each] * 256 + offset)
             again = _not_earliest(base, order, equal)
-            part = np.empty(int(again.sum()), SPAN)
-            part["first"] = base["at"][again] - offset[again]
-            part["last"] = part["first"] + length
+            cut = np.empty(int(again.sum()), SPAN)
+            cut["first"] = base["at"][again] - offset[again]
+            cut["last"] = cut["first"] + length
             doc.append(base["doc"][again])
             tie.append(base["tie"][again])
-            spans.append(part)
+            spans.append(cut)
             first = last
         doc_, tie_, spans_ = (np.concatenate(x) for x in (doc, tie, spans))
-        return pa.Table.from_batches([_batch(out + (_by_document(doc_, tie_, spans_) if len(doc_) else []))])
+        return pa.Table.from_batches([_batch(out + _span_blobs(doc_, tie_, spans_, parts))])
 
     return resolve
 
@@ -335,20 +399,21 @@ def _keyed(docs: DataFrame, *others) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, *others, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, tie, text, ``others`` and ``spans``: an array of packed interval lists, null where nothing repeats."""
+    """doc, tie, text, ``others`` and ``spans``: the intervals to remove, null where nothing repeats."""
     parts = common.parts_for(docs, PART_BYTES)
     keyed = _keyed(docs, *others)
-    anchors = _keyed(docs).mapInArrow(_send_anchors(parts, length, gram), _BLOB).groupBy("part").applyInArrow(_repeated, _BLOB)
-    wanted = anchors.groupBy("doc", "tie").agg(F.collect_list("blob").alias("wanted"))
+    dealt = _keyed(docs).mapInArrow(_send_anchors(parts, length, gram), _BLOB)
+    repeated = dealt.groupBy("part").applyInArrow(_repeated(parts), _BLOB)
+    wanted = repeated.groupBy("part").applyInArrow(_anchors_per_document, _BLOB).select("doc", "tie", F.col("blob").alias("wanted"))
     # all columns go along, so that this join's shuffle of the texts is the last join's as well
     contexts = keyed.join(wanted, ["doc", "tie"]).select("text", "wanted", *keyed.columns[3:]).mapInArrow(_send_contexts(parts, length), _BLOB)
-    repeats = contexts.groupBy("part").applyInArrow(_resolve(length), _BLOB)
-    per_document = repeats.groupBy("doc", "tie").agg(F.collect_list("blob").alias("spans"))
+    found = contexts.groupBy("part").applyInArrow(_resolve(parts, length), _BLOB)
+    per_document = found.groupBy("part").applyInArrow(_spans_per_document, _BLOB).select("doc", "tie", F.col("blob").alias("spans"))
     return keyed.join(per_document, ["doc", "tie"], "left")
 
 
-def _spans_of(blobs: list[bytes] | None) -> np.ndarray:
-    return united(np.concatenate([_unpack(b, SPAN)[0] for b in blobs])) if blobs else np.zeros(0, SPAN)
+def _spans_of(spans: bytes | None) -> np.ndarray:
+    return np.frombuffer(spans or b"", SPAN)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
