@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm import pretokens
+from lamina.llm import common, pretokens
 from lamina.llm import textarray as ta
 
 LEXICON_WORDS = 32_768
@@ -360,8 +360,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> str:
-    """Compile the ``most`` most frequent words of ``docs`` (ties by word) and ship the file; returns its name."""
-    top = [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(most).collect()]
+    """Compile the most frequent words of ``docs``, at most ``most``, and ship the file; returns its name."""
+    top = [r.word for r in common.most_frequent(common.stage(count_words(docs), "words"), most).collect()]
     context = docs.sparkSession.sparkContext
     folder = os.path.join(os.path.realpath(tempfile.gettempdir()), f"lexicons-{context.applicationId}")
     os.makedirs(folder, exist_ok=True)

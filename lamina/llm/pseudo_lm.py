@@ -93,8 +93,7 @@ class Vocabulary:
 def build_vocabulary(docs: DataFrame) -> Vocabulary:
     """At most ``WORDS`` numbers reach the driver: the frequent words, and how many words each shared id stands for."""
     counts = common.stage(count_words(docs), "counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE)
-    frequent = [(r.word, r.n) for r in top.collect()]
+    frequent = sorted(((r.word, r.n) for r in common.most_frequent(counts, WORDS - RARE).collect()), key=lambda x: (-x[1], x[0]))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.sort(np.array([w for w, _ in frequent], np.int64))
