@@ -11,7 +11,7 @@ so that a shingle of a long document seldom costs more than its first point.
 Documents that agree in all ``ROWS`` components of a band share a bucket. Links are verified on whole texts: sum of minima >= 0.8 * sum of maxima.
 Members of a bucket are not paired with each other: first each meets the bucket's most central one; components of the verified links are then
 contracted, and only buckets that still hold several components go on. There, members outside the largest component become pivots that meet
-members of other components, more pivots in each round, until no pair of different components in a bucket is left that could be a link. What
+members of other components, first some and then all that are left, until no pair of different components in a bucket is left that could be a link. What
 could be is bounded exactly: a shingle that no other open text has is no part of any minimum, so near copies with many edits of
 their own are ruled out by their weights, one by one or as pairs, before anything is compared.
 
@@ -125,8 +125,8 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def buckets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, bucket) of every document with words, as often as its text stands."""
+def signature_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, keys) of every document with words, as often as its text stands; a bucket is a band's key."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +138,7 @@ def buckets(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["node", "keys"])
 
     own = docs.filter(has_words(F.col("text"))).select(node_of(F.col("text")).alias("node"), "text")
-    return own.mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("bucket"))
+    return own.mapInArrow(keys, "node long, keys array<long>")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -172,19 +172,35 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta_, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long, least long, similar boolean")
 
 
+_WEIGHT = np.dtype([("node", "i8"), ("w", "i8"), ("s", "i8")])
+_BLOB = "kind int, part int, blob binary"
+
+
+def _blobs(kind: int, parts: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One packed row for each part."""
+    by = np.argsort(parts, kind="stable")
+    own = [x for x in np.split(by, np.flatnonzero(np.diff(parts[by])) + 1) if len(x)]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(own), pa.int32()), pa.array([int(parts[x[0]]) for x in own], pa.int32()), pa.array([rows[x].tobytes() for x in own], pa.binary())], names=["kind", "part", "blob"])
+
+
+def _weight_rows(node: np.ndarray, w: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """One row per node, sums over equal ones."""
+    nodes, at = np.unique(node, return_inverse=True)
+    out = np.empty(len(nodes), _WEIGHT)
+    out["node"], out["w"], out["s"] = nodes, np.bincount(at, w, len(nodes)), np.bincount(at, s, len(nodes))
+    return out
+
+
 def shared_weights(texts: DataFrame) -> DataFrame:
     """(node, w, s): the weight of each text's shingles, and of those that stand in at least one other of ``texts`` as well.
 
     For any two of the texts, the sum of minima is at most the least s. Shingles go to parts by hash, packed in blobs; a batch that has one
-    twice settles it itself and sends one witness on.
+    twice settles it itself and sends one witness on. What is settled goes to parts by node, packed likewise.
     """
     parts = common.shuffle_partitions(texts.sparkSession)
-    names = ["part", "node", "w", "s", "blob"]
-    schema = "part int, node long, w long, s long, blob binary"
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def by_node(rows: np.ndarray) -> pa.RecordBatch:
+        return _blobs(1, (ta.mix(rows["node"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,32 +212,31 @@ def shared_weights(texts: DataFrame) -> DataFrame:
                 row, hashes, counts = row[order], hashes[order], counts[order]
                 same = hashes[1:] == hashes[:-1]
                 twice, head = np.append(same, False) | np.append(False, same), np.append(True, ~same)
-                w = np.bincount(row, counts, b - a).astype(np.int64)
-                s = np.bincount(row[twice], counts[twice], b - a).astype(np.int64)
-                out = [(int(n % parts), int(n), int(x), int(y), None) for n, x, y in zip(node, w, s, strict=True)]
+                yield by_node(_weight_rows(node, np.bincount(row, counts, b - a), np.bincount(row[twice], counts[twice], b - a)))
                 sent = np.empty(int(head.sum()), _SHINGLE)
                 sent["hash"], sent["node"], sent["count"] = hashes[head], node[row[head]], np.where(twice[head], 0, counts[head])
-                route = ((sent["hash"] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(route, kind="stable")
-                out += [(int(route[own[0]]), None, None, None, sent[own].tobytes()) for own in np.split(by, np.flatnonzero(np.diff(route[by])) + 1) if len(own)]
-                yield batch_of(out)
+                yield _blobs(0, ((sent["hash"] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64), sent)
 
     def settle(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, _SHINGLE) for x in table.column("blob").to_pylist() if x is not None]
-        out = [r for r in zip(*(table.column(c).to_pylist() for c in names), strict=True) if r[4] is None]
-        if blobs:
-            rows = np.concatenate(blobs)
+        kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        out = [b for b, k in zip(blobs, kind, strict=True) if k == 1]
+        result = [pa.RecordBatch.from_arrays([pa.array([1] * len(out), pa.int32()), pa.array([table.column("part")[0].as_py()] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["kind", "part", "blob"])]
+        opened = [np.frombuffer(b, _SHINGLE) for b, k in zip(blobs, kind, strict=True) if k == 0]
+        if opened:
+            rows = np.concatenate(opened)
             rows = rows[np.argsort(rows["hash"], kind="stable")]
             same = rows["hash"][1:] == rows["hash"][:-1]
             rows = rows[np.append(same, False) | np.append(False, same)]
-            node, at = np.unique(rows["node"], return_inverse=True)
-            out += [(0, n, 0, x, None) for n, x in zip(node.tolist(), np.bincount(at, rows["count"], len(node)).astype(np.int64).tolist(), strict=True)]
-        if not out:
-            return pa.Table.from_batches([], pa.schema([("part", pa.int32()), ("node", pa.int64()), ("w", pa.int64()), ("s", pa.int64()), ("blob", pa.binary())]))
-        return pa.Table.from_batches([batch_of(out)])
+            result.append(by_node(_weight_rows(rows["node"], np.zeros(len(rows)), rows["count"])))
+        return pa.Table.from_batches(result)
 
-    settled = texts.select("node", "text").mapInArrow(send, schema).groupBy("part").applyInArrow(settle, schema)
-    return settled.groupBy("node").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    def total(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(b, _WEIGHT) for b in table.column("blob").to_pylist()])
+        rows = _weight_rows(rows["node"], rows["w"], rows["s"])
+        return pa.table({k: np.ascontiguousarray(rows[k]) for k in ("node", "w", "s")})
+
+    settled = texts.select("node", "text").mapInArrow(send, _BLOB).groupBy("part").applyInArrow(settle, _BLOB)
+    return settled.groupBy("part").applyInArrow(total, "node long, w long, s long")
 
 
 def _may_link(minima: Column) -> Column:
@@ -238,21 +253,17 @@ def _as_pivots(chosen: DataFrame) -> DataFrame:
     return chosen.select("bucket", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "label", "w", "s", "inner")])
 
 
-def _pivots(rows: DataFrame, most: int) -> DataFrame:
-    """Of each bucket with several labels, up to ``most`` members outside its most frequent label."""
-    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("top"))
-    outside = rows.join(largest, "bucket").filter("label <> top")
-    return _as_pivots(outside.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(most)).alias("slot")).agg(F.max(_central()).alias("p")))
-
-
 def _tested(met: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = met.select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
     return common.stage(overlaps(pairs, texts), "overlaps")
 
 
+#: Shares of the members outside their bucket's largest component that are pivots in each round, by hash; the last takes all that are left.
+_SHARES = (1 / 16, 1.0)
+
+
 def links(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, label) of the components among the buckets ``shared`` (bucket, node), each with at least two nodes."""
+    """(node, label) of the components among the buckets ``shared`` (bucket, band, keys, node), each with at least two nodes."""
     weights = common.stage(shared_weights(texts), "weights")
     rows = shared.join(weights, "node").withColumn("label", F.col("node")).withColumn("inner", F.lit(None).cast("long"))
     # at first each bucket has one pivot, its most central member; ``inner``: what a member shares with it
@@ -261,35 +272,43 @@ def links(shared: DataFrame, texts: DataFrame) -> DataFrame:
     found = _tested(met.filter(_may_link(F.least("s", "pivot_s"))), texts)
     inner = found.select("a", "b", F.col("least").alias("inner"))
     with_inner = met.drop("inner").withColumn("a", F.least("node", "pivot_node")).withColumn("b", F.greatest("node", "pivot_node")).join(inner, ["a", "b"], "left")
-    rows = with_inner.select("bucket", "node", "w", "s", "inner")
+    rows = with_inner.select("bucket", "band", "keys", "node", "w", "s", "inner")
     found = found.filter("similar").select("a", "b")
-    labels, most = components.components(found), 2
+    labels = components.components(found)
     # of a sum of minima one part lies within the first pivot, the other in shingles outside it that others have as well
     within = F.least("inner", "pivot_inner") + F.least(F.col("s") - F.col("inner"), F.col("pivot_s") - F.col("pivot_inner"))
     bound = F.least(F.col("s"), F.col("pivot_s"), F.when(F.col("inner").isNotNull() & F.col("pivot_inner").isNotNull(), within))
-    while True:
+    # two members that share several buckets meet in the first of them
+    earlier = F.exists(F.zip_with(F.slice("keys", 1, F.col("band")), F.slice("pivot_keys", 1, F.col("band")), lambda x, y: x == y), lambda same: same)
+    for share in _SHARES:
         named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        rows = common.stage(named.join(several, "bucket", "left_semi"), "members")
-        pivots = common.stage(_pivots(rows, most), "pivots")
-        if not pivots.limit(1).count():
-            return labels
-        met = rows.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & _may_link(bound))
+        sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("top"))
+        turn = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20))
+        rows = common.stage(named.join(top, "bucket").withColumn("is_pivot", (F.col("label") != F.col("top")) & turn).drop("top"), "members")
+        pivots = rows.filter("is_pivot").select("bucket", *[F.col(c).alias(f"pivot_{c}") for c in ("node", "label", "w", "s", "inner", "keys")])
+        # of two pivots, one meets the other
+        fresh = ~F.col("is_pivot") | (F.col("node") < F.col("pivot_node"))
+        met = rows.join(pivots, "bucket").filter((F.col("label") != F.col("pivot_label")) & fresh & _may_link(bound) & ~earlier)
         more = _tested(met, texts).filter("similar").select("a", "b")
         if more.limit(1).count():
             found = found.unionByName(more)
             labels = components.components(found)
         # pivots have met all others of their buckets
-        rows, most = rows.join(pivots.select("bucket", F.col("pivot_node").alias("node")), ["bucket", "node"], "left_anti").drop("label"), most * 16
+        rows = rows.filter("NOT is_pivot").drop("label", "is_pivot")
+    return labels
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per distinct text with words: node, ``root`` (the class's node of smallest id), ``root_id`` and ``class_id``."""
     worded = docs.filter(has_words(F.col("text")))
     nodes = common.stage(worded.groupBy(node_of(F.col("text")).alias("node")).agg(F.min("doc_id").alias("first_id")), "nodes")
-    rows_ = common.stage(buckets(docs, bands, rows), "buckets")
+    signed = common.stage(signature_keys(docs, bands, rows), "signatures")
+    rows_ = signed.select("node", F.posexplode("keys").alias("band", "bucket"))
     several = rows_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
-    shared = common.stage(rows_.join(several, "bucket").distinct(), "shared")
+    shared = rows_.join(several, "bucket").distinct()
+    keys = signed.groupBy("node").agg(F.first("keys").alias("keys"))
+    shared = common.stage(shared.join(keys, "node"), "shared")
     wanted = shared.select("node").distinct().join(nodes, "node")
     same = (F.col("t.node") == F.col("w.node")) & F.col("t.doc_id").eqNullSafe(F.col("w.first_id"))
     texts = worded.select(node_of(F.col("text")).alias("node"), "doc_id", "text").alias("t").join(wanted.alias("w"), same, "left_semi").select("node", "text")
