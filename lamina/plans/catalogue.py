@@ -5,6 +5,7 @@ from __future__ import annotations
 from lamina.operators import adjust as A
 from lamina.operators import compose as C
 from lamina.operators import geometry as M
+from lamina.operators import kernels as K
 from lamina.operators import neighbours as N
 from lamina.operators import records as X
 from lamina.operators import select as S
@@ -228,8 +229,31 @@ RECORDS = {
 QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS
 
 
+def _kernel(make) -> object:
+    """A kernel over the grey rasters, which SQL cannot say; rows only."""
+    return lambda spark, sf_dir: K.per_image(V.GREY.frame(spark, sf_dir), make()).selectExpr("image_id", "y", "x", "round(v, 4) AS v")
+
+
+def _hole(plane):
+    """The middle of a raster."""
+    hole = plane < 0
+    hole[2:5, 3:6] = True
+    return hole
+
+
+KERNELS = {
+    "error_diffusion_floyd": _kernel(lambda: K.error_diffusion("Floyd-Steinberg")),
+    "error_diffusion_atkinson": _kernel(lambda: K.error_diffusion("Atkinson", 3)),
+    "heal_membrane": _kernel(lambda: K.membrane(_hole, 60)),
+    "content_fill": _kernel(lambda: K.best_patch(_hole)),
+    "luminance_noise": _kernel(lambda: K.luminance_noise(0.5)),
+    "smudge": _kernel(lambda: K.smudge([(1, 1), (3, 2), (6, 5)], 3, 0.8)),
+    "liquify": _kernel(lambda: K.liquify([(1, 1), (3, 2), (6, 5)], 3, 0.5)),
+}
+
+
 def queries() -> dict:
-    return {name: q.spark for name, q in QUERIES.items()}
+    return {name: q.spark for name, q in QUERIES.items()} | KERNELS
 
 
 def oracle_sql() -> dict[str, str]:
