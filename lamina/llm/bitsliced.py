@@ -10,8 +10,8 @@ out; what is left at the last slice are the rows of the boundary score.
 Quantised scores leave out low bits, so a row's score differs from its quantised one by at most a known bound. All rows whose bounds reach the
 k-th best lower bound are resolved by exact integer inner products; so results are exact whatever the number of slices.
 
-Defined results: rows whose vector or id is null, or that hold a null or non-finite component, or of another length than most dimensions given,
-take no part; a row is not its own candidate, nor is any other row of the same id; ties go to the smaller id and repeated ids are each listed;
+Defined results: rows whose vector or id is null, that are empty or hold a null or non-finite component, take no part;
+vectors meet those of their own length only; a row is not its own candidate, nor is any other row of the same id; ties go to the smaller id and repeated ids are each listed;
 fewer candidates than k give as many rows; an empty table gives none; other columns play no part.
 """
 
@@ -154,7 +154,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and ``v`` array<int> = floor(scale * x) of the rows that take part."""
     v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
     finite = F.forall("embedding", lambda x: F.coalesce((F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x), F.lit(False)))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
 def _packed(vectors: DataFrame, rows: int, blocks: int) -> DataFrame:

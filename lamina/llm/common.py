@@ -47,8 +47,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def parts_for(frame: DataFrame, bytes_each: int) -> int:
-    """At least the session's shuffle partitions, and enough that each gets about ``bytes_each`` of the input files."""
-    return max(shuffle_partitions(frame.sparkSession), -(-min(estimated_bytes(frame), 1 << 60) // bytes_each))
+    """At least the session's shuffle partitions, and enough that each gets about ``bytes_each`` of the input files.
+
+    Where the optimizer has no estimate (its default is then beyond any input), the texts' own bytes are added up.
+    """
+    size = estimated_bytes(frame)
+    if size >= 1 << 50:
+        size = frame.agg(F.sum(F.octet_length(TEXT_COLUMN))).first()[0] or 0
+    return max(shuffle_partitions(frame.sparkSession), -(-size // bytes_each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

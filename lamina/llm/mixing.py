@@ -5,8 +5,8 @@ document is then wanted target / source size times: its whole copies are certain
 stay what they should be. Two documents meet; as many words as make one of them integral move from one to the other, the direction drawn so
 that each keeps its expected copies; the one still fractional meets the next. Documents meet first within buckets of about ``BUCKET``
 (by hash, so that a hot source is spread like any other), then what each bucket has left meets in a reduction tree, ``FAN_IN`` buckets to one,
-until one document per source is left, which is drawn. So a source misses its target by less than one document, and every draw hangs on
-hashes of rows alone: reruns agree, however rows are dealt out.
+until one document per source is left, which goes to the nearer side. So a source misses its target by at most half a document, and every
+draw hangs on hashes of rows alone: reruns agree, however rows are dealt out.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null source is a source, last in order; a source without words has
 target 0; repeated rows are units of their own (equal rows may get unequal copies, but the same ones in every run); null ids are ids; an
@@ -80,7 +80,7 @@ def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def settle(hashes: np.ndarray, sizes: np.ndarray, shares: np.ndarray, last: bool) -> np.ndarray:
-    """Pivotal rounding of one group: 0 or 1 for each unit, and its share for the one left over (none if ``last``).
+    """Pivotal rounding of one group: 0 or 1 for each unit, and its share for the one left over (if ``last``, that is rounded).
 
     Long documents meet first and many short ones after them, in whose small steps the long ones become integral: what is left is short.
     """
@@ -102,8 +102,7 @@ def settle(hashes: np.ndarray, sizes: np.ndarray, shares: np.ndarray, last: bool
             out[i], out[held] = 1.0 if full else b + down / size_b, 0.0 if empty else a - down / size_a
         held = next((x for x in (held, i) if 0 < out[x] < 1), -1)
     if last and held >= 0:
-        draw = float(ta.mix(np.uint64([hashes[held].astype(np.uint64)]) + _SEED)[0] >> np.uint64(11)) / (1 << 53)
-        out[held] = float(draw < out[held])
+        out[held] = float(out[held] >= 0.5)
     return out
 
 
