@@ -41,6 +41,53 @@ def op6_bitsliced_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def _op3_sql() -> str:
+    """The rules in DuckDB, with exact binomial tails as sums over all terms."""
+    q = quality_rules
+    measure = {
+        "symbols_per_word": "n_symbols / CAST(greatest(n_words, 1) AS DOUBLE)",
+        "upper_share": "n_upper / CAST(greatest(word_chars, 1) AS DOUBLE)",
+        "duplicate_lines_share": "n_dup_lines / CAST(n_breaks + 1 AS DOUBLE)",
+        "word_length": "word_chars / CAST(greatest(n_words, 1) AS DOUBLE)",
+    }
+    alpha = f"({q.ALPHA!r} / {len(q.GRIDS)}e0)"
+    cells = " UNION ALL ".join(
+        f"SELECT lang, '{rule}' AS rule, {i} AS step, {cutoff!r}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE {measure[rule]} > {cutoff!r}::DOUBLE) AS k FROM good GROUP BY lang" for rule, grid in q.GRIDS.items() for i, cutoff in enumerate(grid)
+    )
+    rejects = " OR ".join(f"coalesce({m} > (SELECT min(c.cutoff) FROM passed c WHERE c.rule = '{rule}' AND c.lang IS NOT DISTINCT FROM s.lang), false)" for rule, m in measure.items())
+    return f"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times
+  FROM (SELECT doc_id, i, list_slice(words, i, i + 7) AS gram FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM d) e)
+), r AS (
+  SELECT doc_id, sum(least(8, i - before)) AS n_repeat_words FROM (SELECT doc_id, i, lag(i, 1, -7) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE times > 1) t GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) t
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), stats AS (
+  SELECT d.doc_id, d.lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS n_upper, length(text) - length(replace(text, chr(10), '')) AS n_breaks
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+), s AS (
+  SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM stats
+), good AS (
+  SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
+), cells AS ({cells}), tails AS (
+  SELECT *, CASE WHEN k >= n * {alpha} THEN false ELSE
+    list_sum(list_transform(generate_series(0, k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha}))))
+    <= {q.DELTA!r} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM good) x) * {len(q.GRIDS)}e0) END AS proven
+  FROM cells
+), passed AS (
+  SELECT t.lang, t.rule, t.cutoff FROM tails t WHERE t.step < (SELECT coalesce(min(f.step), 1000) FROM tails f WHERE f.rule = t.rule AND f.lang IS NOT DISTINCT FROM t.lang AND NOT f.proven)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept FROM s
+"""
+
+
+OP3_SQL = _op3_sql()
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -92,4 +139,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_bitsliced_top5": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_bitsliced_top5": OP6_SQL, "op9_warc": OP9_SQL}
