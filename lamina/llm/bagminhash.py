@@ -138,7 +138,7 @@ def signature_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["node", "keys"])
 
     own = docs.filter(has_words(F.col("text"))).select(node_of(F.col("text")).alias("node"), "text")
-    return own.mapInArrow(keys, "node long, keys array<long>")
+    return own.mapInArrow(ta.lean(keys), "node long, keys array<long>")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sums), pa.array(good)], names=["a", "b", "least", "similar"])
 
     ta_, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(ta_, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long, least long, similar boolean")
+    return pairs.join(ta_, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(ta.lean(checked), "a long, b long, least long, similar boolean")
 
 
 _WEIGHT = np.dtype([("node", "i8"), ("w", "i8"), ("s", "i8")])
@@ -235,8 +235,8 @@ def shared_weights(texts: DataFrame) -> DataFrame:
         rows = _weight_rows(rows["node"], rows["w"], rows["s"])
         return pa.table({k: np.ascontiguousarray(rows[k]) for k in ("node", "w", "s")})
 
-    settled = texts.select("node", "text").mapInArrow(send, _BLOB).groupBy("part").applyInArrow(settle, _BLOB)
-    return settled.groupBy("part").applyInArrow(total, "node long, w long, s long")
+    settled = texts.select("node", "text").mapInArrow(ta.lean(send), _BLOB).groupBy("part").applyInArrow(ta.lean(settle), _BLOB)
+    return settled.groupBy("part").applyInArrow(ta.lean(total), "node long, w long, s long")
 
 
 def _may_link(minima: Column) -> Column:

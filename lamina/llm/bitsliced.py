@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamina.llm import common
+from lamina.llm import textarray as ta
 
 BLOCK, QUERIES = 32_768, 64
 #: Low bits left out of candidates' components and of the query's in the slices; with none left out, slices are exact already.
@@ -189,7 +190,7 @@ def _packed(vectors: DataFrame, rows: int, blocks: int) -> DataFrame:
         if values:
             yield out()
 
-    packed = vectors.repartition(blocks).mapInArrow(pack, "ids binary, vectors binary, width int")
+    packed = vectors.repartition(blocks).mapInArrow(ta.lean(pack), "ids binary, vectors binary, width int")
     return common.stage(packed.withColumn("number", F.monotonically_increasing_id()), "blocks")
 
 
@@ -229,6 +230,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    every = met.mapInArrow(best, "query_id long, vec_id long, score long")
+    every = met.mapInArrow(ta.lean(best), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -356,7 +356,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if total:
             yield flush()
 
-    return docs.select("text").mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(ta.lean(counts), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> str:
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFr
                 rest = [batch.column(i)[a:b] for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, lists, pa.array(np.diff(bounds))], names=out.fieldNames())
 
-    return docs.select("text", *others).mapInArrow(encoded, out)
+    return docs.select("text", *others).mapInArrow(ta.lean(encoded), out)
 
 
 def decode_ids(merges: Merges, ids: list[int]) -> str:
@@ -405,7 +405,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [decode_ids(merges, ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "input_ids").mapInArrow(decoded, "doc_id long, decoded string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "input_ids").mapInArrow(ta.lean(decoded), "doc_id long, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataFrame:
@@ -427,4 +427,4 @@ def digests(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS) -> DataF
                         out.append(hashlib.sha256(b" ".join([names[j] for j in own])).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(bounds)), pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(digested), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

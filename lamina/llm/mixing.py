@@ -132,7 +132,7 @@ def allocate(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     level = joined.agg(F.max("buckets")).first()[0] or 1
     while True:
         one = level <= 1
-        done = common.stage(rest.groupBy("rank", "bucket").applyInArrow(_round(one), schema), "rounded")
+        done = common.stage(rest.groupBy("rank", "bucket").applyInArrow(ta.lean(_round(one)), schema), "rounded")
         result.append(done.filter("left <= 0 OR left >= 1"))
         if one:
             break

@@ -66,7 +66,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(ta.lean(counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -106,7 +106,7 @@ def build_vocabulary(docs: DataFrame) -> Vocabulary:
             total += np.bincount(slot, n[rare], RARE).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(words), pa.array(total)], names=["slot", "words", "n"])
 
-    shared = counts.mapInArrow(slots, "slot long, words long, n long").groupBy("slot").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()
+    shared = counts.mapInArrow(ta.lean(slots), "slot long, words long, n long").groupBy("slot").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()
     totals = [n for _, n in frequent] + [0] * (WORDS - RARE - len(frequent)) + [0] * RARE
     for r in shared:
         totals[WORDS - RARE + r.slot] = r.n
@@ -233,7 +233,7 @@ def token_ids(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 got = vocabulary(hashes)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([got[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ids, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(ids), "doc_id long, ids binary")
 
 
 _PIECE = 16_384
@@ -275,8 +275,8 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
                 columns = (pa.array(list(pieces), pa.int32()), pa.array([group] * len(pieces), pa.int32()), pa.array([own.flat[i * _PIECE : (i + 1) * _PIECE].tobytes() for i in pieces]), pa.array([float(seen)] * len(pieces)))
                 yield pa.RecordBatch.from_arrays(list(columns), names=["piece", "group", "values", "weight"])
 
-        trained = tokens.select("ids").mapInArrow(local, _PARAMETERS)
-        mean = trained.groupBy("piece", "group").applyInArrow(_added, _PARAMETERS).groupBy("piece").applyInArrow(_added, _PARAMETERS)
+        trained = tokens.select("ids").mapInArrow(ta.lean(local), _PARAMETERS)
+        mean = trained.groupBy("piece", "group").applyInArrow(ta.lean(_added), _PARAMETERS).groupBy("piece").applyInArrow(ta.lean(_added), _PARAMETERS)
         rows = sorted((r.piece, bytes(r["values"])) for r in mean.collect())
         if not rows:
             break
@@ -297,7 +297,7 @@ def score(tokens: DataFrame, net: Network, vocabulary: Vocabulary) -> DataFrame:
                 total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(total)], names=["doc_id", "n_tokens", "pseudo_log_likelihood"])
 
-    out = tokens.mapInArrow(scored, "doc_id long, n_tokens long, pseudo_log_likelihood double")
+    out = tokens.mapInArrow(ta.lean(scored), "doc_id long, n_tokens long, pseudo_log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))
 
 

@@ -94,7 +94,7 @@ def with_features(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * len(FEATURES)), pa.array(values.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(computed, "doc_id long, features array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(computed), "doc_id long, features array<double>")
 
 
 def held_out() -> Column:
@@ -163,7 +163,7 @@ def train(features: DataFrame, labels: DataFrame) -> Discriminant:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), c)), pa.array(np.arange(len(flat))), pa.array(flat)], names=["class", "place", "value"])
 
     sums: dict[int, np.ndarray] = {}
-    for r in rows.mapInArrow(added, "class long, place long, value double").groupBy("class", "place").agg(F.sum("value").alias("value")).collect():
+    for r in rows.mapInArrow(ta.lean(added), "class long, place long, value double").groupBy("class", "place").agg(F.sum("value").alias("value")).collect():
         m = sums.setdefault(r["class"], np.zeros((d + 1, d + 1)))
         i, j = upper[0][r.place], upper[1][r.place]
         m[i, j] = m[j, i] = r.value
@@ -178,7 +178,7 @@ def score(features: DataFrame, model: Discriminant) -> DataFrame:
             x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
 
-    out = features.mapInArrow(scored, "doc_id long, score double")
+    out = features.mapInArrow(ta.lean(scored), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -193,4 +193,6 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float
     known = labels.select("doc_id").distinct()
     cutoffs = common.stage(thresholds(common.stage(stats.join(known, "doc_id", "left_semi"), "statistics"), labels, stratum, alpha, delta), "cutoffs")
     renamed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(stratum))
-    return judge(with_statistics(renamed), cutoffs, stratum).filter("kept").select("_row.*")
+    # a column that is not deterministic keeps the filter above the statistics, which else would be computed for each mention
+    once = with_statistics(renamed).withColumn("_once", F.monotonically_increasing_id())
+    return judge(once, cutoffs, stratum).filter("kept AND _once >= 0").select("_row.*")

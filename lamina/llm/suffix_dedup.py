@@ -402,13 +402,13 @@ def with_spans(docs: DataFrame, *others, length: int = LENGTH, gram: int = GRAM)
     """doc, tie, text, ``others`` and ``spans``: the intervals to remove, null where nothing repeats."""
     parts = common.parts_for(docs, PART_BYTES)
     keyed = _keyed(docs, *others)
-    dealt = _keyed(docs).mapInArrow(_send_anchors(parts, length, gram), _BLOB)
-    repeated = dealt.groupBy("part").applyInArrow(_repeated(parts), _BLOB)
-    wanted = repeated.groupBy("part").applyInArrow(_anchors_per_document, _BLOB).select("doc", "tie", F.col("blob").alias("wanted"))
+    dealt = _keyed(docs).mapInArrow(ta.lean(_send_anchors(parts, length, gram)), _BLOB)
+    repeated = dealt.groupBy("part").applyInArrow(ta.lean(_repeated(parts)), _BLOB)
+    wanted = repeated.groupBy("part").applyInArrow(ta.lean(_anchors_per_document), _BLOB).select("doc", "tie", F.col("blob").alias("wanted"))
     # all columns go along, so that this join's shuffle of the texts is the last join's as well
-    contexts = keyed.join(wanted, ["doc", "tie"]).select("text", "wanted", *keyed.columns[3:]).mapInArrow(_send_contexts(parts, length), _BLOB)
-    found = contexts.groupBy("part").applyInArrow(_resolve(parts, length), _BLOB)
-    per_document = found.groupBy("part").applyInArrow(_spans_per_document, _BLOB).select("doc", "tie", F.col("blob").alias("spans"))
+    contexts = keyed.join(wanted, ["doc", "tie"]).select("text", "wanted", *keyed.columns[3:]).mapInArrow(ta.lean(_send_contexts(parts, length)), _BLOB)
+    found = contexts.groupBy("part").applyInArrow(ta.lean(_resolve(parts, length)), _BLOB)
+    per_document = found.groupBy("part").applyInArrow(ta.lean(_spans_per_document), _BLOB).select("doc", "tie", F.col("blob").alias("spans"))
     return keyed.join(per_document, ["doc", "tie"], "left")
 
 
@@ -436,7 +436,7 @@ def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = with_spans(docs, F.col("doc_id").cast("long").alias("doc_id"), length=length, gram=gram)
-    return found.select("doc_id", "text", "spans").mapInArrow(digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "spans").mapInArrow(ta.lean(digested), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _cut(text: np.ndarray, spans: np.ndarray) -> str:
@@ -464,7 +464,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"], docs["text"].isNull().alias("_null")).alias("_row")
     found = with_spans(docs, row, length=length, gram=gram).select("_row", "text", "spans")
-    texts = found.mapInArrow(cut, found.select("_row", "text").schema)
+    texts = found.mapInArrow(ta.lean(cut), found.select("_row", "text").schema)
     new = F.when(~F.col("_row._null"), F.col("text"))
     columns = {c: F.col(f"_row.`{c}`") for c in docs.columns if c != "text"} | {"text": new}
     if "n_chars" in columns:

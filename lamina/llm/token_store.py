@@ -172,7 +172,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
         .sortWithinPartitions("doc_id", "text")
         .withColumn("shard", F.spark_partition_id())
     )
-    return common.stage(ordered.mapInArrow(shards, MANIFEST), "manifest")
+    return common.stage(ordered.mapInArrow(ta.lean(shards), MANIFEST), "manifest")
 
 
 def starts(manifest: DataFrame) -> DataFrame:
@@ -230,4 +230,4 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     )
 
     spread = starts(manifest).repartition(common.shuffle_partitions(manifest.sparkSession), "shard")
-    return spread.select("shard", "tokens_path", "docs_path", "base").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.select("shard", "tokens_path", "docs_path", "base").mapInArrow(ta.lean(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")

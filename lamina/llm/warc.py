@@ -116,7 +116,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, level: int
         if sink is not None:
             yield closed()
 
-    return common.stage(with_revisits(pages, least).mapInArrow(archives, "path string, size long, records long"), "archives")
+    return common.stage(with_revisits(pages, least).mapInArrow(ta.lean(archives), "path string, size long, records long"), "archives")
 
 
 def splits(manifest: DataFrame, size: int = SPLIT_BYTES) -> DataFrame:
@@ -228,4 +228,4 @@ def read(spark: SparkSession, ranges: DataFrame, payloads: bool = True) -> DataF
             yield out()
 
     count = max(common.shuffle_partitions(spark), 1)
-    return ranges.select("path", "first", "last").repartition(count, "path", "first").mapInArrow(records, RECORD)
+    return ranges.select("path", "first", "last").repartition(count, "path", "first").mapInArrow(ta.lean(records), RECORD)
