@@ -21,7 +21,7 @@ def histogram() -> Text:
 
 def total_histogram() -> Text:
     """(channel, bin, weight) of all images together."""
-    return lambda d: f"SELECT channel, bin, round(sum(weight), 4) AS weight FROM ({histogram()(d)}) h GROUP BY channel, bin"
+    return lambda d: f"SELECT channel, bin, round(sum(weight), 6) AS weight FROM ({histogram()(d)}) h GROUP BY channel, bin"
 
 
 def auto_levels(share: float = 0.001) -> Text:
@@ -51,7 +51,7 @@ def display_scale() -> Text:
     def text(d: Dialect) -> str:
         ranked = f"SELECT *, row_number() OVER (PARTITION BY channel, (bin BETWEEN 1 AND 254) ORDER BY weight) AS n, count(*) OVER (PARTITION BY channel, (bin BETWEEN 1 AND 254)) AS m FROM ({total_histogram()(d)}) h WHERE weight > 0"
         typical = "max(CASE WHEN bin BETWEEN 1 AND 254 AND n = CAST(floor((m - 1) * 0.95e0) AS INT) + 1 THEN weight END)"
-        return f"SELECT channel, round(least(max(weight), coalesce(4e0 * {typical}, max(weight))), 4) AS scale FROM ({ranked}) r GROUP BY channel"
+        return f"SELECT channel, round(least(max(weight), coalesce(4e0 * {typical}, max(weight))), 6) AS scale FROM ({ranked}) r GROUP BY channel"
 
     return text
 
