@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lamina.operators import adjust as A
 from lamina.operators import compose as C
+from lamina.operators import edits as E
 from lamina.operators import geometry as M
 from lamina.operators import kernels as K
 from lamina.operators import neighbours as N
@@ -225,8 +226,23 @@ RECORDS = {
     "heat_histogram": Query(X.heat_histogram(), HEAT),
     "text_runs": Query(X.text_runs(), {"conversations": _table("conversations")}),
 }
+EDITS = {
+    "levels_eyedropper_black": Query(E.levels_eyedropper("black"), RGBA),
+    "levels_eyedropper_white": Query(E.levels_eyedropper("white"), RGBA),
+    "levels_eyedropper_grey": Query(E.levels_eyedropper("grey", 10, 240), RGBA),
+    "hue_band_moved": Query(E.hue_band_moved(), HEAT),
+    "hue_band_weight": Query(E.hue_weights(), HEAT),
+    "saturation_law": Query(E.saturation_law(40), HEAT),
+    "curve_nudge": Query(E.curve_nudged(), HEAT),
+    "segment_tile_cover": Query(E.tile_cover(), HEAT),
+    "largest_halo": Query(E.largest_halo(), LAYERS),
+    "unit_conversion": Query(E.units(), {"part": _table("part")}),
+    "detached_clips": Query(E.detached_clips(), LAYERS),
+    "digit_pairs": Query(E.digit_pairs(), HEAT),
+    "homography": Query(E.homography_columns(), {"quads": QUADS}),
+}
 
-QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS
+QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS | EDITS
 
 
 def _kernel(make) -> object:
