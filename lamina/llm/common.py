@@ -29,9 +29,21 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lamina/{what}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: rows hold whole texts, and a batch stands in memory on both sides of the pipe to Python.
+BATCH_ROWS, _SPARK_DEFAULT = 4_000, 10_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from Spark's default; a count that someone has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == _SPARK_DEFAULT:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stage(frame: DataFrame, what: str) -> DataFrame:
     """Write ``frame`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = frame.sparkSession
+    bounded_batches(spark)
     path = new_folder(spark, what)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
@@ -51,6 +63,7 @@ def parts_for(frame: DataFrame, bytes_each: int) -> int:
 
     Where the optimizer has no estimate (its default is then beyond any input), the texts' own bytes are added up.
     """
+    bounded_batches(frame.sparkSession)
     size = estimated_bytes(frame)
     if size >= 1 << 50:
         size = frame.agg(F.sum(F.octet_length(TEXT_COLUMN))).first()[0] or 0
