@@ -1,8 +1,9 @@
 """Language-model scoring by masked pseudo-likelihood with a bidirectional window network.
 
-Words (runs of other than space and 09 to 0D) are counted over all documents. The most frequent ones have ids of their own, the rest share
-``RARE`` ids by hash; a rare word's probability is its id's, divided by how many words of the corpus share it, so probabilities sum to one over the
-corpus's words. The network sees the ``REACH`` words on either side of a hidden one: each position has its own embedding table, the sum
+Words (runs of other than space and 09 to 0D) are counted over all documents. The most frequent ones have ids of their own, the rest share a
+quarter of the ids by hash. There are as many ids as give each word that occurs ``OWN`` times its own, from ``WORDS`` to ``MOST_WORDS``, which bounds
+the model that each task sends. A sharing word's probability is its id's times its own count's share of the id's, so every word of the corpus counts as
+often as it occurs and probabilities sum to one over the corpus's words; as context, words of one id look alike. The network sees the ``REACH`` words on either side of a hidden one: each position has its own embedding table, the sum
 goes through tanh, and a two-level softmax gives the class and the word within it. Training hides one position in ``HIDDEN_EVERY`` of every
 document, others in each round; each partition runs Adagrad from the common parameters over all of its documents, and the results are averaged
 by tokens in a two-level reduction, so what training gathers grows with the corpus while the model does not. A document's score is the sum,
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 from lamina.llm import common
 from lamina.llm import textarray as ta
 
-CLASSES, MEMBERS, RARE = 32, 64, 512
-WORDS = CLASSES * MEMBERS
+WORDS, MOST_WORDS, OWN = 2048, 8192, 50
 REACH, WIDTH = 2, 32
 HIDDEN_EVERY, ROUNDS, RATE, STEP = 8, 2, 0.15, 4096
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
@@ -69,48 +69,57 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(ta.lean(counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def rare_ids(size: int) -> int:
+    """How many of ``size`` ids are shared."""
+    return size // 4
+
+
 class Vocabulary:
-    """Ids 0 .. WORDS - 1: the frequent words by falling count, then the shared ones."""
+    """Ids 0 .. size - 1: the frequent words by falling count, then the shared ones."""
 
-    def __init__(self, frequent: list[int], shared: dict[int, int], totals: list[int]):
-        self.own = len(frequent)
+    def __init__(self, frequent: list[int], totals: list[int]):
+        self.own, self.size = len(frequent), len(totals)
         order = np.argsort(np.array(frequent, np.int64), kind="stable")
         self.sorted, self.ids = np.array(frequent, np.int64)[order], order
-        self.log_share = np.zeros(WORDS)
-        for slot, n in shared.items():
-            self.log_share[WORDS - RARE + slot] = np.log(max(n, 1))
         self.unigram = np.array(totals, float)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = WORDS - RARE + (ta.mix(hashes.view(np.uint64)) % np.uint64(RARE)).astype(np.int64)
+        #: What a shared id's log probability is lowered by before a word's own log count is added.
+        self.log_total = np.zeros(self.size)
+        shared = slice(self.size - rare_ids(self.size), None)
+        self.log_total[shared] = np.log(np.maximum(self.unigram[shared], 1))
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and which of the words share theirs."""
+        rare = rare_ids(self.size)
+        out = self.size - rare + (ta.mix(hashes.view(np.uint64)) % np.uint64(rare)).astype(np.int64)
+        hit = np.zeros(len(hashes), bool)
         if self.own:
             place = np.minimum(np.searchsorted(self.sorted, hashes), self.own - 1)
             hit = self.sorted[place] == hashes
             out[hit] = self.ids[place[hit]]
-        return out.astype(np.uint16)
+        return out.astype(np.uint16), ~hit
 
 
-def build_vocabulary(docs: DataFrame) -> Vocabulary:
-    """At most ``WORDS`` numbers reach the driver: the frequent words, and how many words each shared id stands for."""
-    counts = common.stage(count_words(docs), "counts")
-    frequent = sorted(((r.word, r.n) for r in common.most_frequent(counts, WORDS - RARE).collect()), key=lambda x: (-x[1], x[0]))
+def build_vocabulary(counts: DataFrame) -> Vocabulary:
+    """At most ``MOST_WORDS`` numbers reach the driver: the frequent words, and how often each shared id's words occur."""
+    often, size = counts.filter(F.col("n") >= OWN).count(), WORDS
+    while size < MOST_WORDS and size - rare_ids(size) < often:
+        size *= 2
+    rare = rare_ids(size)
+    frequent = sorted(((r.word, r.n) for r in common.most_frequent(counts, size - rare).collect()), key=lambda x: (-x[1], x[0]))
+    known = np.sort(np.array([w for w, _ in frequent], np.int64))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.sort(np.array([w for w, _ in frequent], np.int64))
-        words, total = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
+        total = np.zeros(rare, np.int64)
         for batch in batches:
             h, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rare = ~np.isin(h, known)
-            slot = (ta.mix(h[rare].view(np.uint64)) % np.uint64(RARE)).astype(np.int64)
-            words += np.bincount(slot, minlength=RARE)
-            total += np.bincount(slot, n[rare], RARE).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(words), pa.array(total)], names=["slot", "words", "n"])
+            sharing = ~np.isin(h, known)
+            np.add.at(total, (ta.mix(h[sharing].view(np.uint64)) % np.uint64(rare)).astype(np.int64), n[sharing])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rare)), pa.array(total)], names=["slot", "n"])
 
-    shared = counts.mapInArrow(ta.lean(slots), "slot long, words long, n long").groupBy("slot").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).collect()
-    totals = [n for _, n in frequent] + [0] * (WORDS - RARE - len(frequent)) + [0] * RARE
-    for r in shared:
-        totals[WORDS - RARE + r.slot] = r.n
-    return Vocabulary([w for w, _ in frequent], {r.slot: r.words for r in shared}, totals)
+    totals = [n for _, n in frequent] + [0] * (size - len(frequent))
+    for r in counts.mapInArrow(ta.lean(slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        totals[size - rare + r.slot] = r.n
+    return Vocabulary([w for w, _ in frequent], totals)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -118,30 +127,36 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-class Network:
-    """Parameters in one float32 vector, with views of its parts. Id WORDS is padding. A word's class is its id modulo CLASSES."""
+def _shapes(words: int) -> dict[str, tuple[int, ...]]:
+    classes = 1 << (words.bit_length() - 1) // 2
+    members = words // classes
+    return {"context": (len(_OFFSETS), words + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, classes), "class_bias": (classes,), "to_member": (classes, WIDTH, members), "member_bias": (classes, members)}
 
-    shapes = {"context": (len(_OFFSETS), WORDS + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "to_member": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
+
+class Network:
+    """Parameters in one float32 vector, with views of its parts. Id ``words`` is padding. A word's class is its id modulo ``classes``."""
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
-        for name, shape in self.shapes.items():
+        self.words = next(w for w in (WORDS << i for i in range(17)) if self.size(w) >= len(flat))
+        for name, shape in _shapes(self.words).items():
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
+        self.classes, _, self.members = self.to_member.shape
 
     @classmethod
-    def size(cls) -> int:
-        return sum(int(np.prod(s)) for s in cls.shapes.values())
+    def size(cls, words: int = WORDS) -> int:
+        return sum(int(np.prod(s)) for s in _shapes(words).values())
 
     @classmethod
     def start(cls, unigram: np.ndarray, seed: int = 7) -> Network:
         """Small random embeddings; output biases at the words' own frequencies."""
-        net = cls(np.zeros(cls.size(), np.float32))
+        net = cls(np.zeros(cls.size(len(unigram)), np.float32))
         rng = np.random.default_rng(seed)
         net.context[:] = rng.normal(0, 0.1, net.context.shape)
         p = (unigram + 0.5) / (unigram + 0.5).sum()
-        by_class = p.reshape(MEMBERS, CLASSES).T
+        by_class = p.reshape(net.members, net.classes).T
         net.class_bias[:] = np.log(by_class.sum(axis=1))
         net.member_bias[:] = np.log(by_class)
         return net
@@ -159,11 +174,11 @@ class Network:
             own = at[first : first + _CHUNK]
             target = padded[own].astype(np.int64)
             h = self.hidden(padded, own)
-            kind, member = target % CLASSES, target // CLASSES
+            kind, member = target % self.classes, target // self.classes
             got = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(own)), kind].astype(float)
             order = np.argsort(kind, kind="stable")
-            bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
+            bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
+            for c in range(self.classes):
                 rows = order[bounds[c] : bounds[c + 1]]
                 if len(rows):
                     got[rows] += _log_softmax(h[rows] @ self.to_member[c] + self.member_bias[c])[np.arange(len(rows)), member[rows]]
@@ -174,7 +189,7 @@ class Network:
         """One Adagrad step on the words at ``at``; ``squares`` holds the sums of squared gradients."""
         n = len(at)
         target = padded[at].astype(np.int64)
-        kind, member = target % CLASSES, target // CLASSES
+        kind, member = target % self.classes, target // self.classes
         h = self.hidden(padded, at)
         d = np.exp(_log_softmax(h @ self.to_class + self.class_bias))
         d[np.arange(n), kind] -= 1
@@ -183,8 +198,8 @@ class Network:
         self._move(squares, "to_class", ..., h.T @ d, rate)
         self._move(squares, "class_bias", ..., d.sum(axis=0), rate)
         order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for c in range(self.classes):
             rows = order[bounds[c] : bounds[c + 1]]
             if len(rows):
                 own = h[rows]
@@ -208,11 +223,11 @@ class Network:
         getattr(self, name)[where] -= rate * gradient / np.sqrt(total[where] + 1e-10)
 
 
-def _padded(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(ids: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents' ids with REACH paddings before each and at the end; places of the words; and words per document."""
     docs = [np.frombuffer(b or b"", np.uint16) for b in ids]
     n = np.array([len(d) for d in docs], np.int64)
-    gap = np.full(REACH, WORDS, np.uint16)
+    gap = np.full(REACH, words, np.uint16)
     padded = np.concatenate([x for d in docs for x in (gap, d)] + [gap])
     at = np.arange(int(n.sum())) + np.repeat(REACH * np.arange(1, len(docs) + 1), n)
     return padded, at, n
@@ -223,17 +238,81 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
 
 
 def token_ids(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id and ``ids``: the words' ids as 16-bit numbers."""
+    """doc_id, ``ids``: the words' ids as 16-bit numbers, ``rare``: the hashes of those that share an id, and ``row``, a number of the row."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = int(TaskContext.get().partitionId()) << 33
         for batch in batches:
             data, offsets = ta.bytes_of(batch.column(1))
             for a, b in ta.groups(offsets):
                 hashes, bounds = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                got = vocabulary(hashes)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([got[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
+                got, sharing = vocabulary(hashes)
+                rare, to = hashes[sharing], np.append(0, np.cumsum(sharing))[bounds]
+                blobs = [pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x, at in ((got, bounds), (rare, to))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *blobs, pa.array(np.arange(row, row + b - a))], names=["doc_id", "ids", "rare", "row"])
+                row += b - a
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(ids), "doc_id long, ids binary, rare binary, row long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.lean(ids), "doc_id long, ids binary")
+_BLOCK = 8192
+_DEALT = "part int, block long, words binary, at binary"
+
+
+def rare_logs(tokens: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """(row, logs): the sum of the log counts of the row's words that share an id, where it is not zero.
+
+    Words and counts are dealt by hash, packed by part; what goes back is packed by blocks of rows.
+    """
+
+    def packed(words: np.ndarray, block: int, at: np.ndarray) -> pa.RecordBatch:
+        part = (ta.mix(words.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        words, at = words[order], at[order]
+        full = np.flatnonzero(bounds[1:] > bounds[:-1])
+        blobs = [pa.array([x[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()) for x in (words, at)]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), *blobs], names=["part", "block", "words", "at"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = ta.bytes_of(batch.column(0))
+            words, row, n = data.view(np.int64), batch.column(1).to_numpy(), np.diff(offsets) // 8
+            block, at = np.repeat(row // _BLOCK, n), np.repeat(row % _BLOCK, n).astype(np.uint16)
+            for b in np.unique(block):
+                here = block == b
+                yield packed(words[here], b, at[here])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed(batch.column(0).to_numpy(), -1, batch.column(1).to_numpy())
+
+    def looked_up(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_numpy()
+        words, at = table.column("words"), table.column("at")
+        counted = np.flatnonzero(blocks < 0)
+        w, n = (np.concatenate([np.frombuffer(x[int(i)].as_buffer(), np.int64) for i in counted] or [np.zeros(0, np.int64)]) for x in (words, at))
+        order = np.argsort(w)
+        w, logs = w[order], np.log(n[order])
+        out: list[tuple[int, bytes, bytes]] = []
+        for i in np.flatnonzero(blocks >= 0):
+            rows, inverse = np.unique(np.frombuffer(at[int(i)].as_buffer(), np.uint16), return_inverse=True)
+            sums = np.bincount(inverse, logs[np.searchsorted(w, np.frombuffer(words[int(i)].as_buffer(), np.int64))])
+            out.append((int(blocks[i]), rows.tobytes(), sums.tobytes()))
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([x[1] for x in out], pa.binary()), "logs": pa.array([x[2] for x in out], pa.binary())})
+
+    def by_row(table: pa.Table) -> pa.Table:
+        sums = np.zeros(_BLOCK)
+        for at, logs in zip(table.column("at"), table.column("logs"), strict=True):
+            sums[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(logs.as_buffer())
+        rows = np.flatnonzero(sums)
+        return pa.table({"row": pa.array(rows + table.column("block")[0].as_py() * _BLOCK), "logs": pa.array(sums[rows])})
+
+    dealt = tokens.select("rare", "row").mapInArrow(ta.lean(asked), _DEALT).union(counts.mapInArrow(ta.lean(known), _DEALT))
+    logs = dealt.groupBy("part").applyInArrow(ta.lean(looked_up), "block long, at binary, logs binary")
+    return logs.groupBy("block").applyInArrow(ta.lean(by_row), "row long, logs double")
 
 
 _PIECE = 16_384
@@ -249,7 +328,7 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Fit to all of ``tokens``; each round sends the driver one model of ``Network.size()`` numbers."""
+    """Fit to all of ``tokens``; each round sends the driver one model, of ``Network.size(vocabulary.size)`` numbers."""
     net = Network.start(vocabulary.unigram)
     for number in range(rounds):
         flat = net.flat.copy()
@@ -257,12 +336,12 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
         def local(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, number: int = number) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            own, squares, seen = Network(flat.copy()), Network(np.zeros(Network.size(), np.float32)), 0
+            own, squares, seen = Network(flat.copy()), Network(np.zeros(len(flat), np.float32)), 0
             rest: list[bytes] = []
             for batch in batches:
                 for a, b in _slices(batch, 0):
                     rest = batch.column(0)[a:b].to_pylist()
-                    padded, at, n = _padded(rest)
+                    padded, at, n = _padded(rest, own.words)
                     place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
                     # which places are hidden hangs on the document's length and the place alone
                     hidden = at[ta.mix((place + np.repeat(n, n) * 1_000_003).astype(np.uint64)) % np.uint64(HIDDEN_EVERY) == np.uint64(number % HIDDEN_EVERY)]
@@ -271,7 +350,7 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
                     seen += len(hidden)
             if seen:
                 group = int(TaskContext.get().partitionId()) % 64
-                pieces = range(-(-Network.size() // _PIECE))
+                pieces = range(-(-len(flat) // _PIECE))
                 columns = (pa.array(list(pieces), pa.int32()), pa.array([group] * len(pieces), pa.int32()), pa.array([own.flat[i * _PIECE : (i + 1) * _PIECE].tobytes() for i in pieces]), pa.array([float(seen)] * len(pieces)))
                 yield pa.RecordBatch.from_arrays(list(columns), names=["piece", "group", "values", "weight"])
 
@@ -284,25 +363,28 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
     return net
 
 
-def score(tokens: DataFrame, net: Network, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, pseudo_log_likelihood (a sum), mean_log_likelihood."""
-    flat, shares = net.flat, vocabulary.log_share
+def score(tokens: DataFrame, net: Network, vocabulary: Vocabulary, logs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, pseudo_log_likelihood (a sum), mean_log_likelihood; ``logs`` is what ``rare_logs`` returns."""
+    flat, totals = net.flat, vocabulary.log_total
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(flat)
         for batch in batches:
             for a, b in _slices(batch, 1):
-                padded, at, n = _padded(batch.column(1)[a:b].to_pylist())
-                logs = own.log_probabilities(padded, at) - shares[padded[at]]
-                total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(total)], names=["doc_id", "n_tokens", "pseudo_log_likelihood"])
+                padded, at, n = _padded(batch.column(1)[a:b].to_pylist(), own.words)
+                log_p = own.log_probabilities(padded, at) - totals[padded[at]]
+                total = np.bincount(np.repeat(np.arange(len(n)), n), log_p, len(n))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(total), batch.column(2)[a:b]], names=["doc_id", "n_tokens", "network", "row"])
 
-    out = tokens.mapInArrow(ta.lean(scored), "doc_id long, n_tokens long, pseudo_log_likelihood double")
+    out = tokens.select("doc_id", "ids", "row").mapInArrow(ta.lean(scored), "doc_id long, n_tokens long, network double, row long").join(logs, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("network") + F.coalesce("logs", F.lit(0.0))).alias("pseudo_log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Count, train and score over all of ``docs``."""
-    vocabulary = build_vocabulary(docs)
+    counts = common.stage(count_words(docs), "counts")
+    vocabulary = build_vocabulary(counts)
     tokens = common.stage(token_ids(docs, vocabulary), "tokens")
-    return score(tokens, train(tokens, vocabulary), vocabulary)
+    logs = rare_logs(tokens, counts, common.parts_for(docs, 16 << 20))
+    return score(tokens, train(tokens, vocabulary), vocabulary, logs)
