@@ -4,8 +4,8 @@ Words (runs of other than space and 09 to 0D) are counted over all documents. Th
 quarter of the ids by hash. There are as many ids as give each word that occurs ``OWN`` times its own, from ``WORDS`` to ``MOST_WORDS``, which bounds
 the model that each task sends. A sharing word's probability is its id's times its own count's share of the id's, so every word of the corpus counts as
 often as it occurs and probabilities sum to one over the corpus's words; as context, words of one id look alike. The network sees the ``REACH`` words on either side of a hidden one: each position has its own embedding table, the sum
-goes through tanh, and a two-level softmax gives the class and the word within it. Training hides one position in ``HIDDEN_EVERY`` of every
-document, others in each round; each partition runs Adagrad from the common parameters over all of its documents, and the results are averaged
+goes through tanh, and a two-level softmax gives the class and the word within it. Training hides every position of every
+document in one of its rounds; each partition runs Adagrad from the common parameters over all of its documents, and the results are averaged
 by tokens in a two-level reduction, so what training gathers grows with the corpus while the model does not. A document's score is the sum,
 over all its words, of the log probability of the word given both sides.
 
@@ -16,6 +16,7 @@ part. Texts of any length are scored whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from lamina.llm import textarray as ta
 
 WORDS, MOST_WORDS, OWN = 2048, 8192, 50
 REACH, WIDTH = 2, 32
-HIDDEN_EVERY, ROUNDS, RATE, STEP = 8, 2, 0.15, 4096
+ROUNDS, RATE, STEP = 2, 0.15, 4096
+#: Words of a document that are hidden in the same round.
+_RUN = 256
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 _CHUNK = 8192
 _HELD = 400_000
@@ -122,9 +125,32 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in frequent], totals)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_of(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Each row's log softmax at its ``which``; ``x`` is used up."""
+    x -= x.max(axis=1, keepdims=True)
+    got = x[np.arange(len(x)), which]
+    return got - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _softmax_error(x: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of -log softmax at ``which`` over ``n``, in place of ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= 1 / (x.sum(axis=1, keepdims=True) * np.float32(n))
+    x[np.arange(len(x)), which] -= np.float32(1 / n)
+    return x
+
+
+def _segment_sums(x: np.ndarray, by: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The sums of the rows x[by[head[i]]] .. up to the next head: short segments row by row over all at once, long ones each in one sum."""
+    n = np.diff(np.append(head, len(by)))
+    sums, short = x[by[head]], np.flatnonzero((n > 1) & (n <= 8))
+    for k in range(1, 8):
+        short = short[n[short] > k]
+        sums[short] += x[by[head[short] + k]]
+    for i in np.flatnonzero(n > 8):
+        sums[i] = x[by[head[i] : head[i] + n[i]]].sum(axis=0)
+    return sums
 
 
 def _shapes(words: int) -> dict[str, tuple[int, ...]]:
@@ -167,60 +193,69 @@ class Network:
             z += self.context[j][padded[at + o]]
         return np.tanh(z, out=z)
 
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order that sorts words by class, their members in it, and where each class begins."""
+        kind = (target % self.classes).astype(np.uint16)
+        order = np.argsort(kind, kind="stable")
+        return order, (target // self.classes)[order], np.searchsorted(kind[order], np.arange(self.classes + 1))
+
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each of ``at``, given those around it."""
         out = np.empty(len(at))
         for first in range(0, len(at), _CHUNK):
             own = at[first : first + _CHUNK]
             target = padded[own].astype(np.int64)
-            h = self.hidden(padded, own)
-            kind, member = target % self.classes, target // self.classes
-            got = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(own)), kind].astype(float)
-            order = np.argsort(kind, kind="stable")
-            bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
+            order, member, bounds = self._by_class(target)
+            h = self.hidden(padded, own)[order]
+            got = _log_of(h @ self.to_class + self.class_bias, target[order] % self.classes).astype(float)
             for c in range(self.classes):
-                rows = order[bounds[c] : bounds[c + 1]]
-                if len(rows):
-                    got[rows] += _log_softmax(h[rows] @ self.to_member[c] + self.member_bias[c])[np.arange(len(rows)), member[rows]]
-            out[first : first + _CHUNK] = got
+                rows = slice(bounds[c], bounds[c + 1])
+                if bounds[c + 1] > bounds[c]:
+                    got[rows] += _log_of(h[rows] @ self.to_member[c] + self.member_bias[c], member[rows])
+            out[first + order] = got
         return out
 
     def step(self, squares: Network, padded: np.ndarray, at: np.ndarray, rate: float) -> None:
-        """One Adagrad step on the words at ``at``; ``squares`` holds the sums of squared gradients."""
+        """One Adagrad step on the words at ``at``, which rises; ``squares`` holds the sums of squared gradients."""
         n = len(at)
         target = padded[at].astype(np.int64)
-        kind, member = target % self.classes, target // self.classes
-        h = self.hidden(padded, at)
-        d = np.exp(_log_softmax(h @ self.to_class + self.class_bias))
-        d[np.arange(n), kind] -= 1
-        d /= n
+        order, member, bounds = self._by_class(target)
+        h = self.hidden(padded, at)[order]
+        d = _softmax_error(h @ self.to_class + self.class_bias, target[order] % self.classes, n)
         dh = d @ self.to_class.T
         self._move(squares, "to_class", ..., h.T @ d, rate)
         self._move(squares, "class_bias", ..., d.sum(axis=0), rate)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(self.classes + 1))
         for c in range(self.classes):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                own = h[rows]
-                e = np.exp(_log_softmax(own @ self.to_member[c] + self.member_bias[c]))
-                e[np.arange(len(rows)), member[rows]] -= 1
-                e /= n
+            rows = slice(bounds[c], bounds[c + 1])
+            if bounds[c + 1] > bounds[c]:
+                e = _softmax_error(h[rows] @ self.to_member[c] + self.member_bias[c], member[rows], n)
                 dh[rows] += e @ self.to_member[c].T
-                self._move(squares, "to_member", c, own.T @ e, rate)
+                self._move(squares, "to_member", c, h[rows].T @ e, rate)
                 self._move(squares, "member_bias", c, e.sum(axis=0), rate)
-        dz = (dh * (1 - h * h)).astype(np.float32)
-        self._move(squares, "bias", ..., dz.sum(axis=0), rate)
+        dh *= 1 - h * h
+        self._move(squares, "bias", ..., dh.sum(axis=0), rate)
+        # a word seen at place p took part in the words at p - REACH .. p + REACH: one row of ``around``
+        low, high = int(at[0]) - REACH, int(at[-1]) + REACH + 1
+        dz = np.zeros((high - low + 2 * REACH, WIDTH), np.float32)
+        dz[at[order] - low + REACH] = dh
+        around = np.lib.stride_tricks.as_strided(dz, (high - low, (2 * REACH + 1) * WIDTH), dz.strides, writeable=False)
+        seen = padded[low:high]
+        by = np.argsort(seen, kind="stable")
+        words = seen[by]
+        head = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        sums = _segment_sums(around, by, head)
         for j, o in enumerate(_OFFSETS):
-            seen = padded[at + o].astype(np.int64)
-            by = np.argsort(seen, kind="stable")
-            head = np.flatnonzero(np.append(True, seen[by][1:] != seen[by][:-1]))
-            self._move(squares, "context", (j, seen[by[head]]), np.add.reduceat(dz[by], head, axis=0), rate)
+            self._move(squares, "context", (j, words[head]), sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH], rate)
 
     def _move(self, squares: Network, name: str, where, gradient: np.ndarray, rate: float) -> None:
-        total = getattr(squares, name)
-        total[where] += gradient * gradient
-        getattr(self, name)[where] -= rate * gradient / np.sqrt(total[where] + 1e-10)
+        total, change = getattr(squares, name), gradient * gradient
+        change += total[where]
+        total[where] = change
+        change += np.float32(1e-10)
+        np.sqrt(change, out=change)
+        np.divide(gradient, change, out=change)
+        change *= np.float32(rate)
+        getattr(self, name)[where] -= change
 
 
 def _padded(ids: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,6 +350,23 @@ def rare_logs(tokens: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     return logs.groupBy("block").applyInArrow(ta.lean(by_row), "row long, logs double")
 
 
+def _hidden(ids: list[bytes], number: int, rounds: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """What round ``number`` trains on: the runs of words that it hides with the ``REACH`` words around them, and the hidden words' places therein.
+
+    Runs of ``_RUN`` words take turns; which comes first hangs on the document's words. Over all ``rounds`` each word is hidden once.
+    """
+    padded, at, n = _padded(ids, words)
+    begin = np.cumsum(n) - n
+    turn = np.repeat(np.array([zlib.crc32(b or b"") for b in ids], np.int64), n) + (np.arange(len(at)) - np.repeat(begin, n)) // _RUN
+    hidden = np.zeros(len(padded), bool)
+    hidden[at[turn % rounds == number % rounds]] = True
+    near = hidden.copy()
+    for o in range(1, REACH + 1):
+        near[o:] |= hidden[:-o]
+        near[:-o] |= hidden[o:]
+    return padded[near], np.flatnonzero(hidden[near])
+
+
 _PIECE = 16_384
 _PARAMETERS = "piece int, group int, values binary, weight double"
 
@@ -337,14 +389,9 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
             from pyspark import TaskContext
 
             own, squares, seen = Network(flat.copy()), Network(np.zeros(len(flat), np.float32)), 0
-            rest: list[bytes] = []
             for batch in batches:
                 for a, b in _slices(batch, 0):
-                    rest = batch.column(0)[a:b].to_pylist()
-                    padded, at, n = _padded(rest, own.words)
-                    place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                    # which places are hidden hangs on the document's length and the place alone
-                    hidden = at[ta.mix((place + np.repeat(n, n) * 1_000_003).astype(np.uint64)) % np.uint64(HIDDEN_EVERY) == np.uint64(number % HIDDEN_EVERY)]
+                    padded, hidden = _hidden(batch.column(0)[a:b].to_pylist(), number, rounds, own.words)
                     for first in range(0, len(hidden), STEP):
                         own.step(squares, padded, hidden[first : first + STEP], RATE)
                     seen += len(hidden)
@@ -358,7 +405,7 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
         mean = trained.groupBy("piece", "group").applyInArrow(ta.lean(_added), _PARAMETERS).groupBy("piece").applyInArrow(ta.lean(_added), _PARAMETERS)
         rows = sorted((r.piece, bytes(r["values"])) for r in mean.collect())
         if not rows:
-            break
+            continue
         net = Network(np.frombuffer(b"".join(v for _, v in rows), np.float32).copy())
     return net
 

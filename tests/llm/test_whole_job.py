@@ -44,3 +44,25 @@ def test_words_that_share_an_id_count_as_often_as_they_occur(spark, monkeypatch)
 def test_ids_grow_with_the_corpus(spark):
     few, many = (spark.range(k).selectExpr("id AS word", "60L AS n") for k in (100, 5000))
     assert pseudo_lm.build_vocabulary(few).size == pseudo_lm.WORDS < pseudo_lm.build_vocabulary(many).size
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_word_is_trained_on_once(rounds):
+    """At any length, with its own neighbours; equal lengths do not hide the same words in the same round."""
+    rng = np.random.default_rng(1)
+    for n in [*range(40), 255, 256, 257, 1300]:
+        docs = [rng.permutation(2000)[:n].astype(np.uint16).tobytes() for _ in range(8)]
+        full, at, _ = pseudo_lm._padded(docs)
+        windows = lambda padded, at: [tuple(padded[a - pseudo_lm.REACH : a + pseudo_lm.REACH + 1].tolist()) for a in at]
+        got = [windows(*pseudo_lm._hidden(docs, number, rounds)) for number in range(rounds)]
+        assert sorted(w for g in got for w in g) == sorted(windows(full, at))
+
+
+def test_training_looks_at_all_words(spark):
+    """Documents of one and of five words, which a choice by length and place left out."""
+    for length in (1, 5):
+        docs = spark.createDataFrame([(i, " ".join(["often"] * length)) for i in range(50)], "doc_id long, text string")
+        counts = common.stage(pseudo_lm.count_words(docs), "counts")
+        vocabulary = pseudo_lm.build_vocabulary(counts)
+        net = pseudo_lm.train(common.stage(pseudo_lm.token_ids(docs, vocabulary), "tokens"), vocabulary)
+        assert not np.array_equal(net.flat, pseudo_lm.Network.start(vocabulary.unigram).flat)
