@@ -75,15 +75,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of ``counts`` (.., n) of highest ``n``: at most ``most``, in whole classes of n, which are 9 % wide.
+    """The ``most`` rows of ``counts`` (word, n) of highest ``n``, of equal ones those of the smallest words; all rows if there are fewer.
 
-    A histogram of the classes is looked at first, so that no more than ``most`` rows leave the executors, whatever their number.
+    A histogram of classes of n, 9 % wide, is looked at first: whole classes are taken as they are, and what is left is filled from the next one in order,
+    so that no more than ``most`` rows leave the executors, whatever their number.
     """
     kind = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    least, total = None, 0
+    whole, total, cut = None, 0, None
     for row in counts.groupBy(kind.alias("kind")).count().orderBy(F.desc("kind")).collect():
-        total += row["count"]
-        if total > most:
+        if total + row["count"] > most:
+            cut = row.kind
             break
-        least = row.kind
-    return counts.filter(kind >= least) if least is not None else counts.limit(0)
+        whole, total = row.kind, total + row["count"]
+    taken = counts.filter(kind >= whole) if whole is not None else counts.limit(0)
+    if cut is None or total == most:
+        return taken
+    return taken.unionByName(counts.filter(kind == cut).orderBy(F.desc("n"), "word").limit(most - total))

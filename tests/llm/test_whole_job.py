@@ -66,3 +66,13 @@ def test_training_looks_at_all_words(spark):
         vocabulary = pseudo_lm.build_vocabulary(counts)
         net = pseudo_lm.train(common.stage(pseudo_lm.token_ids(docs, vocabulary), "tokens"), vocabulary)
         assert not np.array_equal(net.flat, pseudo_lm.Network.start(vocabulary.unigram).flat)
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 50, 99, 100, 1000])
+def test_most_frequent_is_exact(spark, most):
+    """Also where the limit falls within words of about equal counts."""
+    rng = np.random.default_rng(4)
+    for top in (2, 30, 10_000):
+        pairs = [(w, int(n)) for w, n in enumerate(rng.integers(1, top, 100))]
+        got = common.most_frequent(spark.createDataFrame(pairs, "word long, n long"), most).collect()
+        assert sorted((-r.n, r.word) for r in got) == sorted((-n, w) for w, n in pairs)[:most]
