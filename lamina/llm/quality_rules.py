@@ -6,7 +6,9 @@ statistic, a fixed grid of cutoffs is tested from the most lenient to the strict
 P(Bin(n, alpha / rules) <= k) is at most delta / (strata * rules), where n good labelled documents were seen and k of them would be
 rejected; the first that fails ends the sequence (fixed-sequence testing, so the grid's length costs nothing), and Bonferroni's division
 covers strata and rules. With probability 1 - delta, then, in every stratum at most the share alpha of good documents is rejected by
-these rules.  A stratum with too few labels to prove anything keeps all that the base rules keep.
+these rules.  Where a stratum has too few good labels for all rules (even if none of them were rejected), its alpha and delta are spent on the first
+of them only, as many as its number of labels can prove; the number of labels alone decides that, so the guarantee holds. A stratum with too few
+for one rule keeps all that the base rules keep.
 
 Defined results: a null text has no words and fails the base; a null stratum is a stratum; a document with several labels is good if all
 its labels are, and so counts once; labels of unknown documents or of null quality play no part; repeated rows are judged alike; without any
@@ -15,6 +17,8 @@ labels, or over an empty table, the base rules alone hold; other columns pass th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,9 +159,12 @@ def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
         *[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cutoff).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule in rules for i, cutoff in enumerate(GRIDS[rule])]
     )
     tested = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1)))).select("stratum", "n", "strata", F.explode(grid).alias("g"))
-    limit = F.ln(F.lit(delta) / (F.col("strata") * len(rules)))
+    # as many rules as n labels without a false rejection would prove
+    some = F.coalesce(*[F.when(F.col("n") * math.log1p(-alpha / r) <= F.ln(F.lit(delta) / (F.col("strata") * r)), F.lit(r)) for r in range(len(rules), 0, -1)], F.lit(len(rules)))
+    tested = tested.withColumn("rules", some).filter(F.array_position(F.array(*map(F.lit, rules)), F.col("g.rule")) <= F.col("rules"))
+    limit = F.ln(F.lit(delta) / (F.col("strata") * F.col("rules")))
     # enough of the tail is below the limit or not long before k reaches the mean; what cannot pass is not summed
-    proven = log_binomial_tail(F.col("n"), F.col("g.k"), F.lit(alpha / len(rules))) <= limit
+    proven = log_binomial_tail(F.col("n"), F.col("g.k"), F.lit(alpha) / F.col("rules")) <= limit
     first_failure = F.coalesce(F.min(F.when(~F.col("proven"), F.col("g.step"))), F.lit(1 << 20))
     by_rule = (
         tested.withColumn("proven", proven)

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from lamina.llm import common, pseudo_lm
+from lamina.llm import common, pseudo_lm, quality_rules
 
 
 def corpus(spark, rng):
@@ -76,3 +76,16 @@ def test_most_frequent_is_exact(spark, most):
         pairs = [(w, int(n)) for w, n in enumerate(rng.integers(1, top, 100))]
         got = common.most_frequent(spark.createDataFrame(pairs, "word long, n long"), most).collect()
         assert sorted((-r.n, r.word) for r in got) == sorted((-n, w) for w, n in pairs)[:most]
+
+
+def test_a_stratum_with_few_labels_has_the_rules_it_can_prove(spark):
+    """Good labels without a false rejection: 600 prove four rules, 311 two, 86 one, 85 none (four strata, alpha and delta 0.05)."""
+    sizes = {"a": 600, "b": 311, "c": 86, "d": 85}
+    text = "plain words of a good text that goes on and on without any symbol or shouting for quite a long while until it ends here"
+    rows = [(i, lang, text) for i, lang in enumerate(lang for lang, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    stats = common.stage(quality_rules.with_statistics(docs), "statistics")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    got = {r.stratum: set(r.cutoffs) for r in quality_rules.thresholds(stats, labels).collect()}
+    names = list(quality_rules.GRIDS)
+    assert got == {"a": set(names), "b": set(names[:2]), "c": set(names[:1])}
