@@ -9,7 +9,8 @@ The ids are those of the tokenizers library for a BPE model with ``</w>`` word e
 special token's own string within a text gives its id, as there. Decoding without a decoder joins token strings by one space, as there.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows and documents of any ``doc_id`` are each encoded;
-an empty table gives an empty lexicon and no rows; a text of any length is encoded whole; other columns pass through untouched.
+an empty table gives an empty lexicon and no rows; a text of any length is encoded whole; other columns pass through untouched, but for
+those named ``input_ids`` or ``n_tokens``, which the result's replace. Words are told apart by their characters, never by hashes alone.
 """
 
 from __future__ import annotations
@@ -289,11 +290,11 @@ class WordEncoder:
         first, end = pretokens.word_spans(codes, starts)
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        hashes, at, inverse = np.unique(ta.span_hash(ta.prefix_hash(codes), first, end), return_index=True, return_inverse=True)
+        at, inverse, hashes = ta.distinct(codes, first, end)
         first_of, end_of = first[at], end[at]
         number = self.lexicon.numbers(codes, first_of, end_of) if self.lexicon is not None else np.full(len(at), -1, np.int64)
         unseen = number < 0
-        row = self.distinct.of_distinct("\n".join(lower), hashes[unseen], first_of[unseen], end_of[unseen])
+        row = self.distinct.of_distinct("\n".join(lower), codes, hashes[unseen], first_of[unseen], end_of[unseen])
         counts = np.zeros(len(at), np.int64)
         counts[~unseen], counts[unseen] = self.listed.count[number[~unseen]], self.merged.count[row]
         flat = np.zeros(counts.sum(), np.int64)
@@ -348,8 +349,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 first, end = first[short], end[short]
                 if len(first):
                     joined = "\n".join(lower)
-                    _, at, n = np.unique(ta.span_hash(ta.prefix_hash(codes), first, end), return_index=True, return_counts=True)
-                    for a, b, k in zip(first[at].tolist(), end[at].tolist(), n.tolist(), strict=True):
+                    at, inverse, _ = ta.distinct(codes, first, end)
+                    for a, b, k in zip(first[at].tolist(), end[at].tolist(), np.bincount(inverse).tolist(), strict=True):
                         total[joined[a:b]] += k
                 if len(total) > _COUNTED:
                     yield flush()

@@ -77,41 +77,63 @@ def word_spans(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Distinct:
-    """Numbers distinct spans by hash, and hands the strings not met before to ``store``, in the order of their numbers.
+    """Numbers distinct spans, and hands the strings not met before to ``store``, in the order of their numbers.
 
+    Spans are looked up by hash and compared with what is remembered; those whose hash another string has are looked up by their own symbols.
     At most about ``most`` strings are remembered; beyond that ``forget`` is called and all are met anew, which costs time and changes
     no result.
     """
 
     def __init__(self, store: Callable[[list[str]], None], forget: Callable[[], None], most: int = 400_000):
         self.store, self.forget, self.most = store, forget, most
+        self._clear()
+
+    def _clear(self) -> None:
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.spelled, self.odd = Ragged(np.uint32), {}
 
     def rows(self, text: str, codes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each span its number, valid until the next call."""
         if not len(first):
             return np.zeros(0, np.int64)
-        hashes, at, inverse = np.unique(ta.span_hash(ta.prefix_hash(codes), first, end), return_index=True, return_inverse=True)
-        return self.of_distinct(text, hashes, first[at], end[at])[inverse]
+        at, inverse, hashes = ta.distinct(codes, first, end)
+        return self.of_distinct(text, codes, hashes, first[at], end[at])[inverse]
 
-    def of_distinct(self, text: str, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The same for distinct spans in the order of their hashes."""
-        if len(self.keys) > self.most:
-            self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def of_distinct(self, text: str, codes: np.ndarray, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for spans that are distinct."""
+        if len(self.spelled.count) > self.most:
+            self._clear()
             self.forget()
+        row, length = np.full(len(hashes), -1, np.int64), end - first
+        met = np.zeros(len(hashes), bool)
         if len(self.keys):
             place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            known = self.keys[place] == hashes
-            row = np.where(known, self.numbers[place], -1)
-        else:
-            row = np.full(len(hashes), -1, np.int64)
-        new = np.flatnonzero(row < 0)
+            met = self.keys[place] == hashes
+            at = np.flatnonzero(met)
+            known = self.numbers[place[at]]
+            same = self.spelled.count[known] == length[at]
+            same[same] = ta.equal_spans(codes, first[at[same]], self.spelled.flat, self.spelled.begin[known[same]], length[at[same]])
+            row[at[same]] = known[same]
+        fresh = np.flatnonzero(~met)
+        new = fresh[np.unique(hashes[fresh], return_index=True)[1]]
+        base = len(self.spelled.count)
+        row[new] = base + np.arange(len(new))
+        more: list[int] = []
+        for i in np.flatnonzero(row < 0).tolist():
+            symbols = codes[first[i] : end[i]].tobytes()
+            if symbols not in self.odd:
+                self.odd[symbols] = base + len(new) + len(more)
+                more.append(i)
+            row[i] = self.odd[symbols]
         if len(new):
-            row[new] = np.arange(len(self.keys), len(self.keys) + len(new))
-            self.store([text[a:b] for a, b in zip(first[new].tolist(), end[new].tolist(), strict=True)])
             keys = np.concatenate([self.keys, hashes[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.numbers = keys[order], np.concatenate([self.numbers, row[new]])[order]
+        added = np.append(new, more).astype(np.int64)
+        if len(added):
+            n = length[added]
+            self.spelled.extend(codes[np.repeat(first[added] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n)
+            self.store([text[a:b] for a, b in zip(first[added].tolist(), end[added].tolist(), strict=True)])
         return row
 
 

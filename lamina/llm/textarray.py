@@ -102,6 +102,51 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_SHORT = 64
+
+
+def equal_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each i, whether ``x[a[i] : a[i] + n[i]]`` equals ``y[b[i] : b[i] + n[i]]``: short ones symbol by symbol over all of them at once."""
+    out = np.ones(len(n), bool)
+    for i in np.flatnonzero(n > _SHORT):
+        out[i] = np.array_equal(x[a[i] : a[i] + n[i]], y[b[i] : b[i] + n[i]])
+    short = np.flatnonzero(n <= _SHORT)
+    short = short[np.argsort(-n[short].astype(np.int8), kind="stable")]
+    at, to, off = a[short], b[short], np.zeros(len(short), bool)
+    reach = np.searchsorted(-n[short], -np.arange(1, _SHORT + 1), "right")
+    for k, m in enumerate(reach[reach > 0].tolist()):
+        off[:m] |= x[at[:m] + k] != y[to[:m] + k]
+    out[short[off]] = False
+    return out
+
+
+def distinct(symbols: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct spans: where one of each is in ``first``, for every span which one it is, and the hashes of the distinct ones.
+
+    Hashes only bring equal spans together; each is then compared with the one it would be, and those that merely agree with it in their
+    hash become distinct spans of their own, after the others.
+    """
+    running = prefix_hash(symbols)
+    hashes, at, inverse = np.unique(span_hash(running, first, end), return_index=True, return_inverse=True)
+    one = at[inverse]
+    other = np.flatnonzero(one != np.arange(len(first)))
+    one, n = one[other], (end - first)[other]
+    same = n == (end - first)[one]
+    same[same] = equal_spans(symbols, first[other][same], symbols, first[one][same], n[same])
+    if not same.all():
+        odd: dict[bytes, int] = {}
+        more: list[int] = []
+        for i in other[~same].tolist():
+            spelled = symbols[first[i] : end[i]].tobytes()
+            if spelled not in odd:
+                odd[spelled] = len(at) + len(more)
+                more.append(i)
+            inverse[i] = odd[spelled]
+        hashes = np.append(hashes, span_hash(running, first[more], end[more]))
+        at = np.append(at, more)
+    return at, inverse, hashes
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's UTF-8 bytes and its n + 1 offsets into them, nulls as empty; no copy."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from lamina.llm import common, pseudo_lm, quality_rules
+from lamina.llm import common, pretokens, pseudo_lm, quality_rules
+from lamina.llm import textarray as ta
 
 
 def corpus(spark, rng):
@@ -89,3 +90,49 @@ def test_a_stratum_with_few_labels_has_the_rules_it_can_prove(spark):
     got = {r.stratum: set(r.cutoffs) for r in quality_rules.thresholds(stats, labels).collect()}
     names = list(quality_rules.GRIDS)
     assert got == {"a": set(names), "b": set(names[:2]), "c": set(names[:1])}
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_agree_in_their_hash_are_told_apart(n):
+    """A Thue-Morse word and its complement collide in any polynomial hash modulo a power of two; alone, together and after other batches."""
+    import public_tokenizers
+
+    from lamina.llm import bpe_lexicon, token_store
+
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    word, byte = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for make, path in ((bpe_lexicon.WordEncoder(bpe_lexicon.Merges(word), None), word), (token_store.ByteLevelEncoder(byte), byte)):
+        library = pretokens.library_tokenizer(path)
+        for texts in ([f"{one} {two}"], [two], [one], ["other words"], [f"{two} {one} {two}", f"x {two}"], [f"x {one}"]):
+            ids, bounds = make(texts)
+            for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+                assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids
+
+
+def test_distinct_spans_are_exact(monkeypatch):
+    """With a hash that tells nothing apart, and one that tells most apart, against a dictionary."""
+    rng = np.random.default_rng(2)
+    symbols = rng.integers(97, 100, 5000).astype(np.uint32)
+    first = rng.integers(0, 4900, 900)
+    end = first + rng.choice([0, 1, 2, 3, 70, 100], 900)
+    spelled = [symbols[a:b].tobytes() for a, b in zip(first, end, strict=True)]
+    true = ta.span_hash
+    for hashed in (true, lambda p, a, b: true(p, a, b) % np.uint64(7), lambda p, a, b: np.zeros(len(a), np.uint64)):
+        monkeypatch.setattr(ta, "span_hash", hashed)
+        at, inverse, _ = ta.distinct(symbols, first, end)
+        assert len(at) == len(set(spelled)) and all(spelled[at[i]] == s for i, s in zip(inverse, spelled, strict=True))
+        stored: list[str] = []
+        numbers = pretokens.Distinct(stored.extend, stored.clear, most=200)
+        text = "".join(map(chr, symbols.tolist()))
+        for part in range(0, 900, 90):
+            own = slice(part, part + 90)
+            rows = numbers.rows(text, symbols, first[own], end[own])
+            assert [stored[r] for r in rows] == [text[a:b] for a, b in zip(first[own], end[own], strict=True)]
