@@ -2,13 +2,13 @@
 
 A store is a set of shards in ascending ``doc_id`` order. Each shard has two Arrow files:
 
-* ``*.tokens.arrow``: ``input_ids`` fixed-size-list<uint16 or uint32>[sequence] and ``mask`` fixed-size-list<bool>[sequence], in record
-  batches of ``BATCH`` sequences each, uncompressed. The ids of the shard's documents follow each other; the last sequence is
-  padded with 0 under a false mask.
+* ``*.tokens.arrow``: ``input_ids`` fixed-size-list<uint16 or uint32>[sequence] and ``mask`` fixed-size-list<uint8>[sequence] (a byte for each
+  id, since Arrow packs booleans into bits, which no array can view), in record batches of ``BATCH`` sequences each, uncompressed. The ids of
+  the shard's documents follow each other; the last sequence is padded with 0 under a mask of 0.
 * ``*.docs.arrow``: ``doc_id``, ``start`` (within the shard) and ``n_tokens``.
 
 Defined results: a null text is encoded as an empty one and so has the end id only; documents of equal ``doc_id`` stand next to each other
-in the order of their texts; a null ``doc_id`` comes before all others; an empty table makes a store without shards; other columns play no part.
+in the order of a hash of their texts (so that they, or all that have none, are spread over shards like any others); a null ``doc_id`` comes before all others; an empty table makes a store without shards; other columns play no part.
 A task that is run again writes files of another name, and only those of the attempt that Spark commits are in the manifest.
 """
 
@@ -97,7 +97,7 @@ def _open(path: str):
 
 def _schema(width, sequence: int) -> pa.Schema:
     kind = pa.uint16() if width == np.uint16 else pa.uint32()
-    return pa.schema([pa.field("input_ids", pa.list_(kind, sequence), False), pa.field("mask", pa.list_(pa.bool_(), sequence), False)])
+    return pa.schema([pa.field("input_ids", pa.list_(kind, sequence), False), pa.field("mask", pa.list_(pa.uint8(), sequence), False)])
 
 
 class ShardWriter:
@@ -116,8 +116,8 @@ class ShardWriter:
         self.docs: list[tuple[list, np.ndarray]] = []
 
     def _put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), bool)
-        mask[:real] = True
+        mask = np.zeros(len(ids), np.uint8)
+        mask[:real] = 1
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
         self.out.write_batch(pa.record_batch([c.cast(f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema))
         self.written += real
@@ -166,11 +166,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 2,
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (np.int32(shard), *writer.close())], names=["shard", "tokens_path", "docs_path", "n_docs", "n_tokens"])
 
     parts = common.parts_for(docs, SHARD_BYTES)
+    # the last key deals out rows that are equal in all
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .withColumn("shard", F.spark_partition_id())
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
+        .repartitionByRange(parts, "doc_id", "tie", "copy")
+        .sortWithinPartitions("doc_id", "tie", "text")
+        .select("doc_id", "text", F.spark_partition_id().alias("shard"))
     )
     return common.stage(ordered.mapInArrow(ta.lean(shards), MANIFEST), "manifest")
 
@@ -189,10 +190,10 @@ class Shard:
         self.sequence = self.file.schema.field("input_ids").type.list_size
 
     def sequences(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a batch, each of shape (sequences, length)."""
+        """Ids and mask (true for real ids) of a batch, each of shape (sequences, length), both views."""
         got = self.file.get_batch(batch)
-        ids, mask = got.column(0).flatten(), got.column(1).flatten()
-        return ids.to_numpy(zero_copy_only=True).reshape(-1, self.sequence), mask.to_numpy(zero_copy_only=False).reshape(-1, self.sequence)
+        ids, mask = (got.column(i).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.sequence) for i in (0, 1))
+        return ids, mask.view(bool)
 
     def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.sequences(i // BATCH)

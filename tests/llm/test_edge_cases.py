@@ -156,16 +156,24 @@ def test_token_store(spark, hard, none):
 
     library = Tokenizer.from_file(BYTES)
     manifest = token_store.write(hard, common.new_folder(spark, "tokens"), BYTES, sequence=64)
-    got = token_store.read_documents(manifest).orderBy("start").collect()
-    encoded = sorted(((-1 if r[0] is None else r[0], r[1] or "", [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows()), key=lambda x: x[:2])
+    got = token_store.read_documents(manifest).orderBy("start", "n_tokens").collect()
+    tie = {r.text: r.tie for r in hard.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = lambda r: (-1 if r[0] is None else r[0], tie[r[1]], r[1] or "")
+    encoded = [(r[0], [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in sorted(rows(), key=order)]
     start = 0
-    for r, (i, _, ids) in zip(got, encoded, strict=True):
-        assert (r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens) == (i, start, len(ids))
-        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    for r, (i, ids) in zip(got, encoded, strict=True):
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    first = manifest.orderBy("shard").first()
-    ids, mask = token_store.Shard(first.tokens_path).sequence_at(0)
-    assert ids.tolist()[: min(64, first.n_tokens)] == [t for _, _, x in encoded for t in x][: min(64, first.n_tokens)] and mask[: first.n_tokens].all()
+    flat, at = [t for _, x in encoded for t in x], 0
+    for m in manifest.orderBy("shard").collect():
+        shard = token_store.Shard(m.tokens_path)
+        for batch in range(shard.file.num_record_batches):
+            ids, mask = shard.sequences(batch)
+            assert mask.dtype == bool and not ids.flags.owndata and not mask.flags.owndata and ids.shape == mask.shape
+            real = ids[mask].tolist()
+            assert real == flat[at : at + len(real)] and not ids[~mask].any()
+            at += len(real)
+    assert at == len(flat)
     assert not token_store.read_documents(token_store.write(none, common.new_folder(spark, "tokens"), BYTES)).count()
 
 
