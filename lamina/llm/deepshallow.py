@@ -15,7 +15,7 @@ import numpy as np
 SHALLOW = 32
 
 
-def _words(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Eight bytes from each of ``at`` as a number that compares as they do; bytes past the string's end, ``left`` bytes away, count as 0."""
     raw = np.ndarray((len(data) - 7,), ">u8", data.data, 0, (1,))[at].astype(np.uint64)
     short = left < 8
@@ -54,7 +54,7 @@ def sort_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group
     slots, member, gid = opened(slots, member, gid)
     depth = 0
     while len(member) and depth < shallow:
-        word = _words(data, np.minimum(starts[member] + depth, len(data) - 8), lengths[member] - depth)
+        word = eights(data, np.minimum(starts[member] + depth, len(data) - 8), lengths[member] - depth)
         by = np.lexsort((word, gid))
         member, word, gid = member[by], word[by], gid[by]
         order[slots] = member
@@ -96,8 +96,8 @@ def _against(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, member:
     last = len(data) - 8
     while len(left):
         rest = lengths[left] - at
-        x = _words(data, np.minimum(starts[member[left]] + at, last), rest)
-        y = _words(data, np.minimum(starts[path[left]] + at, last), rest)
+        x = eights(data, np.minimum(starts[member[left]] + at, last), rest)
+        y = eights(data, np.minimum(starts[path[left]] + at, last), rest)
         off = x != y
         if off.any():
             differ = (x[off] ^ y[off]).astype(np.uint64)

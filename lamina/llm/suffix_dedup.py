@@ -11,13 +11,16 @@ equal anchors at equal offsets, and one anchor serves a whole interval of neighb
    ``LENGTH`` bytes: of those equal, all but the earliest are repeats.
 4. Repeats return to their documents as byte intervals, which are united and cut out.
 
+A gram that stands more than ``HOT`` times among different neighbours (a common line) would bring all of its contexts to one task. Its contexts are
+cut into single windows, each dealt out by a hash of all its bytes.
+
 Before the shuffles of steps 1 and 2, each batch keeps one of equal grams and of equal contexts, so that a passage in a third of all
 documents is sent on once per batch. Texts are shuffled once, by document; both joins read that shuffle.
 
-Defined results: documents are ordered by ``doc_id``, rows of equal ``doc_id`` by a hash of their texts, and rows without ``doc_id`` come last; rows
-of equal ``doc_id`` and text are the same document and get the same result; null and empty texts, and those under ``LENGTH`` bytes,
+Defined results: documents are ordered by ``doc_id``, rows of equal ``doc_id`` by a hash of their texts, and rows without ``doc_id`` come last, each a
+document of its own; rows of equal ``doc_id`` (or of none) and equal text are the same document and get the same result; null and empty texts, and those under ``LENGTH`` bytes,
 lose nothing; an empty table gives no rows; a text of any length is treated whole, in pieces; other columns pass through ``remove_repeats`` whatever
-their names. Grams are told apart by 64-bit hashes; contexts and suffixes by their bytes.
+their names. Hashes of grams only bring together what is then compared byte by byte; texts of one id are told apart by 120 bits of SHA-256.
 """
 
 from __future__ import annotations
@@ -33,19 +36,24 @@ from pyspark.sql import functions as F
 
 from lamina.llm import common
 from lamina.llm import textarray as ta
-from lamina.llm.deepshallow import sort_groups
+from lamina.llm.deepshallow import eights, sort_groups
 
 LENGTH, GRAM = 100, 40
 PART_BYTES = 12 << 20
 PIECE = 1 << 20
 _LAST = (1 << 63) - 1
-_ANCHOR = [("gram", "u8"), ("doc", "i8"), ("tie", "i8"), ("at", "i8"), ("low", "i2"), ("high", "i2")]
-ANCHOR = np.dtype(_ANCHOR)
+_TIE_BITS = 60
+#: A document is named by its id and 120 bits of its text's SHA-256 (see ``_keyed``).
+NAME = ("doc", "tie", "rest")
+ANCHOR = np.dtype([("gram", "u8"), ("doc", "i8"), ("tie", "i8"), ("rest", "i8"), ("at", "i8"), ("low", "i2"), ("high", "i2")])
 SPAN = np.dtype([("first", "i8"), ("last", "i8")])
 #: Of a gram's hash so many bits go along with its part's number; grams that agree in them are told apart later, by their contexts.
 _GRAM_BITS = 40
 _WITNESS = 255
-_BLOB = "kind int, part int, doc long, tie long, blob binary"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BLOB = "kind int, part int, doc long, tie long, rest long, blob binary"
+#: A gram that stands more often has its windows dealt out one by one, by all of their bytes; the most frequent such grams are named to the tasks.
+HOT, HOT_GRAMS = 8192, 1_000_000
 
 
 def _deflated(arrays: list[np.ndarray]) -> bytes:
@@ -62,25 +70,27 @@ def _inflated(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-_FIELDS = ("<i8", "<i8", "<i8", "<u4", "u1", "<i8", "u1", "u1", "u1")
+_FIELDS = ("<i8", "<i8", "<i8", "<i8", "<u4", "u1", "<i8", "u1", "u1", "u1")
 
 
 def pack_anchors(rows: np.ndarray, data: np.ndarray | None = None) -> bytes:
     """Anchors in the order of documents and places, with bytes that go with them. Documents are named once, places are differences."""
-    doc, tie, at = rows["doc"], rows["tie"], rows["at"]
-    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])))
+    at = rows["at"]
+    head = np.append(0, _cuts(*(rows[k] for k in NAME)))
+    doc, tie, rest = (rows[k][head] for k in NAME)
     step = np.diff(at, prepend=0)
     step[head] = at[head]
     counts = np.diff(np.append(head, len(rows)))
     return _deflated(
-        [np.diff(doc[head], prepend=0), tie[head], counts, rows["gram"].astype("<u4"), (rows["gram"] >> np.uint64(32)).astype("u1"), step, rows["low"].astype("u1"), rows["high"].astype("u1"), np.zeros(0, "u1") if data is None else data]
+        [np.diff(doc, prepend=0), tie, rest, counts, rows["gram"].astype("<u4"), (rows["gram"] >> np.uint64(32)).astype("u1"), step, rows["low"].astype("u1"), rows["high"].astype("u1"), np.zeros(0, "u1") if data is None else data]
     )
 
 
 def unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    doc, tie, counts, low_gram, high_gram, step, low, high, data = _inflated(blob, _FIELDS)
+    doc, tie, rest, counts, low_gram, high_gram, step, low, high, data = _inflated(blob, _FIELDS)
     out = np.empty(len(step), ANCHOR)
-    out["doc"], out["tie"] = np.repeat(np.cumsum(doc), counts), np.repeat(tie, counts)
+    for k, x in zip(NAME, (np.cumsum(doc), tie, rest), strict=True):
+        out[k] = np.repeat(x, counts)
     out["gram"] = low_gram.astype("u8") | (high_gram.astype("u8") << np.uint64(32))
     total = np.cumsum(step)
     first = np.cumsum(counts) - counts
@@ -90,20 +100,22 @@ def unpack_anchors(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, data
 
 
-def pack_spans(doc: np.ndarray, tie: np.ndarray, spans: np.ndarray) -> bytes:
-    return _deflated([np.diff(doc, prepend=0), tie, spans["first"], spans["last"] - spans["first"]])
+def pack_spans(name: np.ndarray, spans: np.ndarray) -> bytes:
+    """``spans`` with the ``NAME`` fields of the documents they lie in."""
+    return _deflated([np.diff(name["doc"], prepend=0), name["tie"], name["rest"], spans["first"], spans["last"] - spans["first"]])
 
 
-def unpack_spans(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    doc, tie, first, length = _inflated(blob, ("<i8",) * 4)
-    spans = np.empty(len(doc), SPAN)
+def unpack_spans(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    doc, tie, rest, first, length = _inflated(blob, ("<i8",) * 5)
+    spans, name = np.empty(len(doc), SPAN), np.empty(len(doc), [(k, "i8") for k in NAME])
     spans["first"], spans["last"] = first, first + length
-    return np.cumsum(doc), tie, spans
+    name["doc"], name["tie"], name["rest"] = np.cumsum(doc), tie, rest
+    return name, spans
 
 
 def _order(anchors: np.ndarray, *first: np.ndarray) -> np.ndarray:
     """Sorted by ``first``, then by place in the corpus."""
-    return np.lexsort((anchors["at"], anchors["tie"], anchors["doc"], *reversed(first)))
+    return np.lexsort((anchors["at"], *(anchors[k] for k in reversed(NAME)), *reversed(first)))
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,12 +157,14 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
             yield a, own, np.array([0, len(own)]), at - first
 
 
-def _anchors(doc: np.ndarray, tie: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> np.ndarray:
+def _anchors(name: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> np.ndarray:
     out = []
     for a, own, bounds, base in _pieces(data, offsets, length):
         row, place, hashes, low, high = anchors_of(own, bounds, length, gram)
         part = np.empty(len(row), ANCHOR)
-        part["gram"], part["doc"], part["tie"], part["at"], part["low"], part["high"] = hashes >> np.uint64(64 - _GRAM_BITS), doc[a + row], tie[a + row], place - bounds[row] + base, low, high
+        part["gram"], part["at"], part["low"], part["high"] = hashes >> np.uint64(64 - _GRAM_BITS), place - bounds[row] + base, low, high
+        for k, x in zip(NAME, name, strict=True):
+            part[k] = x[a + row]
         out.append(part)
     return np.concatenate(out) if out else np.zeros(0, ANCHOR)
 
@@ -163,81 +177,87 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change) + 1
 
 
-def _in_order(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.lexsort((rows["at"], rows["tie"], rows["doc"], first))
-
-
-def _anchor_blobs(kind: int, parts: np.ndarray, rows: np.ndarray) -> list[tuple]:
-    """One blob of ``rows`` for each of their ``parts``."""
+def _anchor_blobs(kind: int, parts: np.ndarray, rows: np.ndarray, n: np.ndarray | None = None) -> list[tuple]:
+    """One blob of ``rows`` for each of their ``parts``, with the numbers ``n`` of some."""
     if not len(rows):
         return []
-    order = _in_order(rows, parts)
-    return [(kind, int(parts[own[0]]), None, None, pack_anchors(rows[own])) for own in np.split(order, _cuts(parts[order]))]
+    order = _order(rows, parts)
+    return [(kind, int(parts[own[0]]), None, None, None, pack_anchors(rows[own], None if n is None else n[own].astype("<u4").view("u1"))) for own in np.split(order, _cuts(parts[order]))]
 
 
-def _span_blobs(doc: np.ndarray, tie: np.ndarray, spans: np.ndarray, parts: int) -> list[tuple]:
-    if not len(doc):
+def _span_blobs(name: np.ndarray, spans: np.ndarray, parts: int) -> list[tuple]:
+    if not len(name):
         return []
-    route = _spread(doc, parts)
-    order = np.lexsort((spans["first"], tie, doc, route))
-    return [(_KNOWN, int(route[own[0]]), None, None, pack_spans(doc[own], tie[own], spans[own])) for own in np.split(order, _cuts(route[order]))]
+    route = _spread(name, parts)
+    order = np.lexsort((spans["first"], *(name[k] for k in reversed(NAME)), route))
+    return [(_KNOWN, int(route[own[0]]), None, None, None, pack_spans(name[own], spans[own])) for own in np.split(order, _cuts(route[order]))]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else ([],) * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "part", "doc", "tie", "blob"])
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else ([],) * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "part", *NAME, "blob"])
 
 
 def _route(gram: np.ndarray, parts: int) -> np.ndarray:
     return (gram % np.uint64(parts)).astype(np.int64)
 
 
-def _spread(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (ta.mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+def _spread(name: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each document, whether or not it has an id."""
+    return (ta.mix(name["doc"].astype(np.uint64) ^ ta.mix(name["tie"].astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
 
 
-#: Kinds of rows between the steps: anchors or contexts to be compared, and what is known already, for its document.
-_OPEN, _KNOWN = 0, 1
+#: Kinds of rows between the steps: anchors or contexts to be compared; what is known already, for its document; and grams that stand very often.
+_OPEN, _KNOWN, _OFTEN = 0, 1, 2
 
 
 def _send_anchors(parts: int, length: int, gram: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = ta.bytes_of(batch.column(2))
-            found = _anchors(batch.column(0).to_numpy(), batch.column(1).to_numpy(), data, offsets, length, gram)
+            data, offsets = ta.bytes_of(batch.column(3))
+            found = _anchors([batch.column(i).to_numpy() for i in range(3)], data, offsets, length, gram)
             if not len(found):
                 continue
-            order = np.argsort(found["gram"], kind="stable")
-            found = found[order]
+            found = found[np.argsort(found["gram"], kind="stable")]
             same = found["gram"][1:] == found["gram"][:-1]
             twice = np.append(same, False) | np.append(False, same)
             head = np.append(True, ~same)
             # of grams met twice here, one goes on as a witness; it is marked by a negative ``low``, as it needs no answer
             witness = found[head]
             witness["low"] = np.where(twice[head], -1, witness["low"])
-            rows = _anchor_blobs(_OPEN, _route(witness["gram"], parts), witness)
+            rows = _anchor_blobs(_OPEN, _route(witness["gram"], parts), witness, np.diff(np.append(np.flatnonzero(head), len(found))))
             known = found[twice]
-            yield _batch(rows + _anchor_blobs(_KNOWN, _spread(known["doc"], parts), known))
+            yield _batch(rows + _anchor_blobs(_KNOWN, _spread(known, parts), known))
 
     return send
 
 
-def _repeated(parts: int):
-    """Of one part's anchors, those whose gram stands twice, dealt out by document."""
+_GRAMS = np.dtype([("gram", "i8"), ("n", "i8")])
+
+
+def _repeated(parts: int, hot: int):
+    """Of one part's anchors, those whose gram stands twice, dealt out by document; and the grams that stand more than ``hot`` times."""
 
     def repeated(table: pa.Table) -> pa.Table:
         kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         part = table.column("part")[0].as_py()
-        out = [(_KNOWN, part, None, None, b) for b, k in zip(blobs, kind, strict=True) if k == _KNOWN]
-        opened = [unpack_anchors(b)[0] for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
+        out = [(_KNOWN, part, None, None, None, b) for b, k in zip(blobs, kind, strict=True) if k == _KNOWN]
+        opened = [unpack_anchors(b) for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
         if opened:
-            rows = np.concatenate(opened)
-            rows = rows[np.argsort(rows["gram"], kind="stable")]
+            rows, n = np.concatenate([a for a, _ in opened]), np.concatenate([x.view("<u4") for _, x in opened])
+            by = np.argsort(rows["gram"], kind="stable")
+            rows, n = rows[by], n[by]
             same = rows["gram"][1:] == rows["gram"][:-1]
+            head = np.flatnonzero(np.append(True, ~same))
+            total = np.add.reduceat(n.astype(np.int64), head)
+            if (total > hot).any():
+                often = np.empty(int((total > hot).sum()), _GRAMS)
+                often["gram"], often["n"] = rows["gram"][head][total > hot], total[total > hot]
+                out.append((_OFTEN, part, None, None, None, often.tobytes()))
             twice = np.append(same, False) | np.append(False, same)
             rows = rows[twice & (rows["low"] >= 0)]
-            out += _anchor_blobs(_KNOWN, _spread(rows["doc"], parts), rows)
+            out += _anchor_blobs(_KNOWN, _spread(rows, parts), rows)
         return pa.Table.from_batches([_batch(out)])
 
     return repeated
@@ -246,16 +266,16 @@ def _repeated(parts: int):
 def _anchors_per_document(table: pa.Table) -> pa.Table:
     """One row per document, with all of its anchors."""
     rows = np.concatenate([unpack_anchors(b)[0] for b in table.column("blob").to_pylist()])
-    rows = rows[_in_order(rows, np.zeros(len(rows)))]
-    out = [(_KNOWN, 0, int(own[0]["doc"]), int(own[0]["tie"]), pack_anchors(own)) for own in np.split(rows, _cuts(rows["doc"], rows["tie"])) if len(own)]
+    rows = rows[_order(rows)]
+    out = [(_KNOWN, 0, *(int(own[0][k]) for k in NAME), pack_anchors(own)) for own in np.split(rows, _cuts(*(rows[k] for k in NAME))) if len(own)]
     return pa.Table.from_batches([_batch(out)])
 
 
 def _spans_per_document(table: pa.Table) -> pa.Table:
     """One row per document, with the union of its intervals."""
-    doc, tie, spans = (np.concatenate(x) for x in zip(*map(unpack_spans, table.column("blob").to_pylist()), strict=True))
-    order = np.lexsort((spans["first"], tie, doc))
-    out = [(_KNOWN, 0, int(doc[own[0]]), int(tie[own[0]]), united(spans[own]).tobytes()) for own in np.split(order, _cuts(doc[order], tie[order])) if len(own)]
+    name, spans = (np.concatenate(x) for x in zip(*map(unpack_spans, table.column("blob").to_pylist()), strict=True))
+    order = np.lexsort((spans["first"], *(name[k] for k in reversed(NAME))))
+    out = [(_KNOWN, 0, *(int(name[k][own[0]]) for k in NAME), united(spans[own]).tobytes()) for own in np.split(order, _cuts(*(name[k][order] for k in NAME))) if len(own)]
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -296,11 +316,34 @@ def _not_earliest(anchors: np.ndarray, order: np.ndarray, equal: np.ndarray) ->
     head = np.flatnonzero(np.append(True, run[by][1:] != run[by][:-1]))
     first, own = anchors[by[head]][run[by]], anchors[by]
     out = np.empty(len(order), bool)
-    out[by] = (own["doc"] != first["doc"]) | (own["tie"] != first["tie"]) | (own["at"] != first["at"])
+    out[by] = np.logical_or.reduce([own[k] != first[k] for k in (*NAME, "at")])
     return out
 
 
-def _send_contexts(parts: int, length: int):
+def _split(found: np.ndarray, begin: np.ndarray, hot: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and where their contexts begin; those of the ``hot`` grams (sorted) are replaced by one for each of their windows.
+
+    Such an anchor has a hash of its window's bytes for its gram, so what one gram has gathered parts by content; equal windows still meet.
+    """
+    place = np.minimum(np.searchsorted(hot, found["gram"]), len(hot) - 1)
+    often = np.flatnonzero(hot[place] == found["gram"])
+    if not len(often):
+        return found, begin
+    n = (found["high"][often] - found["low"][often] + 1).astype(np.int64)
+    each = np.repeat(often, n)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    windows, at = found[each], begin[each] + step
+    windows["high"] -= step.astype("i2")
+    windows["low"] = windows["high"]
+    hashes = np.full(len(each), length, np.uint64)
+    for depth in range(0, length, 8):
+        hashes = ta.mix(hashes + eights(data, at + depth, np.full(len(at), length - depth)) * _STEP)
+    windows["gram"] = hashes >> np.uint64(64 - _GRAM_BITS)
+    rest = np.delete(np.arange(len(found)), often)
+    return np.concatenate([found[rest], windows]), np.concatenate([begin[rest], at])
+
+
+def _send_contexts(parts: int, length: int, hot: np.ndarray):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = ta.bytes_of(batch.column(0))
@@ -315,16 +358,18 @@ def _send_contexts(parts: int, length: int):
                     starts.append(offsets[last] + own["at"] - own["high"])
                     held += len(own) * (length + 30)
                     last += 1
-                found, begin = np.concatenate(anchors), np.concatenate(starts).astype(np.int64)
-                repeats = _equal_contexts(found, _padded([data]), begin, length)
-                rows = _span_blobs(found["doc"][repeats], found["tie"][repeats], _spans(found[repeats], length), parts)
+                found, begin, padded = np.concatenate(anchors), np.concatenate(starts).astype(np.int64), _padded([data])
+                if len(hot):
+                    found, begin = _split(found, begin, hot, padded, length)
+                repeats = _equal_contexts(found, padded, begin, length)
+                rows = _span_blobs(found[repeats], _spans(found[repeats], length), parts)
                 new = np.flatnonzero(~repeats)
                 sizes = (found["high"] - found["low"] + length).astype(np.int64)
                 route = _route(found["gram"][new], parts)
-                order = _in_order(found[new], route)
+                order = _order(found[new], route)
                 for own in np.split(order, _cuts(route[order])):
                     pick = new[own]
-                    rows.append((_OPEN, int(route[own[0]]), None, None, pack_anchors(found[pick], _gather(data, begin[pick], sizes[pick]))))
+                    rows.append((_OPEN, int(route[own[0]]), None, None, None, pack_anchors(found[pick], _gather(data, begin[pick], sizes[pick]))))
                 yield _batch(rows)
                 first = last
 
@@ -337,7 +382,7 @@ def _resolve(parts: int, length: int):
     def resolve(table: pa.Table) -> pa.Table:
         kind, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         part = table.column("part")[0].as_py()
-        out = [(_KNOWN, part, None, None, b) for k, b in zip(kind, blobs, strict=True) if k == _KNOWN]
+        out = [(_KNOWN, part, None, None, None, b) for k, b in zip(kind, blobs, strict=True) if k == _KNOWN]
         opened = [unpack_anchors(b) for b, k in zip(blobs, kind, strict=True) if k == _OPEN]
         if not opened:
             return pa.Table.from_batches([_batch(out)])
@@ -345,7 +390,7 @@ def _resolve(parts: int, length: int):
         sizes = (anchors["high"] - anchors["low"] + length).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         repeats = _equal_contexts(anchors, data, starts, length)
-        doc, tie, spans = [anchors["doc"][repeats]], [anchors["tie"][repeats]], [_spans(anchors[repeats], length)]
+        names, spans = [anchors[repeats]], [_spans(anchors[repeats], length)]
         # what is left of each gram, if there are several: all suffixes that begin a window
         left = np.flatnonzero(~repeats)
         left = left[np.argsort(anchors["gram"][left], kind="stable")]
@@ -370,12 +415,10 @@ def _resolve(parts: int, length: int):
             cut = np.empty(int(again.sum()), SPAN)
             cut["first"] = base["at"][again] - offset[again]
             cut["last"] = cut["first"] + length
-            doc.append(base["doc"][again])
-            tie.append(base["tie"][again])
+            names.append(base[again])
             spans.append(cut)
             first = last
-        doc_, tie_, spans_ = (np.concatenate(x) for x in (doc, tie, spans))
-        return pa.Table.from_batches([_batch(out + _span_blobs(doc_, tie_, spans_, parts))])
+        return pa.Table.from_batches([_batch(out + _span_blobs(np.concatenate(names), np.concatenate(spans), parts))])
 
     return resolve
 
@@ -393,23 +436,42 @@ def united(spans: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, *others) -> DataFrame:
-    """``docs`` with the document's key; neither part is ever null, so that all joins read one shuffle."""
+    """``docs`` with the document's name, no part of which is ever null, so that all joins read one shuffle.
+
+    It is the id, 60 bits of the text's SHA-256, under a bit that puts rows without an id after all others, and 60 more bits.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64(text).bitwiseAND(0xFFFFFFFF), F.lit(0)).alias("tie"), text.alias("text"), *others)
+    digits = F.sha2(text, 256)
+    tie, rest = (F.conv(F.substring(digits, at, _TIE_BITS // 4), 16, 10).cast("long") for at in (1, 1 + _TIE_BITS // 4))
+    none = F.when(F.col("doc_id").isNull(), 1 << _TIE_BITS).otherwise(0)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), (tie + none).alias("tie"), rest.alias("rest"), text.alias("text"), *others)
+
+
+def _often(repeated: DataFrame) -> np.ndarray:
+    """The ``HOT_GRAMS`` most frequent of the grams that stand more than ``HOT`` times, sorted; 8 bytes of each reach the driver."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                grams = np.frombuffer(blob, _GRAMS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(grams[k])) for k in ("gram", "n")], names=["word", "n"])
+
+    found = repeated.filter(F.col("kind") == _OFTEN).select("blob").mapInArrow(ta.lean(unpacked), "word long, n long")
+    return np.sort(np.array([r.word for r in common.most_frequent(found, HOT_GRAMS).collect()], np.uint64))
 
 
 def with_spans(docs: DataFrame, *others, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, tie, text, ``others`` and ``spans``: the intervals to remove, null where nothing repeats."""
-    parts = common.parts_for(docs, PART_BYTES)
+    """doc, tie, rest, text, ``others`` and ``spans``: the intervals to remove, null where nothing repeats."""
+    parts, name = common.parts_for(docs, PART_BYTES), list(NAME)
     keyed = _keyed(docs, *others)
     dealt = _keyed(docs).mapInArrow(ta.lean(_send_anchors(parts, length, gram)), _BLOB)
-    repeated = dealt.groupBy("part").applyInArrow(ta.lean(_repeated(parts)), _BLOB)
-    wanted = repeated.groupBy("part").applyInArrow(ta.lean(_anchors_per_document), _BLOB).select("doc", "tie", F.col("blob").alias("wanted"))
+    repeated = common.stage(dealt.groupBy("part").applyInArrow(ta.lean(_repeated(parts, HOT)), _BLOB), "anchors")
+    wanted = repeated.filter(F.col("kind") == _KNOWN).groupBy("part").applyInArrow(ta.lean(_anchors_per_document), _BLOB).select(*name, F.col("blob").alias("wanted"))
     # all columns go along, so that this join's shuffle of the texts is the last join's as well
-    contexts = keyed.join(wanted, ["doc", "tie"]).select("text", "wanted", *keyed.columns[3:]).mapInArrow(ta.lean(_send_contexts(parts, length)), _BLOB)
+    contexts = keyed.join(wanted, name).select("text", "wanted", *keyed.columns[4:]).mapInArrow(ta.lean(_send_contexts(parts, length, _often(repeated))), _BLOB)
     found = contexts.groupBy("part").applyInArrow(ta.lean(_resolve(parts, length)), _BLOB)
-    per_document = found.groupBy("part").applyInArrow(ta.lean(_spans_per_document), _BLOB).select("doc", "tie", F.col("blob").alias("spans"))
-    return keyed.join(per_document, ["doc", "tie"], "left")
+    per_document = found.groupBy("part").applyInArrow(ta.lean(_spans_per_document), _BLOB).select(*name, F.col("blob").alias("spans"))
+    return keyed.join(per_document, name, "left")
 
 
 def _spans_of(spans: bytes | None) -> np.ndarray:

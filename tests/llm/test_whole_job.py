@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from lamina.llm import common, pretokens, pseudo_lm, quality_rules
+from lamina.llm import common, pretokens, pseudo_lm, quality_rules, suffix_dedup
 from lamina.llm import textarray as ta
 
 
@@ -136,3 +136,57 @@ def test_distinct_spans_are_exact(monkeypatch):
             own = slice(part, part + 90)
             rows = numbers.rows(text, symbols, first[own], end[own])
             assert [stored[r] for r in rows] == [text[a:b] for a, b in zip(first[own], end[own], strict=True)]
+
+
+def by_force(rows, length=100):
+    """(id, text) to what is removed: ids in order, none last; rows of one id by SHA-256; equal rows are one document."""
+    import hashlib
+
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    out, seen = {}, set()
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, digest(r[1])[:30])):
+        data = (t or "").encode()
+        mark = bytearray(len(data))
+        for at in range(len(data) - length + 1):
+            if (window := data[at : at + length]) in seen:
+                mark[at : at + length] = b"\1" * length
+            seen.add(window)
+        out[i, t] = (i, len(data), sum(mark), sum(m and not (at and mark[at - 1]) for at, m in enumerate(mark)), hashlib.sha256(bytes(c for c, m in zip(data, mark, strict=True) if not m)).hexdigest())
+    return out
+
+
+def removed(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect())))
+
+
+def test_rows_without_an_id_or_of_one_id_are_documents_of_their_own(spark):
+    """None loses a byte for another row's hash: the two texts without an id agree in the low 32 bits of xxhash64."""
+    import xxhash
+
+    rng = np.random.default_rng(0)
+    prose = lambda: "".join(rng.choice(list("abcdefgh "), 257))
+    seen, base = {}, prose()
+    while True:
+        text = f"{rng.integers(1 << 60):x}{prose()}"[:257]
+        low = xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFFFF
+        if low in seen:
+            pair = [seen[low], text]
+            break
+        seen[low] = text
+    last = (1 << 63) - 1
+    rows = [(1, pair[0]), (None, pair[0]), (None, pair[1]), (5, prose()), (5, base), (5, prose() + base), (7, base), (last, pair[0]), (last, prose()), (None, None), (None, base + base), (None, base + base)]
+    want = by_force(rows)
+    assert removed(spark, rows) == sorted(str(want[r]) for r in rows)
+    assert want[None, pair[1]][2] == 0 and want[None, pair[0]][2] == 257
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1 << 30])
+def test_windows_of_frequent_grams_are_dealt_out_by_content(spark, hot, monkeypatch):
+    """A line that stands in most documents, in neighbourhoods of all kinds, at every limit."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(hot % 7)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh \né"), n))
+    line, passage = prose(95), prose(300)
+    rows = [(i, prose(int(rng.integers(0, 60))) + line + (passage if i % 4 == 0 else prose(50)) + line + line[: i % 30]) for i in range(40)] + [(50, "ab" * 300), (51, "ab" * 200)]
+    assert removed(spark, rows) == sorted(map(str, by_force(rows).values()))
