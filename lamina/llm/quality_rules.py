@@ -11,7 +11,7 @@ of them only, as many as its number of labels can prove; the number of labels al
 for one rule keeps all that the base rules keep.
 
 Defined results: a null text has no words and fails the base; a null stratum is a stratum; a document with several labels is good if all
-its labels are, and so counts once; labels of unknown documents or of null quality play no part; repeated rows are judged alike; without any
+its labels are, and so counts once, of several rows of its id that with the greatest statistics; labels of unknown documents or of null quality play no part; repeated rows are judged alike; without any
 labels, or over an empty table, the base rules alone hold; other columns pass through.
 """
 
@@ -153,8 +153,10 @@ def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     rules = list(GRIDS)
     good = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     cells = [F.sum((value > cutoff).cast("long")).alias(f"{rule}_{i}") for rule, value in measures().items() for i, cutoff in enumerate(GRIDS[rule])]
-    passed = stats.filter(~base_failed()).dropDuplicates(["doc_id"]) if "doc_id" in stats.columns else stats
-    counts = passed.join(good, "doc_id", "left_semi").groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *cells)
+    passed = stats.filter(~base_failed()).join(good, "doc_id", "left_semi")
+    # of rows of one id the greatest counts, in the order of these columns
+    passed = passed.groupBy("doc_id").agg(F.max(F.struct(F.col(stratum).alias("stratum"), *STATISTICS)).alias("row")).select("row.*")
+    counts = passed.groupBy("stratum").agg(F.count("*").alias("n"), *cells)
     grid = F.array(
         *[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cutoff).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule in rules for i, cutoff in enumerate(GRIDS[rule])]
     )
@@ -195,11 +197,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns; texts are not shuffled."""
-    stats = with_statistics(docs.select("doc_id", stratum, "text")).select("doc_id", stratum, *STATISTICS)
-    known = labels.select("doc_id").distinct()
-    cutoffs = common.stage(thresholds(common.stage(stats.join(known, "doc_id", "left_semi"), "statistics"), labels, stratum, alpha, delta), "cutoffs")
-    renamed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(stratum))
-    # a column that is not deterministic keeps the filter above the statistics, which else would be computed for each mention
-    once = with_statistics(renamed).withColumn("_once", F.monotonically_increasing_id())
-    return judge(once, cutoffs, stratum).filter("kept AND _once >= 0").select("_row.*")
+    """The rows of ``docs`` that are kept, with their own columns; texts are not shuffled. Statistics are computed once, and staged beside the rows."""
+    own = with_statistics(docs.select(F.struct(*docs.columns).alias("_row"), "text", "doc_id", stratum)).select("_row", "doc_id", stratum, *STATISTICS)
+    stats = common.stage(own, "statistics")
+    cutoffs = common.stage(thresholds(stats.drop("_row"), labels, stratum, alpha, delta), "cutoffs")
+    return judge(stats, cutoffs, stratum).filter("kept").select("_row.*")

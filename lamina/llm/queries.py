@@ -50,9 +50,12 @@ def _op3_sql() -> str:
         "duplicate_lines_share": "n_dup_lines / CAST(n_breaks + 1 AS DOUBLE)",
         "word_length": "word_chars / CAST(greatest(n_words, 1) AS DOUBLE)",
     }
-    alpha = f"({q.ALPHA!r} / {len(q.GRIDS)}e0)"
+    rules = list(q.GRIDS)
+    alpha = f"({q.ALPHA!r} / CAST(rules AS DOUBLE))"
+    # as many rules as a stratum's labels prove if none is rejected, or all
+    some = "CASE " + " ".join(f"WHEN n * ln(1 - {q.ALPHA!r} / {r}e0) <= ln({q.DELTA!r} / (strata * {r}e0)) THEN {r}" for r in range(len(rules), 0, -1)) + f" ELSE {len(rules)} END"
     cells = " UNION ALL ".join(
-        f"SELECT lang, '{rule}' AS rule, {i} AS step, {cutoff!r}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE {measure[rule]} > {cutoff!r}::DOUBLE) AS k FROM good GROUP BY lang" for rule, grid in q.GRIDS.items() for i, cutoff in enumerate(grid)
+        f"SELECT lang, '{rule}' AS rule, {rules.index(rule) + 1} AS place, {i} AS step, {cutoff!r}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE {measure[rule]} > {cutoff!r}::DOUBLE) AS k FROM good GROUP BY lang" for rule, grid in q.GRIDS.items() for i, cutoff in enumerate(grid)
     )
     rejects = " OR ".join(f"coalesce({m} > (SELECT min(c.cutoff) FROM passed c WHERE c.rule = '{rule}' AND c.lang IS NOT DISTINCT FROM s.lang), false)" for rule, m in measure.items())
     return f"""
@@ -75,10 +78,14 @@ WITH d AS (
   SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM stats
 ), good AS (
   SELECT * FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
-), cells AS ({cells}), tails AS (
+), every AS ({cells}), counted AS (
+  SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM good) x) AS strata FROM every
+), cells AS (
+  SELECT * FROM (SELECT *, {some} AS rules FROM counted) y WHERE place <= rules
+), tails AS (
   SELECT *, CASE WHEN k >= n * {alpha} THEN false ELSE
     list_sum(list_transform(generate_series(0, k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha}))))
-    <= {q.DELTA!r} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM good) x) * {len(q.GRIDS)}e0) END AS proven
+    <= {q.DELTA!r} / CAST(strata * rules AS DOUBLE) END AS proven
   FROM cells
 ), passed AS (
   SELECT t.lang, t.rule, t.cutoff FROM tails t WHERE t.step < (SELECT coalesce(min(f.step), 1000) FROM tails f WHERE f.rule = t.rule AND f.lang IS NOT DISTINCT FROM t.lang AND NOT f.proven)
