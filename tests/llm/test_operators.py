@@ -310,9 +310,59 @@ def test_gradient():
         assert abs((loss(up) - loss(down)) / 0.04) == pytest.approx(math.sqrt(squares.flat[place]), rel=0.1, abs=2e-4)
 
 
-def test_scores_prefer_the_corpus_to_shuffled_words(spark, sf_dir):
-    got = Q["op7_pseudo_likelihood"](spark, sf_dir).collect()
-    assert all(r.pseudo_log_likelihood < 0 for r in got if r.n_tokens) and len(got) == 200
+@pytest.fixture(scope="module")
+def language_model(spark, sf_dir):
+    frame = common.table(spark, "/root/testdata/sf0.01", "documents")
+    counts = common.stage(pseudo_lm.count_words(frame), "counts")
+    vocabulary = pseudo_lm.build_vocabulary(counts)
+    return frame, counts, vocabulary, pseudo_lm.train(common.stage(pseudo_lm.token_ids(frame, vocabulary), "tokens"), vocabulary)
+
+
+def scores(docs, counts, vocabulary, net):
+    tokens = common.stage(pseudo_lm.token_ids(docs, vocabulary), "tokens")
+    return {r.doc_id: r.pseudo_log_likelihood for r in pseudo_lm.score(tokens, net, vocabulary, pseudo_lm.rare_logs(tokens, counts, 3)).collect()}
+
+
+def test_scores_prefer_the_corpus_to_shuffled_words(spark, language_model):
+    frame, *model = language_model
+    rng = np.random.default_rng(0)
+    rows = [(r.doc_id, r.text) for r in frame.collect() if len(words(r.text)) >= 50]
+    mixed = spark.createDataFrame([(i, " ".join(rng.permutation(words(t)))) for i, t in rows], "doc_id long, text string")
+    plain, other = scores(spark.createDataFrame(rows, "doc_id long, text string"), *model), scores(mixed, *model)
+    assert len(plain) > 100 and np.mean([plain[i] > other[i] for i in plain]) > 0.9
+
+
+def test_scores_by_brute_force(language_model):
+    """Each word's log probability from the trained parameters by plain loops in double precision, times its share of its id."""
+    frame, counts, vocabulary, net = language_model
+    rows = {r.doc_id: r.text for r in frame.filter("doc_id < 40").collect()}
+    got = scores(frame.filter("doc_id < 40"), counts, vocabulary, net)
+    n = {r.word: r.n for r in counts.collect()}
+
+    def parts(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes, _ = pseudo_lm._word_hashes(data, np.array([0, len(data)]))
+        return hashes.tolist(), vocabulary(hashes)[0].tolist()
+
+    def log_softmax(x, at):
+        return x[at] - math.log(sum(math.exp(v) for v in x))
+
+    assert len(got) == len(rows) == 40
+    for i, text in rows.items():
+        hashes, ids = parts(text or "") if text else ([], [])
+        hashes, ids = hashes[:300], ids[:300]
+        if len(words(text)) > 300:
+            continue
+        padded, total = [net.words] * 2 + ids + [net.words] * 2, 0.0
+        for k, (h, word) in enumerate(zip(hashes, ids, strict=True)):
+            around = [padded[k + 2 + o] for o in (-2, -1, 1, 2)]
+            hidden = [math.tanh(float(net.bias[d]) + sum(float(net.context[j][w][d]) for j, w in enumerate(around))) for d in range(pseudo_lm.WIDTH)]
+            kind, member = word % net.classes, word // net.classes
+            outputs = lambda weights, bias: (np.array(hidden) @ weights.astype(float) + bias.astype(float)).tolist()
+            total += log_softmax(outputs(net.to_class, net.class_bias), kind) + log_softmax(outputs(net.to_member[kind], net.member_bias[kind]), member)
+            if word >= vocabulary.size - pseudo_lm.rare_ids(vocabulary.size):
+                total += math.log(n[h] / vocabulary.unigram[word])
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
 
 
 # 8
@@ -370,17 +420,80 @@ def test_warc(spark, sf_dir):
     assert got == sorted(oracle(sf_dir, queries.OP9_SQL), key=str)
 
 
-def test_members_are_found_from_any_range(spark, tmp_path):
-    inner = warc.member(warc.record_bytes(9, "u", b"nested", hashlib.sha1(b"nested").hexdigest(), None, False))
-    payloads = [bytes([31, 139, 8]) * 50, inner, b"", os.urandom(5000)]
-    data = b"".join(warc.member(warc.record_bytes(i, "u", p, hashlib.sha1(p).hexdigest(), None, False), 0) for i, p in enumerate(payloads))
+def warc_record(i, payload):
+    return warc.record_bytes(i, "u", payload, hashlib.sha1(payload).hexdigest(), None, False)
+
+
+def gzip_member(data, level=0, extra=b"", name=b""):
+    """A member with optional header fields."""
+    flags = 4 * bool(extra) | 8 * bool(name)
+    head = b"\x1f\x8b\x08" + bytes([flags]) + bytes(6) + (len(extra).to_bytes(2, "little") + extra if extra else b"") + (name + b"\0" if name else b"")
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    return head + packer.compress(data) + packer.flush() + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+
+
+@pytest.fixture(scope="module")
+def hard_archive():
+    """(page id, payload, offset) of each record, and the file: payloads that hold members, chains of members and whole archives, long headers, several records in a member."""
+    rng = np.random.default_rng(0)
+    inner = warc.member(warc_record(900, b"nested"))
+    chain = b"".join(warc.member(warc_record(901 + i, rng.bytes(300)), 0) for i in range(12))
+    archive = b"".join(warc.member(warc_record(950 + i, rng.bytes(30_000)), 0) for i in range(6))
+    payloads = [bytes([31, 139, 8]) * 50, inner, chain, b"", rng.bytes(5000), archive, archive[:100_000], inner + b"\x1f\x8b\x08"]
+    data, want, page = b"", [], 0
+    for level in (0, 6):
+        for p in payloads:
+            want.append((page, p, len(data)))
+            data += gzip_member(warc_record(page, p), level)
+            page += 1
+    for extra, name in ((rng.bytes(600), b""), (inner, b""), (rng.bytes(65_000), b"n" * 70_000), (chain[:3000], b"x" * 600)):
+        want.append((page, b"long header", len(data)))
+        data += gzip_member(warc_record(page, b"long header"), 6, extra, name)
+        page += 1
+    data += gzip_member(b"")
+    several = [rng.bytes(n) for n in (0, 700, 300_000, 5)]
+    want += [(page + i, p, len(data)) for i, p in enumerate(several)]
+    data += gzip_member(b"".join(warc_record(page + i, p) for i, p in enumerate(several)), 1)
+    want.append((77, b"last", len(data)))
+    return want, data + gzip_member(warc_record(77, b"last"), 9)
+
+
+@pytest.mark.parametrize("padding", [0, 1000])
+def test_all_records_and_no_others_are_read_from_any_ranges(spark, tmp_path, hard_archive, padding):
+    want, data = hard_archive
+    (tmp_path / "a.warc.gz").write_bytes(data + bytes(padding))
+    size = len(data) + padding
+    for step in (len(data) // 9, 70_000, size):
+        ranges = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", i, min(i + step, size)) for i in range(0, size, step)], "path string, first long, last long")
+        got = sorted(((r.page_id, bytes(r.payload), r.offset) for r in warc.read(spark, ranges).collect()), key=lambda r: (r[2], r[0]))
+        assert got == sorted(want, key=lambda r: (r[2], r[0]))
+
+
+@pytest.mark.parametrize("step", [1, 13, 700])
+def test_members_are_found_from_any_place(tmp_path, hard_archive, step):
+    """Every member is the first one of the ranges that end just behind its start, and ranges without a start have none."""
+    want, data = hard_archive
     (tmp_path / "a.warc.gz").write_bytes(data)
-    for step in (1, 13, 700, len(data)):
-        ranges = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", i, min(i + step, len(data))) for i in range(0, len(data), step)][:3000], "path string, first long, last long")
-        if step == 1:
-            ranges = ranges.filter("first < 600")
-        got = [r.page_id for r in warc.read(spark, ranges).collect()]
-        assert len(got) == len(set(got)) and (step == 1 or 3 in got)
+    source, starts = warc._Source(f"file://{tmp_path}/a.warc.gz"), sorted({o for _, _, o in want})
+    starts.insert(starts.index(want[-1][2]) - 1, starts[-2] - len(gzip_member(b"")))
+    starts = np.array(starts)
+    near = np.unique(np.concatenate([np.clip(np.arange(s - 40, s + 60), 0, len(data) - 1) for s in starts] + [np.arange(0, 3000)]))
+    for first in np.unique(near // step * step).tolist():
+        inside = starts[(starts >= first) & (starts < first + step)]
+        assert warc.first_member(source, first, min(first + step, len(data))) == (inside[0] if len(inside) else None)
+
+
+def test_a_member_that_is_cut_off_raises(spark, tmp_path):
+    data = gzip_member(warc_record(1, os.urandom(3000)))
+    (tmp_path / "a.warc.gz").write_bytes(data[:-100])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read(spark, spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", 0, len(data) - 100)], "path string, first long, last long")).collect()
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_revisits_beyond_what_is_broadcast(spark, sf_dir, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
+    test_warc(spark, sf_dir)
 
 
 # 10
