@@ -11,8 +11,9 @@ Quantised scores leave out low bits, so a row's score differs from its quantised
 k-th best lower bound are resolved by exact integer inner products; so results are exact whatever the number of slices.
 
 Defined results: rows whose vector or id is null, that are empty or hold a null or non-finite component, take no part;
-vectors meet those of their own length only; a row is not its own candidate, nor is any other row of the same id; ties go to the smaller id and repeated ids are each listed;
-fewer candidates than k give as many rows; an empty table gives none; other columns play no part.
+vectors meet those of their own length only; a row is not its own candidate, nor is any other row of the same id; ties go to the smaller id and repeated ids are each listed,
+and a repeated query has k rows for each time it stands; components of any finite size take part exactly (where sums do not fit into 64 bits, the bitmaps are
+made from whole numbers of any length), and a score beyond 64 bits is given as the nearest number of 64 bits, by which it is ranked; fewer candidates than k give as many rows; an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,6 +34,17 @@ BLOCK, QUERIES = 32_768, 64
 CANDIDATE_SHIFT, QUERY_SHIFT = 0, 0
 
 
+_MOST = (1 << 63) - 1
+_LARGEST = float(np.finfo(float).max)
+
+
+def whole(values: np.ndarray, other: float) -> np.ndarray:
+    """Integers from whole-numbered doubles: of 64 bits where inner products with components up to ``other`` fit into them, else of any length."""
+    if max(float(np.abs(values).max(initial=0)), 1.0) * max(other, 1.0) * max(values.shape[-1], 1) < 2.0**61:
+        return values.astype(np.int64)
+    return np.array([int(x) for x in values.reshape(-1)], object).reshape(values.shape)
+
+
 class Slices:
     """The bit-sliced index of a block of integer vectors (rows, dimensions)."""
 
@@ -134,8 +146,10 @@ class Slices:
 
     def top(self, query: np.ndarray, k: int, t: int = QUERY_SHIFT) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the k best exact scores, with all ties of the last, and the scores."""
-        slices, _ = self.scores(query, t)
+        slices, constant = self.scores(query, t)
         _, boundary = self.select(slices, min(k, self.n))
+        # scores that are beyond 64 bits are equal
+        boundary = min(boundary, (_MOST >> (self.shift + t)) - constant) if boundary + constant > -(_MOST >> (self.shift + t)) else 0
         # x = (cx << s) + rx with 0 <= rx < 2**s, likewise q: q.x - (cq.cx << s + t) = sum((cq << t) rx + rq x), bounded per query
         s = self.shift
         coarse = (query >> t) << t
@@ -144,7 +158,7 @@ class Slices:
         least = np.where(coarse < 0, coarse * ((1 << s) - 1), 0).sum() + (rest * self.values.min(axis=0)).sum()
         slack = (int(most - least) >> (s + t)) + 1 if most > least else 0
         rows = self.bits(self.at_least(slices, boundary - slack))
-        exact = self.values[rows] @ query
+        exact = np.minimum(np.maximum(self.values[rows] @ query, -_MOST - 1), _MOST).astype(np.int64)
         if len(rows) > k:
             kth = np.partition(exact, len(exact) - k)[len(exact) - k]
             rows, exact = rows[exact >= kth], exact[exact >= kth]
@@ -152,8 +166,10 @@ class Slices:
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and ``v`` array<int> = floor(scale * x) of the rows that take part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
+    """vec_id and ``v`` array<double> = floor(scale * x), whole numbers, of the rows that take part."""
+    scaled = lambda x: F.least(F.greatest(F.lit(float(scale)) * x.cast("double"), F.lit(-_LARGEST)), F.lit(_LARGEST))
+    # doubles of that size are whole
+    v = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     finite = F.forall("embedding", lambda x: F.coalesce((F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x), F.lit(False)))
     return vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
@@ -169,7 +185,7 @@ def _packed(vectors: DataFrame, rows: int, blocks: int) -> DataFrame:
             i, v = np.concatenate(ids), np.concatenate(values)
             ids.clear()
             values.clear()
-            return pa.RecordBatch.from_arrays([pa.array([i.astype("<i8").tobytes()]), pa.array([v.astype("<i4").tobytes()]), pa.array([width], pa.int32())], names=["ids", "vectors", "width"])
+            return pa.RecordBatch.from_arrays([pa.array([i.astype("<i8").tobytes()]), pa.array([v.astype("<f4" if (v == v.astype("<f4")).all() else "<f8").tobytes()]), pa.array([width], pa.int32())], names=["ids", "vectors", "width"])
 
         for batch in batches:
             lengths = np.diff(batch.column(1).offsets.to_numpy())
@@ -194,6 +210,11 @@ def _packed(vectors: DataFrame, rows: int, blocks: int) -> DataFrame:
     return common.stage(packed.withColumn("number", F.monotonically_increasing_id()), "blocks")
 
 
+def _doubles(ids: bytes, values: bytes, width: int) -> np.ndarray:
+    """A packed block's vectors; they are of four bytes where that is exact."""
+    return np.frombuffer(values, "<f4" if len(values) * 2 == len(ids) * width else "<f8").reshape(-1, width).astype(float)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """For each of ``queries`` (vec_id, v) its k best among ``vectors`` (vec_id, v): query_id, rank, vec_id, score.
 
@@ -206,30 +227,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     right = _packed(queries, QUERIES, max(1, -(-queries.count() // QUERIES)))
     copies = max(1, min(2 * parts // max(1, left.count()), right.count()))
     numbers = left.select("number", "width")
-    asked = right.select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.pmod(F.xxhash64("number"), F.lit(copies)).cast("int").alias("share"))
-    sent = numbers.hint("broadcast") if numbers.count() < 10_000 else numbers
-    asked = asked.join(sent, "width").select("number", "share", "query_ids", "query_vectors")
+    asked = right.select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("number").alias("query_block"), F.pmod(F.xxhash64("number"), F.lit(copies)).cast("int").alias("share"))
+    if numbers.count() < 10_000:
+        sent = asked.join(F.broadcast(numbers), "width")
+    else:
+        # nearly all blocks have one width: query blocks are dealt out over the parts, each of which gets all blocks' numbers
+        dealt_out = F.pmod(F.xxhash64("query_block"), F.lit(parts)).cast("int")
+        sent = asked.withColumn("salt", dealt_out).join(numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["width", "salt"])
+    asked = sent.select("number", "share", "query_ids", "query_vectors", "query_block")
     dealt = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    met = dealt.join(asked.hint("shuffle_merge"), ["number", "share"]).select("ids", "vectors", "width", "query_ids", "query_vectors")
+    met = dealt.join(asked.hint("shuffle_merge"), ["number", "share"]).select("ids", "vectors", "width", "query_ids", "query_vectors", "query_block")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[bytes, Slices | None] = (b"", None)
+        known: tuple = (b"", None, None)
         for batch in batches:
-            for ids, values, width, query_ids, query_values in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if known[1] is None or known[0] != values:
-                    known = (values, Slices(np.frombuffer(values, "<i4").reshape(-1, width).astype(np.int64)))
-                index, own = known[1], np.frombuffer(ids, "<i8")
+            for ids, values, width, query_ids, query_values, query_block in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                asked_for, own, doubles = _doubles(query_ids, query_values, width), np.frombuffer(ids, "<i8"), _doubles(ids, values, width)
+                asked_for = whole(asked_for, float(np.abs(doubles).max(initial=0)))
+                kind = asked_for.dtype
+                if known[0] != values or known[1] != kind:
+                    known = (values, kind, Slices(doubles.astype(np.int64) if kind != object else whole(doubles, float("inf"))))
+                index = known[2]
                 found: list[tuple[np.ndarray, ...]] = []
-                for q, v in zip(np.frombuffer(query_ids, "<i8").tolist(), np.frombuffer(query_values, "<i4").reshape(-1, width).astype(np.int64), strict=True):
+                for place, (q, v) in enumerate(zip(np.frombuffer(query_ids, "<i8").tolist(), asked_for, strict=True)):
                     same = int((own == q).sum())
                     rows, scores = index.top(v, k + same)
                     other = own[rows] != q
                     rows, scores = rows[other], scores[other]
-                    order = np.lexsort((own[rows], -scores))[:k]
-                    found.append((np.full(len(order), q), own[rows[order]], scores[order]))
+                    order = np.lexsort((own[rows], -scores))[:k] if kind != object else np.array(sorted(range(len(rows)), key=lambda i: (-int(scores[i]), own[rows[i]]))[:k], np.int64)  # noqa: B023
+                    found.append((np.full(len(order), q), own[rows[order]], scores[order], np.full(len(order), query_block), np.full(len(order), place)))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score", "query_block", "place"])
 
-    every = met.mapInArrow(ta.lean(best), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    every = met.mapInArrow(ta.lean(best), "query_id long, vec_id long, score long, query_block long, place long")
+    rank = F.row_number().over(Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
