@@ -12,13 +12,15 @@ TEXT_COLUMN = "text"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one is made only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; one is made only where the session names none and is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

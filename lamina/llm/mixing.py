@@ -9,8 +9,8 @@ until one document per source is left, which goes to the nearer side. So a sourc
 draw hangs on hashes of rows alone: reruns agree, however rows are dealt out.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null source is a source, last in order; a source without words has
-target 0; repeated rows are units of their own (equal rows may get unequal copies, but the same ones in every run); null ids are ids; an
-empty table gives no rows; ``mix`` keeps the input's columns whatever their names.
+target 0; repeated rows are one unit, and each gets as many copies as another or one more (as many of them in every run, however rows lie); null ids
+are ids; an empty table gives no rows; ``mix`` keeps the input's columns whatever their names and types.
 """
 
 from __future__ import annotations
@@ -54,12 +54,12 @@ def _ranked(sources: DataFrame) -> DataFrame:
 
 
 def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per source: source, rank, n, source_size, target. ``weights`` repeat along the ranks.
+    """One row per source: source, rank, n, source_size, target, of ``units`` (source, size, and how often, m). ``weights`` repeat along the ranks.
 
     The water level, at which a source of weight w gets w * level or its cap, is found by Newton steps from below: each is one sum over the
     sources, and the set of capped sources only grows.
     """
-    sizes = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n"))
     ranked = _ranked(sizes)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = common.stage(ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)), "ranked")
@@ -115,17 +115,24 @@ def _round(last: bool) -> Callable[[pa.Table], pa.Table]:
 
 
 def allocate(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``units`` (source, size, h and any others; h a hash of the row) with source_size, target and ``copies`` int, one row for each."""
-    units = common.stage(units, "units")
-    per_source = targets(units, weights, share, most)
+    """``units`` (source, size, h and any others; h a hash of the row) with source_size, target and ``copies`` int, one row for each.
+
+    Equal rows (of one h, source and size) are one unit with their number's multiple of the copies, so that a row that is repeated without
+    end is added up before it is shuffled; they share the copies by their places in the table's partitions.
+    """
+    units = common.stage(units.withColumn("_at", F.monotonically_increasing_id()), "units")
+    part, same = F.shiftright("_at", 33).alias("_part"), ["h", "source", "size"]
+    counts = common.stage(units.groupBy(*same, part).agg(F.count("*").alias("_here")), "counts")
+    groups = counts.groupBy(*same).agg(F.sum("_here").alias("m"))
+    per_source = targets(groups, weights, share, most)
     few = per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     side = per_source.select(F.col("source").alias("_source"), "rank", "n", "source_size", "target")
-    joined = units.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(wanted).cast("int")
-    joined = joined.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("left", F.when(F.col("size") > 0, wanted - whole).otherwise(0.0))
-    buckets = F.ceil(F.col("n") / BUCKET)
-    joined = joined.withColumn("buckets", buckets).withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).drop("n")
+    joined = groups.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    wanted = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    joined = joined.withColumn("whole", F.floor(wanted).cast("int")).withColumn("left", (wanted - F.floor(wanted)) * F.col("m"))
+    joined = joined.withColumn("sure", F.floor("left")).withColumn("left", F.col("left") - F.col("sure"))
+    joined = joined.withColumn("buckets", F.ceil(F.col("n") / BUCKET)).withColumn("bucket", F.pmod(F.col("h"), F.col("buckets"))).drop("n")
+    joined = common.stage(joined, "groups")
     result = [joined.filter("left <= 0 OR left >= 1")]
     rest = joined.filter("left > 0 AND left < 1")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rest.schema])
@@ -141,13 +148,34 @@ def allocate(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     out = result[0]
     for r in result[1:]:
         out = out.unionByName(r)
-    return out.withColumn("copies", (F.col("whole") + F.col("left")).cast("int")).drop("whole", "left", "buckets", "bucket", "rank")
+    settled = out.select(*[F.col(c).alias(f"_{c}") for c in same], "whole", "source_size", "target", (F.col("sure") + F.col("left")).cast("long").alias("more"))
+    equal = lambda *more: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*same, *more)]
+    before = F.coalesce(F.sum("_here").over(Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = counts.withColumn("_before", before).join(settled, _all(equal())).select(*[f"_{c}" for c in same], "_part", "whole", "source_size", "target", F.least(F.greatest(F.col("more") - F.col("_before"), F.lit(0)), F.col("_here")).alias("_more"))
+    placed = units.withColumn("_in", part).join(shares, _all([*equal(), F.col("_in") == F.col("_part")]))
+    place = F.row_number().over(Window.partitionBy("_h", "_source", "_size", "_part").orderBy("_at"))
+    copies = (F.col("whole") + (place <= F.col("_more")).cast("int")).cast("int")
+    return placed.withColumn("copies", copies).select(*[c for c in units.columns if c != "_at"], "source_size", "target", "copies")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def _has_map(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind)
+
+
+def _row_hash(docs: DataFrame, columns: list[str]) -> Column:
+    """A hash of ``columns``; those with maps, which have no hash, take part as JSON."""
+    return F.xxhash64(F.lit(17), *[F.to_json(F.struct(docs[c].alias("c"))) if _has_map(docs.schema[c].dataType) else docs[c] for c in columns])
 
 
 def units_of(docs: DataFrame, *others: str) -> DataFrame:
-    return docs.select(
-        *others, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(17), F.col("doc_id"), F.col("source"), F.col("text")).alias("h")
-    )
+    return docs.select(*others, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _row_hash(docs, ["doc_id", "source", "text"]).alias("h"))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -156,11 +184,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken. Rows equal in all columns share their copies evenly."""
-    key = F.xxhash64(*[docs[c] for c in docs.columns]).alias("_key")
-    taken = allocate(docs.select("doc_id", "source", "text", key).transform(lambda d: units_of(d, "_key")), weights, share, most)
-    per_key = taken.groupBy(F.col("_key").alias("_of")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")).filter("_copies > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key).join(per_key, F.col("_key") == F.col("_of"))
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    copies = F.floor(F.col("_copies") / F.col("_n")) + (place <= F.col("_copies") % F.col("_n")).cast("long")
-    return rows.withColumn("_times", copies).filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")
+    """The mix itself: each row of ``docs`` as often as it is taken. Rows are staged with a number, by which they get their copies."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"), _row_hash(docs, docs.columns).alias("h"), F.monotonically_increasing_id().alias("_id"))
+    rows = common.stage(own, "rows")
+    taken = allocate(rows.select("_id", "source", "size", "h"), weights, share, most).filter("copies > 0").select("_id", "copies")
+    return rows.select("_row", "_id").join(taken, "_id").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

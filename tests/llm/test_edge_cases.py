@@ -52,7 +52,23 @@ def test_mixing(hard, none):
     assert sorted(map(key, got)) == sorted(map(key, mixing.plan(hard.repartition(7)).collect()))
     assert count(mixing.plan(none)) == 0 and count(mixing.mix(none)) == 0
     mixed = mixing.mix(hard)
-    assert mixed.columns == hard.columns and count(mixed) == sum(r.copies for r in got)
+    assert mixed.columns == hard.columns and count(mixed) == sum(r.copies for r in mixing.allocate(hard.select("source", mixing.word_count(F.col("text")).alias("size"), mixing._row_hash(hard, hard.columns).alias("h"))).collect())
+    maps = hard.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("n", F.array(F.struct(F.create_map(F.lit(1), F.lit("x")).alias("y"))))
+    assert mixing.mix(maps).schema.simpleString() == maps.schema.simpleString() and count(mixing.mix(maps)) > 0
+
+
+def test_mixing_of_a_row_that_is_a_third_of_the_table(spark):
+    """Its copies are shared evenly, the target is met, and it does not matter how rows are dealt out."""
+    rows = [(7, "the same words again", "a")] * 900 + [(100 + i, " ".join(["w"] * (i % 30 + 1)), "ab"[i % 2]) for i in range(1800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [mixing.plan(frame.repartition(n)).collect() for n in (1, 13)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1])) and len(runs[0]) == len(rows)
+    assert len({r.copies for r in runs[0] if r.doc_id == 7}) <= 2 and max(r.copies for r in runs[0] if r.doc_id == 7) - min(r.copies for r in runs[0] if r.doc_id == 7) <= 1
+    for source in "ab":
+        own = [r for r in runs[0] if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 16
+    taken = mixing.mix(frame).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert all(abs(r.n - next(x.target for x in runs[0] if x.source == r.source)) <= 16 for r in taken)
 
 
 def test_near_duplicates(hard, none):
@@ -204,9 +220,23 @@ def test_token_store(spark, hard, none):
 
 @pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
 def test_stages_take_hard_rows(spark, hard, none, sf_dir, name, stage):
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = common.stage(hard.select("doc_id", "text", "lang", "source", "n_chars"), "hard")
-    out = stage(spark, docs, sf_dir)
-    assert count(out) >= 0 and count(stage(spark, spark.createDataFrame([], columns), sf_dir)) == 0
-    if name != "bpe":
-        assert out.schema.simpleString() == docs.schema.simpleString()
+    """All columns go along, clashing names too; what each stage keeps of the hard rows is said here."""
+    docs = common.stage(hard, "hard")
+    out = common.stage(stage(spark, docs, sf_dir), "out")
+    got, texts = out.collect(), {i: r[1] for i, r in enumerate(rows())}
+    ids = [r.doc_id for r in got]
+    assert count(stage(spark, none, sf_dir)) == 0
+    if name == "bpe":
+        assert out.columns == [c for c in docs.columns if c != "text"] + ["input_ids", "n_tokens"]
+        assert len(got) == len(rows()) and all(r.n_tokens == len(r.input_ids) for r in got) and all(r.label in ("x", None) and r.node == (r.doc_id if r.label else None) for r in got)
+        return
+    assert out.schema.simpleString() == docs.schema.simpleString() and all(r["a b"] in ("z", None) and r._row in (9, None) for r in got)
+    if name == "quality_rules":
+        assert not {0, 1, 2, 3, 4, 9, 10, 13, 14} & set(ids) and {5, 6, 7, 8, 12} <= set(ids)
+    elif name == "near_dedup":
+        assert all(ids.count(i) == 1 for i in (0, 1, 2, 3, 4, 8, 12)) and not {6, 7} & set(ids)
+    elif name == "suffix_dedup":
+        assert len(got) == len(rows()) and [r.text for r in got if r.doc_id == 6] == [""] and [r.text for r in got if r.doc_id == 0] == [None]
+        assert all(r.text == texts[r.doc_id] for r in got if r.doc_id in (1, 2, 3, 4, 8, 12))
+    else:
+        assert all(r.text is not None and r.text.strip() for r in got) and all(ids.count(i) <= 2 for i in range(15) if i != 5) and len(got) > 0
