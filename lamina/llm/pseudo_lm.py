@@ -5,8 +5,8 @@ quarter of the ids by hash. There are as many ids as give each word that occurs
 the model that each task sends. A sharing word's probability is its id's times its own count's share of the id's, so every word of the corpus counts as
 often as it occurs and probabilities sum to one over the corpus's words; as context, words of one id look alike. The network sees the ``REACH`` words on either side of a hidden one: each position has its own embedding table, the sum
 goes through tanh, and a two-level softmax gives the class and the word within it. Training hides every position of every
-document in one of its rounds; each partition runs Adagrad from the common parameters over all of its documents, and the results are averaged
-by tokens in a two-level reduction, so what training gathers grows with the corpus while the model does not. A document's score is the sum,
+document in one of its rounds; each task (of at least about ``TASK_WORDS`` words) runs Adagrad from the common parameters over all of its documents,
+and the results are averaged by tokens in a two-level reduction, so what training gathers grows with the corpus while the model does not. A document's score is the sum,
 over all its words, of the log probability of the word given both sides.
 
 Defined results: null and empty texts have no words, the score 0 and no mean; words at a text's ends see padding; repeated rows are scored alike
@@ -29,11 +29,13 @@ from lamina.llm import textarray as ta
 
 WORDS, MOST_WORDS, OWN = 2048, 8192, 50
 REACH, WIDTH = 2, 32
-ROUNDS, RATE, STEP = 2, 0.15, 4096
+ROUNDS, RATE, STEP = 2, 0.15, 16_384
 #: Words of a document that are hidden in the same round.
 _RUN = 256
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 _CHUNK = 8192
+#: Words whose outputs stay in a core's cache together.
+_CACHED = 2048
 _HELD = 400_000
 
 
@@ -125,19 +127,27 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in frequent], totals)
 
 
-def _log_of(x: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Each row's log softmax at its ``which``; ``x`` is used up."""
-    x -= x.max(axis=1, keepdims=True)
-    got = x[np.arange(len(x)), which]
-    return got - np.log(np.exp(x, out=x).sum(axis=1))
+def _logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Outputs by words (the columns of ``h``, whose last row is 1), and whether their exponentials surely are neither too large nor all too small."""
+    reach = np.abs(weights).sum(axis=0)
+    return np.vstack([weights, bias]).T @ h, bool((bias + reach).max() < 80 and (bias - reach).max() > -80)
 
 
-def _softmax_error(x: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
-    """The gradient of -log softmax at ``which`` over ``n``, in place of ``x``."""
-    x -= x.max(axis=1, keepdims=True)
+def _log_of(x: np.ndarray, safe: bool, which: np.ndarray) -> np.ndarray:
+    """Each column's log softmax at its ``which``; ``x`` is used up."""
+    if not safe:
+        x -= x.max(axis=0)
+    got = x[which, np.arange(x.shape[1])]
+    return got - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def _softmax_error(x: np.ndarray, safe: bool, which: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of -log softmax at ``which`` over ``n``, in place of ``x``, whose columns are words."""
+    if not safe:
+        x -= x.max(axis=0)
     np.exp(x, out=x)
-    x *= 1 / (x.sum(axis=1, keepdims=True) * np.float32(n))
-    x[np.arange(len(x)), which] -= np.float32(1 / n)
+    x *= 1 / (x.sum(axis=0) * np.float32(n))
+    x[which, np.arange(x.shape[1])] -= np.float32(1 / n)
     return x
 
 
@@ -199,6 +209,12 @@ class Network:
         order = np.argsort(kind, kind="stable")
         return order, (target // self.classes)[order], np.searchsorted(kind[order], np.arange(self.classes + 1))
 
+    def _columns(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The hidden values of each word as a column, above a row of ones."""
+        out = np.ones((WIDTH + 1, len(at)), np.float32)
+        out[:WIDTH] = self.hidden(padded, at).T
+        return out
+
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each of ``at``, given those around it."""
         out = np.empty(len(at))
@@ -206,12 +222,12 @@ class Network:
             own = at[first : first + _CHUNK]
             target = padded[own].astype(np.int64)
             order, member, bounds = self._by_class(target)
-            h = self.hidden(padded, own)[order]
-            got = _log_of(h @ self.to_class + self.class_bias, target[order] % self.classes).astype(float)
+            h = self._columns(padded, own[order])
+            got = _log_of(*_logits(self.to_class, self.class_bias, h), target[order] % self.classes).astype(float)
             for c in range(self.classes):
-                rows = slice(bounds[c], bounds[c + 1])
+                own_class = slice(bounds[c], bounds[c + 1])
                 if bounds[c + 1] > bounds[c]:
-                    got[rows] += _log_of(h[rows] @ self.to_member[c] + self.member_bias[c], member[rows])
+                    got[own_class] += _log_of(*_logits(self.to_member[c], self.member_bias[c], h[:, own_class]), member[own_class])
             out[first + order] = got
         return out
 
@@ -220,24 +236,29 @@ class Network:
         n = len(at)
         target = padded[at].astype(np.int64)
         order, member, bounds = self._by_class(target)
-        h = self.hidden(padded, at)[order]
-        d = _softmax_error(h @ self.to_class + self.class_bias, target[order] % self.classes, n)
-        dh = d @ self.to_class.T
-        self._move(squares, "to_class", ..., h.T @ d, rate)
-        self._move(squares, "class_bias", ..., d.sum(axis=0), rate)
+        h, dh, gradient = np.empty((WIDTH + 1, n), np.float32), np.empty((WIDTH, n), np.float32), np.zeros((WIDTH + 1, self.classes), np.float32)
+        for first in range(0, n, _CACHED):
+            own = slice(first, first + _CACHED)
+            part = self._columns(padded, at[order[own]])
+            d = _softmax_error(*_logits(self.to_class, self.class_bias, part), target[order[own]] % self.classes, n)
+            h[:, own], dh[:, own] = part, self.to_class @ d
+            gradient += part @ d.T
+        self._move_outputs(squares, ("to_class", "class_bias"), ..., gradient, rate)
         for c in range(self.classes):
-            rows = slice(bounds[c], bounds[c + 1])
+            own = slice(bounds[c], bounds[c + 1])
             if bounds[c + 1] > bounds[c]:
-                e = _softmax_error(h[rows] @ self.to_member[c] + self.member_bias[c], member[rows], n)
-                dh[rows] += e @ self.to_member[c].T
-                self._move(squares, "to_member", c, h[rows].T @ e, rate)
-                self._move(squares, "member_bias", c, e.sum(axis=0), rate)
-        dh *= 1 - h * h
-        self._move(squares, "bias", ..., dh.sum(axis=0), rate)
+                e = _softmax_error(*_logits(self.to_member[c], self.member_bias[c], h[:, own]), member[own], n)
+                dh[:, own] += self.to_member[c] @ e
+                self._move_outputs(squares, ("to_member", "member_bias"), c, h[:, own] @ e.T, rate)
         # a word seen at place p took part in the words at p - REACH .. p + REACH: one row of ``around``
         low, high = int(at[0]) - REACH, int(at[-1]) + REACH + 1
         dz = np.zeros((high - low + 2 * REACH, WIDTH), np.float32)
-        dz[at[order] - low + REACH] = dh
+        for first in range(0, n, _CACHED):
+            own = slice(first, first + _CACHED)
+            part = h[:WIDTH, own]
+            dh[:, own] *= 1 - part * part
+            dz[at[order[own]] - low + REACH] = dh[:, own].T
+        self._move(squares, "bias", ..., dh.sum(axis=1), rate)
         around = np.lib.stride_tricks.as_strided(dz, (high - low, (2 * REACH + 1) * WIDTH), dz.strides, writeable=False)
         seen = padded[low:high]
         by = np.argsort(seen, kind="stable")
@@ -247,6 +268,11 @@ class Network:
         for j, o in enumerate(_OFFSETS):
             self._move(squares, "context", (j, words[head]), sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH], rate)
 
+    def _move_outputs(self, squares: Network, names: tuple[str, str], where, gradient: np.ndarray, rate: float) -> None:
+        """Weights and, by the gradient's last row, biases."""
+        self._move(squares, names[0], where, gradient[:-1], rate)
+        self._move(squares, names[1], where, gradient[-1], rate)
+
     def _move(self, squares: Network, name: str, where, gradient: np.ndarray, rate: float) -> None:
         total, change = getattr(squares, name), gradient * gradient
         change += total[where]
@@ -368,6 +394,8 @@ def _hidden(ids: list[bytes], number: int, rounds: int, words: int = WORDS) -> t
 
 
 _PIECE = 16_384
+#: Words of a training task, at least: a task sends its whole model, so models must be few beside the words.
+TASK_WORDS = 4 << 20
 _PARAMETERS = "piece int, group int, values binary, weight double"
 
 
@@ -382,6 +410,7 @@ def _added(table: pa.Table) -> pa.Table:
 def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
     """Fit to all of ``tokens``; each round sends the driver one model, of ``Network.size(vocabulary.size)`` numbers."""
     net = Network.start(vocabulary.unigram)
+    tasks = max(1, int(vocabulary.unigram.sum()) // TASK_WORDS)
     for number in range(rounds):
         flat = net.flat.copy()
 
@@ -401,7 +430,7 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
                 columns = (pa.array(list(pieces), pa.int32()), pa.array([group] * len(pieces), pa.int32()), pa.array([own.flat[i * _PIECE : (i + 1) * _PIECE].tobytes() for i in pieces]), pa.array([float(seen)] * len(pieces)))
                 yield pa.RecordBatch.from_arrays(list(columns), names=["piece", "group", "values", "weight"])
 
-        trained = tokens.select("ids").mapInArrow(ta.lean(local), _PARAMETERS)
+        trained = tokens.select("ids").coalesce(tasks).mapInArrow(ta.lean(local), _PARAMETERS)
         mean = trained.groupBy("piece", "group").applyInArrow(ta.lean(_added), _PARAMETERS).groupBy("piece").applyInArrow(ta.lean(_added), _PARAMETERS)
         rows = sorted((r.piece, bytes(r["values"])) for r in mean.collect())
         if not rows:
