@@ -2,8 +2,9 @@
 
 A document is a multiset of shingles of ``SHINGLE`` words (all words, if it has fewer). Weights are discretised to counts 1, 2, 3, ...; levels
 are arranged in dyadic blocks [0,1), [1,2), [2,4), [4,8), ... Each block of each shingle has a Poisson process whose rate is its number of
-levels; a point falls at a time, into one of ``BANDS * ROWS`` components, and, by successive halvings of the block, onto one level. A document
-sees the points on levels below its count: wholly covered blocks need no halving, and only one block per shingle is cut. Component i of the
+levels; a point falls at a time, into one of ``BANDS * ROWS`` components, and onto one level, each of whose bits chooses a half of what is left of the block.
+A document sees the points on levels below its count; of the one block per shingle that its count cuts, at most half of the points fall above it and are
+drawn in vain (the process is not split in two, which would spare those draws and change no result). Component i of the
 signature is the earliest time of its points; it is equal for two documents with a probability of exactly their weighted Jaccard similarity.
 Points are made in order of time and a process ends as soon as it is past the latest of its document's current component minima,
 so that a shingle of a long document seldom costs more than its first point.
@@ -303,12 +304,11 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per distinct text with words: node, ``root`` (the class's node of smallest id), ``root_id`` and ``class_id``."""
     worded = docs.filter(has_words(F.col("text")))
     nodes = common.stage(worded.groupBy(node_of(F.col("text")).alias("node")).agg(F.min("doc_id").alias("first_id")), "nodes")
-    signed = common.stage(signature_keys(docs, bands, rows), "signatures")
+    # one row for each text before bands are taken apart, so that copies cost a row each and not one for each band
+    signed = common.stage(signature_keys(docs, bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
     rows_ = signed.select("node", F.posexplode("keys").alias("band", "bucket"))
     several = rows_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
-    shared = rows_.join(several, "bucket").distinct()
-    keys = signed.groupBy("node").agg(F.first("keys").alias("keys"))
-    shared = common.stage(shared.join(keys, "node"), "shared")
+    shared = common.stage(rows_.join(several, "bucket").join(signed, "node"), "shared")
     wanted = shared.select("node").distinct().join(nodes, "node")
     same = (F.col("t.node") == F.col("w.node")) & F.col("t.doc_id").eqNullSafe(F.col("w.first_id"))
     texts = worded.select(node_of(F.col("text")).alias("node"), "doc_id", "text").alias("t").join(wanted.alias("w"), same, "left_semi").select("node", "text")
