@@ -118,7 +118,9 @@ def overlapping_boxes(cell: int = 8) -> Text:
     """(a, b): pairs of parts whose boxes overlap, found by the grid cells that both touch. Boxes: place and size by key and size."""
 
     def text(d: Dialect) -> str:
-        boxes = "SELECT p_partkey AS id, p_partkey * 37 % 997 AS x0, p_partkey * 91 % 991 AS y0, p_partkey * 37 % 997 + p_size % 13 + 1 AS x1, p_partkey * 91 % 991 + p_size % 7 + 1 AS y1 FROM {part} p"
+        # the plane grows with the table: a strip of 1,000 for every 1,000 keys
+        top = f"p_partkey * 91 % 991 + 1000 * CAST({d.div('p_partkey', '1000')} AS BIGINT)"
+        boxes = f"SELECT p_partkey AS id, p_partkey * 37 % 997 AS x0, {top} AS y0, p_partkey * 37 % 997 + p_size % 13 + 1 AS x1, {top} + p_size % 7 + 1 AS y1 FROM {{part}} p"
         cells = f"SELECT id, x0, y0, x1, y1, cx, {d.explode(d.series(d.div('y0', str(cell)), d.div('y1 - 1', str(cell))), 'cy')} FROM (SELECT *, {d.explode(d.series(d.div('x0', str(cell)), d.div('x1 - 1', str(cell))), 'cx')} FROM ({boxes}) b) c"
         return f"SELECT DISTINCT a.id AS a, b.id AS b FROM ({cells}) a JOIN ({cells}) b ON b.cx = a.cx AND b.cy = a.cy WHERE a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lamina.operators import adjust as A
 from lamina.operators import compose as C
 from lamina.operators import edits as E
+from lamina.operators import forest as T
 from lamina.operators import geometry as M
 from lamina.operators import kernels as K
 from lamina.operators import neighbours as N
@@ -165,17 +166,17 @@ BAD_TREE = Source(
     V.TREE.tables,
 )
 TREES = {
-    "tree_effective_opacity": Query(R.effective_opacity(), TREE),
-    "visible_leaves": Query(R.visible_leaves(), TREE),
-    "depth_first_order": Query(R.depth_first(), TREE),
-    "descendants": Query(R.descendants("R2"), TREE),
-    "lowest_common_folder": Query(R.common_folder(("N0", "N5", "N10")), TREE),
-    "topmost_selected": Query(R.topmost_selected(("R1", "N3", "C7", "C20", "N8")), TREE),
+    "tree_effective_opacity": Query(R.effective_opacity(), TREE, T.effective_opacity),
+    "visible_leaves": Query(R.visible_leaves(), TREE, T.visible_leaves),
+    "depth_first_order": Query(R.depth_first(), TREE, T.depth_first),
+    "descendants": Query(R.descendants("R2"), TREE, lambda t: T.descendants(t, "R2")),
+    "lowest_common_folder": Query(R.common_folder(("N0", "N5", "N10")), TREE, lambda t: T.common_folder(t, ("N0", "N5", "N10"))),
+    "topmost_selected": Query(R.topmost_selected(("R1", "N3", "C7", "C20", "N8")), TREE, lambda t: T.topmost_selected(t, ("R1", "N3", "C7", "C20", "N8"))),
     "siblings": Query(R.siblings(), TREE),
-    "tree_violations": Query(R.violations(), {"tree": BAD_TREE}),
-    "folder_mask_product": Query(R.folder_mask_product(), TREE),
-    "live_mask_chain": Query(R.mask_chain(), LAYERS),
-    "subtree_copy": Query(R.remapped_copy("N5"), TREE),
+    "tree_violations": Query(R.violations(), {"tree": BAD_TREE}, T.violations),
+    "folder_mask_product": Query(R.folder_mask_product(), TREE, T.folder_mask_product),
+    "live_mask_chain": Query(R.mask_chain(), LAYERS, T.mask_chain),
+    "subtree_copy": Query(R.remapped_copy("N5"), TREE, lambda t: T.subtree_copy(t, "N5")),
     "snap_nearest": Query(R.snap_nearest(6), HEAT),
     "rect_overlap_join": Query(R.overlapping_boxes(), {"part": _table("part")}),
     "patch_replacement": Query(R.patched(), GREY),

@@ -74,12 +74,18 @@ def run(text: Text, frames: dict[str, DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Query:
-    """``text`` over ``sources``: for each name, how to get its frame in Spark and its SQL in DuckDB."""
+    """``text`` over ``sources``: for each name, how to get its frame in Spark and its SQL in DuckDB.
+
+    With ``frames``, a function of the sources' DataFrames, Spark runs that instead, and the text is what it is held against.
+    """
 
     text: Text
     sources: dict[str, Source] = field(default_factory=dict)
+    frames: Callable[..., DataFrame] | None = None
 
     def spark(self, session: SparkSession, sf_dir: str) -> DataFrame:
+        if self.frames:
+            return self.frames(*[s.frame(session, sf_dir) for s in self.sources.values()])
         return session.sql(self.text(SPARK), **{name: s.frame(session, sf_dir) for name, s in self.sources.items()})
 
     def duckdb(self) -> str:

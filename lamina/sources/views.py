@@ -30,11 +30,11 @@ def _grey(d: Dialect) -> str:
 
 
 def _layers(d: Dialect) -> str:
-    """Every label is a document; its images are layers from the bottom up, with opacity and blend mode by id, and one folder in three."""
+    """A label's images within 400 ids are a document, so documents grow in number and not in size; its images are layers from the bottom up, with opacity and blend mode by id."""
     modes = ("Normal", "Multiply", "Screen", "Overlay", "Darken", "Lighten", "Difference", "Soft Light", "Hard Light", "Linear Dodge (Add)")
     cases = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(modes))
     return (
-        "SELECT label AS document_id, vec_id AS layer_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS z, "
+        f"SELECT label + 10 * CAST({d.div('vec_id', '400')} AS BIGINT) AS document_id, vec_id AS layer_id, CAST(row_number() OVER (PARTITION BY label, {d.div('vec_id', '400')} ORDER BY vec_id) AS INT) AS z, "
         f"CAST(1 + vec_id % 10 AS DOUBLE) / 10e0 AS opacity, CASE vec_id % 10 {cases} END AS blend_mode, vec_id % 11 <> 0 AS is_visible FROM {_t(d, 'embeddings')}"
     )
 
