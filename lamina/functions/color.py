@@ -16,7 +16,7 @@ def finite_or(e: str, low: float, high: float, other: float) -> str:
 
 def straight(c: str, a: str = "a") -> str:
     """A premultiplied byte channel as a share; null where the pixel is clear."""
-    return f"least({c} * 1e0 / nullif({a}, 0), 1e0)"
+    return f"CASE WHEN {a} > 0 THEN least({c} * 1e0 / nullif({a}, 0), 1e0) END"
 
 
 def premultiplied(e: str, old: str, a: str = "a") -> str:

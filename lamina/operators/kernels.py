@@ -124,18 +124,30 @@ def best_patch(hole: Callable[[np.ndarray], np.ndarray], reach: int = 1, rounds:
     return kernel
 
 
-def luminance_noise(amount: float, threshold: float = 8.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Noise reduction that reads its own results: flat places move to the mean of their neighbours, in reading order."""
+def _box_mean(plane: np.ndarray, r: int) -> np.ndarray:
+    """Means over squares of 2 r + 1; what lies outside is as the nearest place inside."""
+    for axis in (1, 0):
+        wide = np.pad(plane, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
+        plane = np.lib.stride_tricks.sliding_window_view(wide, 2 * r + 1, axis=axis).mean(axis=-1)
+    return plane
+
+
+def luminance_noise(amount: float, detail: float = 50, contrast: float = 0) -> Callable[[np.ndarray], np.ndarray]:
+    """Noise reduction of tone, in reading order: a place moves towards its mean, less so at edges, which are measured on what has been done so far."""
+    r = int(min(64.0, max(1.0, 1 + amount / 50)) + 0.5)
 
     def kernel(plane: np.ndarray) -> np.ndarray:
-        out = plane.astype(float).copy()
-        height, width = out.shape
+        luma = plane.astype(float) / 255
+        mean = _box_mean(luma, r)
+        height, width = luma.shape
         for y in range(height):
             for x in range(width):
-                around = out[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
-                edge = np.abs(around - out[y, x]).sum() / max(1, around.size - 1)
-                out[y, x] += amount * max(0.0, 1 - edge / threshold) * (around.mean() - out[y, x])
-        return out
+                around = luma[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+                edge = np.abs(around - luma[y, x]).sum() / max(1, around.size - 1)
+                local = amount / 100 * (1 - detail / 100 * min(1.0, edge * 6))
+                old = luma[y, x]
+                luma[y, x] = old * (1 - local) + mean[y, x] * local + contrast / 100 * 0.25 * (old - mean[y, x])
+        return np.floor(np.clip(luma, 0, 1) * 255 + 0.5)
 
     return kernel
 

@@ -181,17 +181,6 @@ def matte(contrast: float, shift: float) -> Text:
     return lambda d: f"SELECT image_id, y, x, CAST(round(255e0 * {c.clamp(f'(v / 255e0 - 0.5e0) * {num(1 + contrast / 25)} + 0.5e0 + {num(shift / 200)}')}) AS INT) AS v FROM {{px}} p"
 
 
-def scanlines(spacing: int = 2, beam: float = 0.6) -> Text:
-    """Lines brighter at their middle, as wide as their mean tone asks."""
-
-    def text(d: Dialect) -> str:
-        line = f"CAST({d.div('y', str(spacing))} AS INT)"
-        mean = f"SELECT *, avg(v / 255e0) OVER (PARTITION BY image_id, {line}) AS tone, abs((y % {spacing} + 0.5e0) / {num(spacing)} - 0.5e0) * 2e0 AS off FROM {{px}} p"
-        return f"SELECT image_id, y, x, CAST(round(v * {c.clamp(f'1e0 - off * {num(1 - beam)} * (1e0 - tone)')}) AS INT) AS v FROM ({mean}) m"
-
-    return text
-
-
 def feather(region: Text, amount: float) -> Text:
     """Soft coverage of a region of grey rasters: a Gaussian of half the amount."""
     return lambda d: f"SELECT image_id, y, x, round(c2, 6) AS coverage FROM ({gauss(f'SELECT p.image_id, p.y, p.x, CASE WHEN s.image_id IS NULL THEN 0e0 ELSE 1e0 END AS c FROM {{px}} p LEFT JOIN ({region(d)}) s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x', 'c', 'c2', amount / 2)}) b"

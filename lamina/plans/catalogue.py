@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lamina.operators import adjust as A
 from lamina.operators import compose as C
+from lamina.operators import detail as D
 from lamina.operators import edits as E
 from lamina.operators import forest as T
 from lamina.operators import geometry as M
 from lamina.operators import kernels as K
 from lamina.operators import neighbours as N
+from lamina.operators import placement as P
 from lamina.operators import records as X
 from lamina.operators import select as S
 from lamina.operators import stats as G
@@ -138,7 +140,6 @@ WINDOWS = {
     "tonal_contrast": Query(N.tonal_contrast(40), GREY),
     "guided_filter": Query(N.guided(2, 0.01), GREY),
     "matte_contrast": Query(N.matte(30, 10), GREY),
-    "scanlines": Query(N.scanlines(), GREY),
     "feather": Query(N.feather(S.threshold("white"), 2), GREY),
     "drop_shadow": Query(N.shape_effect("drop_shadow", 2, 1, 1), GREY),
     "inner_shadow": Query(N.shape_effect("inner_shadow", 2, 1, 0), GREY),
@@ -243,7 +244,35 @@ EDITS = {
     "homography": Query(E.homography_columns(), {"quads": QUADS}),
 }
 
-QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS | EDITS
+DETAIL = {
+    "scanlines": Query(D.scanlines(), RGBA),
+    "scanlines_plain": Query(D.scanlines(2, 0, 0, (0, 0, 0), (255, 255, 255)), RGBA),
+    "colour_noise": Query(D.colour_noise(60), RGBA),
+    "sharpened": Query(D.sharpened(120), RGBA),
+    "sharpen_overlay": Query(D.sharpen_overlay(), RGBA),
+    "glow_added": Query(D.glow_added(40), RGBA),
+    "effects_in_order": Query(D.effects_in_order(), RGBA),
+    "cleared_selection": Query(D.cleared(), RGBA),
+    "copy_merged": Query(D.copied_merged(), BOTH),
+    "ring_statistics": Query(D.ring_statistics(), GREY),
+    "mixer_weights": Query(D.mixer_weights(), RGBA),
+    "hsb_kept": Query(D.hsb_kept(), RGBA),
+    "sampled_hue": Query(D.sampled_hue(1, 2), RGBA),
+}
+PLACEMENT = {
+    "sampling_policy": Query(P.sampling_policy(), LAYERS),
+    "drag_box": Query(P.drag_box(), HEAT),
+    "grown_for_blur": Query(P.grown_for_blur(), LAYERS),
+    "radii": Query(P.radii(), HEAT),
+    "random_steps": Query(P.random_steps(), HEAT),
+    "curve_points": Query(P.curve_points(), HEAT),
+    "dirty_union": Query(P.dirty_union(), HEAT),
+    "following": Query(P.following(), LAYERS),
+    "mask_link_violations": Query(P.mask_link_violations(), LAYERS, P.mask_link_frames),
+    "undo_redo": Query(P.history(), HEAT),
+}
+
+QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS | EDITS | DETAIL | PLACEMENT
 
 
 def _kernel(make) -> object:
@@ -263,7 +292,7 @@ KERNELS = {
     "error_diffusion_atkinson": _kernel(lambda: K.error_diffusion("Atkinson", 3)),
     "heal_membrane": _kernel(lambda: K.membrane(_hole, 60)),
     "content_fill": _kernel(lambda: K.best_patch(_hole)),
-    "luminance_noise": _kernel(lambda: K.luminance_noise(0.5)),
+    "luminance_noise": _kernel(lambda: K.luminance_noise(60, 40, 20)),
     "smudge": _kernel(lambda: K.smudge([(1, 1), (3, 2), (6, 5)], 3, 0.8)),
     "liquify": _kernel(lambda: K.liquify([(1, 1), (3, 2), (6, 5)], 3, 0.5)),
 }
