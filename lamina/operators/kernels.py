@@ -6,6 +6,7 @@ group is one raster of bounded size.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -54,72 +55,136 @@ def error_diffusion(name: str = "Floyd-Steinberg", levels: int = 2, strength: fl
     return kernel
 
 
-def membrane(hole: Callable[[np.ndarray], np.ndarray], sweeps: int = 300, relaxation: float = 1.8) -> Callable[[np.ndarray], np.ndarray]:
-    """Fills a hole with the smoothest surface that meets its rim: over-relaxed sweeps in place, row by row, after a coarse start."""
-
-    def solve(plane: np.ndarray, inside: np.ndarray, rounds: int) -> np.ndarray:
-        out = plane.copy()
-        height, width = out.shape
-        places = np.argwhere(inside)
-        for _ in range(rounds):
-            for y, x in places:
-                near = [out[b, a] for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < height and 0 <= a < width]
-                out[y, x] += relaxation * (sum(near) / len(near) - out[y, x])
-        return out
+def _halved(value: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of two by two places: of the known ones, or, where there are none, of the hole; and where that is."""
+    height, width = value.shape
+    pad = ((0, height % 2), (0, width % 2))
+    cells = lambda x: np.pad(x, pad).reshape((height + 1) // 2, 2, (width + 1) // 2, 2).sum(axis=(1, 3))
+    known, hole = cells((~inside).astype(float)), cells(inside.astype(float))
+    sums = np.where(known > 0, cells(np.where(inside, 0, value)), cells(np.where(inside, value, 0)))
+    return sums / np.maximum(np.where(known > 0, known, hole), 1), known == 0
+
+
+def relaxed(value: np.ndarray, inside: np.ndarray, sweeps: int = 300, factor: float = 1.8, deepest: int = 16) -> np.ndarray:
+    """Successive over-relaxation of the places ``inside``, as if row by row: those of one anti-diagonal do not touch and go at once.
+
+    Frames beyond 32 places a side start from the solution at half their size, and 40 sweeps do.
+    """
+    out = value.astype(float).copy()
+    height, width = out.shape
+    if min(height, width) > 32 and deepest:
+        small, small_inside = _halved(out, inside)
+        coarse = relaxed(small, small_inside, sweeps, factor, deepest - 1)
+        y, x = np.nonzero(inside & np.repeat(np.repeat(small_inside, 2, 0), 2, 1)[:height, :width])
+        out[y, x], sweeps = coarse[y // 2, x // 2], 40
+    wide, n = np.pad(out, 1), np.pad(np.ones((height, width)), 1)
+    ys, xs = np.nonzero(inside)
+    lines = [(ys[on] + 1, xs[on] + 1) for k in np.unique(ys + xs) for on in [ys + xs == k]]
+    near = lambda m, y, x: m[y, x - 1] + m[y, x + 1] + m[y - 1, x] + m[y + 1, x]
+    counts = [near(n, y, x) for y, x in lines]
+    for _ in range(sweeps):
+        for (y, x), count in zip(lines, counts, strict=True):
+            wide[y, x] += factor * (near(wide, y, x) / count - wide[y, x])
+    return wide[1:-1, 1:-1]
+
+
+def membrane(hole: Callable[[np.ndarray], np.ndarray], sweeps: int = 300, factor: float = 1.8) -> Callable[[np.ndarray], np.ndarray]:
+    """Fills a hole with the smoothest surface that meets its rim, from the mean of what is known."""
 
     def kernel(plane: np.ndarray) -> np.ndarray:
         inside = hole(plane)
         if not inside.any() or inside.all():
             return plane
-        start = plane.copy()
-        start[inside] = plane[~inside].mean()
-        return solve(start, inside, sweeps)
+        return relaxed(np.where(inside, plane[~inside].mean(), plane), inside, sweeps, factor)
 
     return kernel
 
 
-def best_patch(hole: Callable[[np.ndarray], np.ndarray], reach: int = 1, rounds: int = 4, seed: int = 0x6D2B79F5) -> Callable[[np.ndarray], np.ndarray]:
-    """Content-aware fill: each place of a hole takes the middle of the donor patch most like its own; donors spread from neighbours and are drawn
-    at random in shrinking distances, from a fixed seed, so results repeat."""
+class _Draws:
+    """A linear congruential generator of 32 bits."""
+
+    def __init__(self, seed: int):
+        self.state = seed
+
+    def below(self, n: int) -> int:
+        self.state = (self.state * 1664525 + 1013904223) & 0xFFFFFFFF
+        return self.state % n
+
+
+class _Fill:
+    """Content-aware filling of one frame from its rim inwards."""
+
+    TRIES, FARTHEST = 24, 64
+
+    def __init__(self, plane: np.ndarray, hole: np.ndarray, seed: int):
+        self.out, self.known, self.draws = plane.astype(float).copy(), ~hole, _Draws(seed)
+        height, width = plane.shape
+        self.reach = 2 if min(height, width) >= 5 else 0
+        size = 2 * self.reach + 1
+        whole = np.lib.stride_tricks.sliding_window_view(np.pad(self.known, self.reach), (size, size)).all(axis=(2, 3))
+        self.donor, self.donors = whole, [tuple(p) for p in np.argwhere(whole).tolist()]
+        self.source: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def beside(self, place: tuple[int, int]) -> list[tuple[int, int]]:
+        """Left, right, above and below, within the frame."""
+        y, x = place
+        return [(b, a) for b, a in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= b < self.out.shape[0] and 0 <= a < self.out.shape[1]]
+
+    def usable(self, place: tuple[int, int]) -> bool:
+        return 0 <= place[0] < self.out.shape[0] and 0 <= place[1] < self.out.shape[1] and bool(self.donor[place])
+
+    def cost(self, place: tuple[int, int], donor: tuple[int, int]) -> float:
+        """The mean square difference of what is known around a place to what is around the donor, whose neighbourhood lies in the frame."""
+        r, (y, x), (v, u) = self.reach, place, donor
+        up, left = max(-r, -y), max(-r, -x)
+        down, right = min(r, self.out.shape[0] - 1 - y), min(r, self.out.shape[1] - 1 - x)
+        here = (slice(y + up, y + down + 1), slice(x + left, x + right + 1))
+        there = self.out[v + up : v + down + 1, u + left : u + right + 1]
+        seen = self.known[here]
+        return float(np.square(self.out[here] - there)[seen].mean()) if seen.any() else float("inf")
+
+    def choose(self, place: tuple[int, int]) -> tuple[int, int]:
+        """The best of the neighbours' sources carried along, random donors, and places ever nearer to the best so far; the first of equals."""
+        best, least = None, float("inf")
+        carried = [(s[0] + place[0] - n[0], s[1] + place[1] - n[1]) for n in self.beside(place) for s in [self.source.get(n, n)]]
+        drawn = [self.donors[self.draws.below(len(self.donors))] for _ in range(self.TRIES)]
+        for donor in [d for d in carried if self.usable(d)] + drawn:
+            if best is None or (cost := self.cost(place, donor)) < least:
+                best, least = donor, self.cost(place, donor) if best is None else cost
+        best, distance = best or self.donors[0], self.FARTHEST
+        while distance:
+            across = self.draws.below(2 * distance + 1) - distance
+            down = self.draws.below(2 * distance + 1) - distance
+            near = (best[0] + down, best[1] + across)
+            if self.usable(near) and (cost := self.cost(place, near)) < least:
+                best, least = near, cost
+            distance //= 2
+        return best
+
+    def run(self) -> np.ndarray:
+        missing = [tuple(p) for p in np.argwhere(~self.known).tolist()]
+        waiting = deque(p for p in missing if any(self.known[n] for n in self.beside(p)))
+        met = set(waiting)
+        while waiting:
+            place = waiting.popleft()
+            self.source[place] = self.choose(place)
+            self.out[place], self.known[place] = self.out[self.source[place]], True
+            fresh = [n for n in self.beside(place) if not self.known[n] and n not in met]
+            met.update(fresh)
+            waiting.extend(fresh)
+        return self.out
+
+
+def best_patch(hole: Callable[[np.ndarray], np.ndarray], seed: int = 0x6D2B79F5) -> Callable[[np.ndarray], np.ndarray]:
+    """Content-aware fill: from the rim inwards, each place of a hole takes the middle of the donor patch that is most like what is known around it.
+
+    Donors are carried along from neighbours, drawn at random, and sought ever nearer to the best one. Draws come from a fixed generator, so results repeat.
+    """
 
     def kernel(plane: np.ndarray) -> np.ndarray:
         inside = hole(plane)
-        height, width = plane.shape
-        known = ~inside
-        donors = [(y, x) for y in range(reach, height - reach) for x in range(reach, width - reach) if known[y - reach : y + reach + 1, x - reach : x + reach + 1].all()]
-        if not donors or not inside.any():
-            return plane
-        rng = np.random.default_rng(seed)
-        out = plane.copy()
-        out[inside] = plane[known].mean()
-        allowed = set(donors)
-        field = {(int(y), int(x)): donors[int(rng.integers(len(donors)))] for y, x in np.argwhere(inside)}
-
-        def cost(y: int, x: int, donor: tuple[int, int]) -> float:
-            total, n = 0.0, 0
-            for dy in range(-reach, reach + 1):
-                for dx in range(-reach, reach + 1):
-                    if 0 <= y + dy < height and 0 <= x + dx < width:
-                        total += (out[y + dy, x + dx] - out[donor[0] + dy, donor[1] + dx]) ** 2
-                        n += 1
-            return total / n
-
-        for turn in range(rounds):
-            step = 1 if turn % 2 == 0 else -1
-            for y, x in sorted(field)[::step]:
-                tried = [field[y, x]]
-                for ny, nx in ((y - step, x), (y, x - step)):
-                    if (ny, nx) in field:
-                        shifted = (field[ny, nx][0] + y - ny, field[ny, nx][1] + x - nx)
-                        tried += [shifted] if shifted in allowed else []
-                distance = max(height, width)
-                while distance >= 1:
-                    near = (field[y, x][0] + int(rng.integers(-distance, distance + 1)), field[y, x][1] + int(rng.integers(-distance, distance + 1)))
-                    tried += [near] if near in allowed else []
-                    distance //= 2
-                field[y, x] = min(tried, key=lambda d: (cost(y, x, d), d))
-                out[y, x] = plane[field[y, x]]
-        return out
+        fill = _Fill(plane, inside, seed)
+        return fill.run() if inside.any() and fill.donors else plane
 
     return kernel
 
@@ -152,20 +217,29 @@ def luminance_noise(amount: float, detail: float = 50, contrast: float = 0) -> C
     return kernel
 
 
-def smudge(path: list[tuple[float, float]], radius: float, strength: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Each dab of a stroke drags what lay under the one before."""
+def smudge(path: list[tuple[float, float]], radius: int, strength: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Each dab of a stroke lays down what the brush carries, which is what it left at the dab before: at first, what lies under the stroke's start."""
 
     def kernel(plane: np.ndarray) -> np.ndarray:
-        out = plane.astype(float).copy()
-        height, width = out.shape
-        yy, xx = np.mgrid[:height, :width]
-        for (x0, y0), (x1, y1) in zip(path, path[1:], strict=False):
-            dx, dy = round(x1 - x0), round(y1 - y0)
-            u = np.hypot(xx - x1, yy - y1) / radius
-            weight = np.where(u < 1, (1 - np.minimum(u, 1)) ** 2 * (1 + 2 * np.minimum(u, 1)), 0) * strength
-            source = out[np.clip(yy - dy, 0, height - 1), np.clip(xx - dx, 0, width - 1)]
-            out += weight * (source - out)
-        return out
+        wide = np.pad(plane.astype(float), radius + 1)
+        inside = np.pad(np.ones(plane.shape, bool), radius + 1)
+        dy, dx = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+        u = np.hypot(dx, dy) / radius
+        weight = np.where(u < 1, (1 - np.minimum(u, 1)) ** 2 * (1 + 2 * np.minimum(u, 1)), 0) * strength
+
+        def under(point: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+            x, y = (int(np.floor(v + 0.5)) + radius + 1 for v in point)
+            return np.clip(y + dy, 0, wide.shape[0] - 1), np.clip(x + dx, 0, wide.shape[1] - 1)
+
+        carried = wide[under(path[0])]
+        for point in path[1:]:
+            at = under(point)
+            touched = inside[at] & (weight > 0)
+            painted = wide[at] + (carried - wide[at]) * weight
+            carried = np.where(touched, painted, carried)
+            rows, columns = at[0][touched], at[1][touched]
+            wide[rows, columns] = np.clip(np.floor(painted[touched] + 0.5), 0, 255)
+        return wide[radius + 1 : -radius - 1, radius + 1 : -radius - 1]
 
     return kernel
 

@@ -336,3 +336,60 @@ def test_mask_links(spark):
 
     want |= {("endless", i) for i in source if not ends(i)}
     assert got_ == want and ("endless", 3) in got_ and ("unknown", 5) in got_
+
+
+def test_membranes_by_plain_sweeps():
+    """Row by row over single places, and from half the size beyond 32 places a side."""
+    rng = np.random.default_rng(0)
+
+    def plain(value, inside, sweeps):
+        out = value.astype(float).copy()
+        h, w = out.shape
+        if h > 32 and w > 32:
+            small, hole = np.zeros(((h + 1) // 2, (w + 1) // 2)), np.zeros(((h + 1) // 2, (w + 1) // 2), bool)
+            for y in range(small.shape[0]):
+                for x in range(small.shape[1]):
+                    cell = [(b, a) for b in (2 * y, 2 * y + 1) for a in (2 * x, 2 * x + 1) if b < h and a < w]
+                    known = [out[c] for c in cell if not inside[c]]
+                    hole[y, x] = not known
+                    small[y, x] = np.mean(known or [out[c] for c in cell])
+            small = plain(small, hole, sweeps)
+            for y in range(h):
+                for x in range(w):
+                    if inside[y, x] and hole[y // 2, x // 2]:
+                        out[y, x] = small[y // 2, x // 2]
+            sweeps = 40
+        for _ in range(sweeps):
+            for y in range(h):
+                for x in range(w):
+                    if inside[y, x]:
+                        near = [out[b, a] for b, a in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= b < h and 0 <= a < w]
+                        out[y, x] += 1.8 * (sum(near) / len(near) - out[y, x])
+        return out
+
+    for h, w, sweeps in ((7, 9, 20), (35, 38, 12)):
+        plane, inside = rng.integers(0, 256, (h, w)).astype(float), np.zeros((h, w), bool)
+        inside[2 : h - 2, 3 : w - 1] = True
+        inside[0, 0] = True
+        start = np.where(inside, 99.0, plane)
+        assert np.abs(kernels.relaxed(start, inside, sweeps) - plain(start, inside, sweeps)).max() < 1e-6
+
+
+def test_smudging_drags_a_spot():
+    plane = np.zeros((9, 15))
+    plane[4, 3] = 200
+    dragged = kernels.smudge([(3, 4), (4, 4), (5, 4), (6, 4)], 3, 1.0)(plane)
+    assert dragged[4, 6] == 200 and not dragged[4, 7:].any() and (kernels.smudge([(3, 4), (6, 4)], 3, 0.0)(plane) == plane).all()
+    soft = kernels.smudge([(3, 4), (4, 4), (5, 4)], 3, 0.5)(plane)
+    assert soft[4, 5] == 50
+
+
+def test_filling_takes_what_fits():
+    """A pattern of period three, whose donors are all exact, and the generator's first numbers."""
+    y, x = np.mgrid[:20, :20]
+    plane = ((x + 2 * y) % 3 * 80).astype(float)
+    hole = np.zeros((20, 20), bool)
+    hole[7:11, 8:12] = True
+    assert (kernels.best_patch(lambda _: hole)(np.where(hole, 0, plane)) == plane).mean() > 0.99
+    draws = kernels._Draws(1)
+    assert [draws.below(1 << 32) for _ in range(2)] == [1015568748, 1586005467]
