@@ -442,7 +442,7 @@ def _keyed(docs: DataFrame, *others) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digits = F.sha2(text, 256)
-    tie, rest = (F.conv(F.substring(digits, at, _TIE_BITS // 4), 16, 10).cast("long") for at in (1, 1 + _TIE_BITS // 4))
+    tie, rest = (F.coalesce(F.conv(F.substring(digits, at, _TIE_BITS // 4), 16, 10).cast("long"), F.lit(0).cast("long")) for at in (1, 1 + _TIE_BITS // 4))
     none = F.when(F.col("doc_id").isNull(), 1 << _TIE_BITS).otherwise(0)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), (tie + none).alias("tie"), rest.alias("rest"), text.alias("text"), *others)
 
