@@ -2,9 +2,9 @@
 
 A store is a set of shards in ascending ``doc_id`` order. Each shard has two Arrow files:
 
-* ``*.tokens.arrow``: ``input_ids`` fixed-size-list<uint16 or uint32>[sequence] and ``mask`` fixed-size-list<uint8>[sequence] (a byte for each
-  id, since Arrow packs booleans into bits, which no array can view), in record batches of ``BATCH`` sequences each, uncompressed. The ids of
-  the shard's documents follow each other; the last sequence is padded with 0 under a mask of 0.
+* ``*.tokens.arrow``: ``input_ids`` fixed-size-list<uint16 or uint32>[sequence] and ``mask`` fixed-size-list<uint8>[sequence / 8], a bit for
+  each id, the lowest first, in record batches of ``BATCH`` sequences each, uncompressed. Ids and packed masks are read as views of the file's
+  map. The ids of the shard's documents follow each other; the last sequence is padded with 0 under bits of 0.
 * ``*.docs.arrow``: ``doc_id``, ``start`` (within the shard) and ``n_tokens``.
 
 Defined results: a null text is encoded as an empty one and so has the end id only; documents of equal ``doc_id`` stand next to each other
@@ -97,7 +97,7 @@ def _open(path: str):
 
 def _schema(width, sequence: int) -> pa.Schema:
     kind = pa.uint16() if width == np.uint16 else pa.uint32()
-    return pa.schema([pa.field("input_ids", pa.list_(kind, sequence), False), pa.field("mask", pa.list_(pa.uint8(), sequence), False)])
+    return pa.schema([pa.field("input_ids", pa.list_(kind, sequence), False), pa.field("mask", pa.list_(pa.uint8(), -(-sequence // 8)), False)])
 
 
 class ShardWriter:
@@ -116,9 +116,8 @@ class ShardWriter:
         self.docs: list[tuple[list, np.ndarray]] = []
 
     def _put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
+        mask = np.packbits((np.arange(len(ids)) < real).reshape(-1, self.sequence), axis=1, bitorder="little")
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), n) for x, n in ((ids, self.sequence), (mask, mask.shape[1]))]
         self.out.write_batch(pa.record_batch([c.cast(f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema))
         self.written += real
 
@@ -190,10 +189,14 @@ class Shard:
         self.sequence = self.file.schema.field("input_ids").type.list_size
 
     def sequences(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask (true for real ids) of a batch, each of shape (sequences, length), both views."""
+        """Ids of a batch, of shape (sequences, length), and their masks, a bit for each id (``unpacked`` makes booleans of them); both are views."""
         got = self.file.get_batch(batch)
-        ids, mask = (got.column(i).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.sequence) for i in (0, 1))
-        return ids, mask.view(bool)
+        ids, mask = (got.column(i).flatten().to_numpy(zero_copy_only=True).reshape(got.num_rows, -1) for i in (0, 1))
+        return ids, mask
+
+    def unpacked(self, mask: np.ndarray) -> np.ndarray:
+        """Booleans, true for real ids, from packed masks."""
+        return np.unpackbits(mask, axis=-1, count=self.sequence, bitorder="little").view(bool)
 
     def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.sequences(i // BATCH)

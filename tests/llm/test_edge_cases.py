@@ -209,8 +209,10 @@ def test_token_store(spark, hard, none):
     for m in manifest.orderBy("shard").collect():
         shard = token_store.Shard(m.tokens_path)
         for batch in range(shard.file.num_record_batches):
-            ids, mask = shard.sequences(batch)
-            assert mask.dtype == bool and not ids.flags.owndata and not mask.flags.owndata and ids.shape == mask.shape
+            ids, packed = shard.sequences(batch)
+            assert not ids.flags.owndata and not packed.flags.owndata and packed.shape == (len(ids), 8)
+            mask = shard.unpacked(packed)
+            assert mask.dtype == bool and ids.shape == mask.shape
             real = ids[mask].tolist()
             assert real == flat[at : at + len(real)] and not ids[~mask].any()
             at += len(real)
