@@ -517,16 +517,31 @@ def halftone(shape: str = "dots", cell: float = 4, degrees: float = 45) -> Text:
     return text
 
 
-#: 8 x 8 fill patterns, a byte for each row, from the sparsest to the fullest.
+#: Fixed values, which must be these for right results: 8 x 8 fill patterns, a byte for each row, from the sparsest to the fullest.
 PATTERNS = (
-    "0000000000000000", "8000000008000000", "8800220088002200", "8040201008040201", "8822882288228822", "00FF000000FF0000", "1122448811224488", "AA00AA00AA00AA00", "8855225588552255",
-    "FF808080FF080808", "AA55AA55AA55AA55", "8142241818244281", "77AADDAA77AADDAA", "EEDDBB77EEDDBB77", "77FFDDFF77FFDDFF", "7FFFFFFFF7FFFFFF", "FFFFFFFFFFFFFFFF",
-)
+    (0x00, 0x00, 0x00, 0x00, 0x00, 0x00, 0x00, 0x00),
+    (0x80, 0x00, 0x00, 0x00, 0x08, 0x00, 0x00, 0x00),
+    (0x88, 0x00, 0x22, 0x00, 0x88, 0x00, 0x22, 0x00),
+    (0x80, 0x40, 0x20, 0x10, 0x08, 0x04, 0x02, 0x01),
+    (0x88, 0x22, 0x88, 0x22, 0x88, 0x22, 0x88, 0x22),
+    (0x00, 0xFF, 0x00, 0x00, 0x00, 0xFF, 0x00, 0x00),
+    (0x11, 0x22, 0x44, 0x88, 0x11, 0x22, 0x44, 0x88),
+    (0xAA, 0x00, 0xAA, 0x00, 0xAA, 0x00, 0xAA, 0x00),
+    (0x88, 0x55, 0x22, 0x55, 0x88, 0x55, 0x22, 0x55),
+    (0xFF, 0x80, 0x80, 0x80, 0xFF, 0x08, 0x08, 0x08),
+    (0xAA, 0x55, 0xAA, 0x55, 0xAA, 0x55, 0xAA, 0x55),
+    (0x81, 0x42, 0x24, 0x18, 0x18, 0x24, 0x42, 0x81),
+    (0x77, 0xAA, 0xDD, 0xAA, 0x77, 0xAA, 0xDD, 0xAA),
+    (0xEE, 0xDD, 0xBB, 0x77, 0xEE, 0xDD, 0xBB, 0x77),
+    (0x77, 0xFF, 0xDD, 0xFF, 0x77, 0xFF, 0xDD, 0xFF),
+    (0x7F, 0xFF, 0xFF, 0xFF, 0xF7, 0xFF, 0xFF, 0xFF),
+    (0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF),
+)
 
 
 def pattern_fill() -> Text:
     """The pattern whose place among all is the darkness; its bits are marked."""
-    rows = [int(p[2 * i : 2 * i + 2], 16) for p in PATTERNS for i in range(8)]
+    rows = [row for pattern in PATTERNS for row in pattern]
 
     def text(d: Dialect) -> str:
         which = f"CAST(least({num(len(PATTERNS) - 1)}, floor((1e0 - tn) * {num(len(PATTERNS) - 1)} + 0.5e0)) AS INT)"
