@@ -127,10 +127,11 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in frequent], totals)
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Outputs by words (the columns of ``h``, whose last row is 1), and whether their exponentials surely are neither too large nor all too small."""
-    reach = np.abs(weights).sum(axis=0)
-    return np.vstack([weights, bias]).T @ h, bool((bias + reach).max() < 80 and (bias - reach).max() > -80)
+def _layer(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Layers (the last two axes) as matrices for columns of hidden values above a 1, and whether the exponentials of their outputs surely are neither too large nor all too small."""
+    reach = np.abs(weights).sum(axis=-2)
+    wide = np.concatenate([weights, bias[..., None, :]], axis=-2)
+    return wide.swapaxes(-1, -2), ((bias + reach).max(axis=-1) < 80) & ((bias - reach).max(axis=-1) > -80)
 
 
 def _log_of(x: np.ndarray, safe: bool, which: np.ndarray) -> np.ndarray:
@@ -198,9 +199,10 @@ class Network:
         return net
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = np.repeat(self.bias[None], len(at), axis=0)
-        for j, o in enumerate(_OFFSETS):
-            z += self.context[j][padded[at + o]]
+        z = self.context[0].take(padded[at + _OFFSETS[0]], axis=0)
+        z += self.bias
+        for table, o in zip(self.context[1:], _OFFSETS[1:], strict=True):
+            z += table.take(padded[at + o], axis=0)
         return np.tanh(z, out=z)
 
     def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,16 +220,17 @@ class Network:
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each of ``at``, given those around it."""
         out = np.empty(len(at))
+        (to_class, safe), (to_member, safe_members) = _layer(self.to_class, self.class_bias), _layer(self.to_member, self.member_bias)
         for first in range(0, len(at), _CHUNK):
             own = at[first : first + _CHUNK]
             target = padded[own].astype(np.int64)
             order, member, bounds = self._by_class(target)
             h = self._columns(padded, own[order])
-            got = _log_of(*_logits(self.to_class, self.class_bias, h), target[order] % self.classes).astype(float)
+            got = _log_of(to_class @ h, safe, target[order] % self.classes).astype(float)
             for c in range(self.classes):
                 own_class = slice(bounds[c], bounds[c + 1])
                 if bounds[c + 1] > bounds[c]:
-                    got[own_class] += _log_of(*_logits(self.to_member[c], self.member_bias[c], h[:, own_class]), member[own_class])
+                    got[own_class] += _log_of(to_member[c] @ h[:, own_class], safe_members[c], member[own_class])
             out[first + order] = got
         return out
 
@@ -237,19 +240,23 @@ class Network:
         target = padded[at].astype(np.int64)
         order, member, bounds = self._by_class(target)
         h, dh, gradient = np.empty((WIDTH + 1, n), np.float32), np.empty((WIDTH, n), np.float32), np.zeros((WIDTH + 1, self.classes), np.float32)
+        (to_class, safe), (to_member, safe_members) = _layer(self.to_class, self.class_bias), _layer(self.to_member, self.member_bias)
         for first in range(0, n, _CACHED):
             own = slice(first, first + _CACHED)
             part = self._columns(padded, at[order[own]])
-            d = _softmax_error(*_logits(self.to_class, self.class_bias, part), target[order[own]] % self.classes, n)
+            d = _softmax_error(to_class @ part, safe, target[order[own]] % self.classes, n)
             h[:, own], dh[:, own] = part, self.to_class @ d
             gradient += part @ d.T
-        self._move_outputs(squares, ("to_class", "class_bias"), ..., gradient, rate)
+        members = np.zeros((self.classes, WIDTH + 1, self.members), np.float32)
         for c in range(self.classes):
             own = slice(bounds[c], bounds[c + 1])
             if bounds[c + 1] > bounds[c]:
-                e = _softmax_error(*_logits(self.to_member[c], self.member_bias[c], h[:, own]), member[own], n)
+                part = h[:, own]
+                e = _softmax_error(to_member[c] @ part, safe_members[c], member[own], n)
                 dh[:, own] += self.to_member[c] @ e
-                self._move_outputs(squares, ("to_member", "member_bias"), c, h[:, own] @ e.T, rate)
+                np.matmul(part, e.T, out=members[c])
+        self._move_outputs(squares, ("to_class", "class_bias"), gradient, rate)
+        self._move_outputs(squares, ("to_member", "member_bias"), members, rate)
         # a word seen at place p took part in the words at p - REACH .. p + REACH: one row of ``around``
         low, high = int(at[0]) - REACH, int(at[-1]) + REACH + 1
         dz = np.zeros((high - low + 2 * REACH, WIDTH), np.float32)
@@ -268,10 +275,10 @@ class Network:
         for j, o in enumerate(_OFFSETS):
             self._move(squares, "context", (j, words[head]), sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH], rate)
 
-    def _move_outputs(self, squares: Network, names: tuple[str, str], where, gradient: np.ndarray, rate: float) -> None:
-        """Weights and, by the gradient's last row, biases."""
-        self._move(squares, names[0], where, gradient[:-1], rate)
-        self._move(squares, names[1], where, gradient[-1], rate)
+    def _move_outputs(self, squares: Network, names: tuple[str, str], gradient: np.ndarray, rate: float) -> None:
+        """Weights and, by the gradients' last rows, biases."""
+        self._move(squares, names[0], ..., gradient[..., :-1, :], rate)
+        self._move(squares, names[1], ..., gradient[..., -1, :], rate)
 
     def _move(self, squares: Network, name: str, where, gradient: np.ndarray, rate: float) -> None:
         total, change = getattr(squares, name), gradient * gradient
