@@ -33,7 +33,7 @@ ROUNDS, RATE, STEP = 2, 0.15, 4096
 #: Words of a document that are hidden in the same round.
 _RUN = 256
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
-_CHUNK = 8192
+_CHUNK = 16_384
 #: Words whose outputs stay in a core's cache together.
 _CACHED = 2048
 _HELD = 400_000
@@ -225,8 +225,11 @@ class Network:
             own = at[first : first + _CHUNK]
             target = padded[own].astype(np.int64)
             order, member, bounds = self._by_class(target)
-            h = self._columns(padded, own[order])
-            got = _log_of(to_class @ h, safe, target[order] % self.classes).astype(float)
+            h, got = np.empty((WIDTH + 1, len(own)), np.float32), np.empty(len(own))
+            for begin in range(0, len(own), _CACHED):
+                some = slice(begin, begin + _CACHED)
+                h[:, some] = part = self._columns(padded, own[order[some]])
+                got[some] = _log_of(to_class @ part, safe, target[order[some]] % self.classes)
             for c in range(self.classes):
                 own_class = slice(bounds[c], bounds[c + 1])
                 if bounds[c + 1] > bounds[c]:
@@ -265,7 +268,7 @@ class Network:
             part = h[:WIDTH, own]
             dh[:, own] *= 1 - part * part
             dz[at[order[own]] - low + REACH] = dh[:, own].T
-        self._move(squares, "bias", ..., dh.sum(axis=1), rate)
+        self._move(squares, "bias", dh.sum(axis=1), rate)
         around = np.lib.stride_tricks.as_strided(dz, (high - low, (2 * REACH + 1) * WIDTH), dz.strides, writeable=False)
         seen = padded[low:high]
         by = np.argsort(seen, kind="stable")
@@ -273,22 +276,35 @@ class Network:
         head = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
         sums = _segment_sums(around, by, head)
         for j, o in enumerate(_OFFSETS):
-            self._move(squares, "context", (j, words[head]), sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH], rate)
+            self._move_rows(squares, j, words[head], sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH], rate)
 
     def _move_outputs(self, squares: Network, names: tuple[str, str], gradient: np.ndarray, rate: float) -> None:
         """Weights and, by the gradients' last rows, biases."""
-        self._move(squares, names[0], ..., gradient[..., :-1, :], rate)
-        self._move(squares, names[1], ..., gradient[..., -1, :], rate)
-
-    def _move(self, squares: Network, name: str, where, gradient: np.ndarray, rate: float) -> None:
-        total, change = getattr(squares, name), gradient * gradient
-        change += total[where]
-        total[where] = change
-        change += np.float32(1e-10)
-        np.sqrt(change, out=change)
-        np.divide(gradient, change, out=change)
-        change *= np.float32(rate)
-        getattr(self, name)[where] -= change
+        self._move(squares, names[0], gradient[..., :-1, :], rate)
+        self._move(squares, names[1], gradient[..., -1, :], rate)
+
+    def _move(self, squares: Network, name: str, gradient: np.ndarray, rate: float) -> None:
+        total = getattr(squares, name)
+        change = gradient * gradient
+        total += change
+        getattr(self, name)[...] -= _change(gradient, total, change, rate)
+
+    def _move_rows(self, squares: Network, table: int, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        """Of one of the ``context`` tables; no row stands twice."""
+        total, own = squares.context[table], self.context[table]
+        change = gradient * gradient
+        change += total.take(rows, axis=0)
+        total[rows] = change
+        own[rows] = own.take(rows, axis=0) - _change(gradient, change, change, rate)
+
+
+def _change(gradient: np.ndarray, total: np.ndarray, out: np.ndarray, rate: float) -> np.ndarray:
+    """Adagrad's change for the sums of squares ``total``, in ``out``."""
+    np.add(total, np.float32(1e-10), out=out)
+    np.sqrt(out, out=out)
+    np.divide(gradient, out, out=out)
+    out *= np.float32(rate)
+    return out
 
 
 def _padded(ids: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
