@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bagminhash, bitsliced, bpe_lexicon, common, mixing, pseudo_lm, quality_qda, quality_rules, suffix_dedup, token_store, warc
+from lamina.llm import bagminhash, bitsliced, bpe_lexicon, chat_format, common, divergence, mixing, oracles, pseudo_lm, quality_qda, quality_rules, spelling, suffix_dedup, token_store, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -128,8 +128,22 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(token_store.write(docs, common.new_folder(spark, "tokens"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat_format.planted(spark))
+    path = _tokenizer("byte_bpe_50k.json")
+    return chat_format.digests(chat_format.write(conversations, common.new_folder(spark, "chat"), path), path)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_bitsliced_top5": op6_bitsliced_top5, "op7_pseudo_likelihood": op7_pseudo_likelihood, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store}
+    return {"op1_mixing": op1_mixing, "op2_bagminhash": op2_bagminhash, "op3_quality_rules": op3_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_dedup": op5_suffix_dedup, "op6_bitsliced_top5": op6_bitsliced_top5, "op7_pseudo_likelihood": op7_pseudo_likelihood, "op8_bpe_lexicon": op8_bpe_lexicon, "op9_warc": op9_warc, "op10_token_store": op10_token_store, "op11_chat_format": op11_chat_format, "op12_divergence": op12_divergence, "op13_spelling": op13_spelling}
 
 
 OP9_SQL = """
@@ -146,4 +160,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op6_bitsliced_top5": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_bitsliced_top5": OP6_SQL, "op9_warc": OP9_SQL, "op11_chat_format": oracles.CHAT_SQL, "op12_divergence": oracles.DIVERGENCE_SQL, "op13_spelling": oracles.SPELLING_SQL}
