@@ -193,7 +193,7 @@ def _begins_records(source: _Source, at: int) -> bool:
     """Whether members with WARC records follow each other from ``at`` on, for ``PROOF`` bytes or to the end of the file."""
     place = at
     while place < source.size and place - at < PROOF:
-        member = _Member(source, place)
+        member, head = _Member(source, place), b""
         try:
             head = member.read()
             while head and len(head) < 7 and (more := member.read()):
@@ -203,7 +203,8 @@ def _begins_records(source: _Source, at: int) -> bool:
             while member.after is None:
                 member.read()
         except EOFError:
-            return head.startswith(b"WARC/1.") if place > at or member.place - at > 18 else False
+            # nothing inflated before the file ended: that tells only of the members before, which were whole records
+            return head.startswith(b"WARC/1.") if head else place > at
         except zlib.error:
             return place > at and _padding(source, place)
         place = member.after

@@ -483,6 +483,25 @@ def test_members_are_found_from_any_place(tmp_path, hard_archive, step):
         assert warc.first_member(source, first, min(first + step, len(data))) == (inside[0] if len(inside) else None)
 
 
+@pytest.mark.parametrize("step", [1, 13, 700])
+def test_stored_members_are_read_from_every_byte(spark, tmp_path, step):
+    """Stored members whose payloads hold magic bytes, headers that end with the file, and whole members: every byte of the file is asked, and the records are the same for all ranges."""
+    rng = np.random.default_rng(7)
+    hostile = [b"\x1f\x8b\x08\x04" + bytes(6) + b"\xff\xff" + rng.bytes(500), b"\x1f\x8b\x08" * 40, warc.member(warc_record(9, b"in")) + b"\x1f\x8b\x08\x08" + bytes(6) + b"name", b"\x1f\x8b\x08\x04" + bytes(6) + b"\xff\xff", b"end\x1f\x8b\x08\x00"]
+    data, starts = b"", []
+    for i, (payload, level) in enumerate(zip([b"first", *hostile, b"last"], (6, 0, 0, 0, 0, 0, 6), strict=True)):
+        starts.append(len(data))
+        data += gzip_member(warc_record(i, payload), level)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    source, places = warc._Source(f"file://{tmp_path}/a.warc.gz"), np.array(starts)
+    for first in range(0, len(data), step):
+        inside = places[(places >= first) & (places < first + step)]
+        assert warc.first_member(source, first, min(first + step, len(data))) == (inside[0] if len(inside) else None)
+    wide = max(step, 100)
+    ranges = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", i, min(i + wide, len(data))) for i in range(0, len(data), wide)], "path string, first long, last long")
+    assert sorted((r.page_id, r.offset) for r in warc.read(spark, ranges.repartition(2)).collect()) == list(enumerate(starts))
+
+
 def test_a_member_that_is_cut_off_raises(spark, tmp_path):
     data = gzip_member(warc_record(1, os.urandom(3000)))
     (tmp_path / "a.warc.gz").write_bytes(data[:-100])
