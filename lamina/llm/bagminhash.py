@@ -18,7 +18,8 @@ their own are ruled out by their weights, one by one or as pairs, before anythin
 
 Defined results: equal texts are one class, whatever their ids; a text without words (or null) is a class of its own; a null ``doc_id`` is a member
 like any other, and the class id is the smallest id in the class that is not null; repeated rows get equal classes; an empty table gives no rows;
-``deduplicate`` keeps the input's columns whatever their names. Texts are taken as equal if their 64-bit hashes are.
+``deduplicate`` keeps the input's columns whatever their names. What decides is compared and not hashed: shingles of verified pairs by the characters of
+their words, texts by SHA-256 where their 64-bit hashes agree. Hashes of shingles only choose candidates and bound what could be similar from above.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lamina.llm import common, components
 from lamina.llm import textarray as ta
@@ -41,17 +41,44 @@ _SHINGLE = np.dtype([("hash", "u8"), ("node", "i8"), ("count", "i4")])
 _STEP, _COMPONENT, _LEVEL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
+def _places(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last word of each shingle of rows whose words have these bounds."""
+    per_row = np.diff(bounds)
+    n = np.where(per_row >= width, per_row - (width - 1), (per_row > 0).astype(np.int64))
+    row = np.repeat(np.arange(len(n)), n)
+    first = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(len(row))
+    return row, first, np.minimum(first + width, bounds[row + 1])
+
+
+def exact_shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and count of each row's distinct shingles, sorted by row and number; within a call, shingles have one number if their words are equal by their bytes."""
+    starts, ends, bounds = ta.words_by_row(data, offsets)
+    row, first, last = _places(bounds, width)
+    if not len(row):
+        return row, row, row
+    at, word, _ = ta.distinct(data, starts, ends)
+    # words have numbers from 1 on, 0 stands after the last; as many as fit 62 bits are numbered together
+    bits = int(len(at)).bit_length()
+    number, used = np.zeros(len(row), np.int64), 0
+    for k in range(width):
+        if used + bits > 62:
+            values, number = np.unique(number, return_inverse=True)
+            used = int(len(values)).bit_length()
+        place = first + k
+        number = (number << bits) | np.where(place < last, word[np.minimum(place, len(word) - 1)] + 1, 0)
+        used += bits
+    _, number = np.unique(number, return_inverse=True)
+    key, counts = np.unique(row * np.int64(number.max() + 1) + number, return_counts=True)
+    return key // (number.max() + 1), key % (number.max() + 1), counts
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and count of each row's distinct shingles, sorted by row."""
     starts, ends, bounds = ta.words_by_row(data, offsets)
-    words = ta.span_hash(ta.prefix_hash(data), starts, ends)
+    words = ta.word_hash(data, starts, ends)
     running = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * ta.powers(len(words))[0][: len(words)], out=running[1:])
-    per_row = np.diff(bounds)
-    n = np.where(per_row >= width, per_row - (width - 1), (per_row > 0).astype(np.int64))
-    row = np.repeat(np.arange(len(n)), n)
-    first = np.repeat(bounds[:-1] - (np.cumsum(n) - n), n) + np.arange(len(row))
-    last = np.minimum(first + width, bounds[row + 1])
+    row, first, last = _places(bounds, width)
     hashes = ta.span_hash(running, first, last)
     _, at, counts = np.unique(hashes ^ ta.mix(row.astype(np.uint64) + _LEVEL), return_index=True, return_counts=True)
     order = np.argsort(row[at], kind="stable")
@@ -126,8 +153,37 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def signature_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, keys) of every document with words, as often as its text stands; a bucket is a band's key."""
+def digest_of(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def told_apart(worded: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(node, digest, other): numbers for texts whose own (of ``nodes``: node, low and high digest) other texts have as well; None if there are none, as in all but huge or crafted tables."""
+    meeting = nodes.filter("low <> high").select("node")
+    if not meeting.limit(1).count():
+        return None
+    texts = common.stage(worded.select(node_of(F.col("text")).alias("node"), digest_of(F.col("text")).alias("digest")).join(meeting, "node").distinct(), "meeting")
+    salt = 0
+    while True:
+        odd = texts.withColumn("other", F.xxhash64(F.lit(salt), "digest"))
+        taken = nodes.select("node").unionByName(odd.select(F.col("other").alias("node")))
+        if not taken.groupBy("node").count().filter("count > 1").limit(1).count():
+            return odd
+        salt += 1
+
+
+def with_nodes(rows: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """``rows`` (text) with the column ``node``: the number of its text, null for texts without words."""
+    own = rows.withColumn("node", F.when(has_words(F.col("text")), node_of(F.col("text"))))
+    if odd is None:
+        return own
+    other = odd.select(F.col("node").alias("_met"), F.col("digest").alias("_digest"), "other")
+    joined = own.join(other, (F.col("node") == F.col("_met")) & (digest_of(F.col("text")) == F.col("_digest")), "left")
+    return joined.withColumn("node", F.coalesce("other", "node")).drop("_met", "_digest", "other")
+
+
+def signature_keys(worded: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, keys) of every one of ``worded`` (node, text), as often as its text stands; a bucket is a band's key."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +194,7 @@ def signature_keys(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(found.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=["node", "keys"])
 
-    own = docs.filter(has_words(F.col("text"))).select(node_of(F.col("text")).alias("node"), "text")
-    return own.mapInArrow(ta.lean(keys), "node long, keys array<long>")
+    return worded.select("node", "text").mapInArrow(ta.lean(keys), "node long, keys array<long>")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,14 +208,12 @@ def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 nodes, at = np.unique(np.concatenate([a, b]), return_index=True)
                 column = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks().take(pa.array(at))
                 data, offsets = ta.bytes_of(column)
-                row, hashes, counts = shingles(data, offsets)
-                order = np.lexsort((hashes, row))
-                hashes, counts = hashes[order], counts[order]
+                row, numbers, counts = exact_shingles(data, offsets)
                 bounds = np.searchsorted(row, np.arange(len(nodes) + 1))
                 weight = np.bincount(row, counts, len(nodes)).astype(np.int64)
                 sums, good = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
                 for i, (x, y) in enumerate(zip(np.searchsorted(nodes, a).tolist(), np.searchsorted(nodes, b).tolist(), strict=True)):
-                    hx, hy = hashes[bounds[x] : bounds[x + 1]], hashes[bounds[y] : bounds[y + 1]]
+                    hx, hy = numbers[bounds[x] : bounds[x + 1]], numbers[bounds[y] : bounds[y + 1]]
                     place = np.searchsorted(hx, hy)
                     place[place == len(hx)] = 0
                     both = hx[place] == hy if len(hx) else np.zeros(len(hy), bool)
@@ -300,39 +353,45 @@ def links(shared: DataFrame, texts: DataFrame) -> DataFrame:
     return labels
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per distinct text with words: node, ``root`` (the class's node of smallest id), ``root_id`` and ``class_id``."""
-    worded = docs.filter(has_words(F.col("text")))
-    nodes = common.stage(worded.groupBy(node_of(F.col("text")).alias("node")).agg(F.min("doc_id").alias("first_id")), "nodes")
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Per distinct text with words: node, ``root`` (the class's node of smallest id), ``root_id`` and ``class_id``; and how ``with_nodes`` is to tell texts apart."""
+    texts = docs.select("doc_id", "text").filter(has_words(F.col("text")))
+    digest = digest_of(F.col("text"))
+    nodes = common.stage(texts.groupBy(node_of(F.col("text")).alias("node")).agg(F.min("doc_id").alias("first_id"), F.min(digest).alias("low"), F.max(digest).alias("high")), "nodes")
+    odd = told_apart(texts, nodes)
+    worded = with_nodes(texts, odd)
+    if odd is not None:
+        nodes = common.stage(worded.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
+    nodes = nodes.select("node", "first_id")
     # one row for each text before bands are taken apart, so that copies cost a row each and not one for each band
-    signed = common.stage(signature_keys(docs, bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
+    signed = common.stage(signature_keys(worded, bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "signatures")
     rows_ = signed.select("node", F.posexplode("keys").alias("band", "bucket"))
     several = rows_.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
     shared = common.stage(rows_.join(several, "bucket").join(signed, "node"), "shared")
     wanted = shared.select("node").distinct().join(nodes, "node")
     same = (F.col("t.node") == F.col("w.node")) & F.col("t.doc_id").eqNullSafe(F.col("w.first_id"))
-    texts = worded.select(node_of(F.col("text")).alias("node"), "doc_id", "text").alias("t").join(wanted.alias("w"), same, "left_semi").select("node", "text")
-    labels = links(shared, common.stage(texts, "texts").dropDuplicates(["node"]))
+    compared = worded.alias("t").join(wanted.alias("w"), same, "left_semi").select("node", "text")
+    labels = links(shared, common.stage(compared, "texts").dropDuplicates(["node"]))
     joined = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("node").alias("node"))
     roots = joined.groupBy("label").agg(F.min(order).alias("root"))
-    return common.stage(joined.join(roots, "label").select("node", "first_id", F.col("root.node").alias("root"), F.col("root.id").alias("class_id")), "classes")
+    return common.stage(joined.join(roots, "label").select("node", "first_id", F.col("root.node").alias("root"), F.col("root.id").alias("class_id")), "classes"), odd
 
 
 def assign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, class_id."""
-    found = classes(docs, bands, rows).select("node", "class_id")
-    own = docs.select("doc_id", F.when(has_words(F.col("text")), node_of(F.col("text"))).alias("node"), F.lit(True).alias("known"))
-    joined = own.join(found, "node", "left")
+    found, odd = classes(docs, bands, rows)
+    own = with_nodes(docs.select("doc_id", "text"), odd).select("doc_id", "node")
+    joined = own.join(found.select("node", "class_id"), "node", "left")
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).cast("long").alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row of each class, that of its smallest id; rows without words stay."""
-    heads = classes(docs, bands, rows).filter("node = root").select(F.col("node").alias("_head"), F.col("class_id").alias("_id"))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.when(has_words(docs["text"]), node_of(docs["text"])).alias("_node"), docs["doc_id"].alias("_doc"))
-    kept = own.join(heads, (F.col("_node") == F.col("_head")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    # rows of equal text and id are told apart by place only
-    place = F.row_number().over(Window.partitionBy("_node", "_doc").orderBy("_node"))
-    kept = kept.withColumn("_place", place).filter("_place = 1").select("_row.*")
-    return kept.unionByName(own.filter("_node IS NULL").select("_row.*"))
+    found, odd = classes(docs, bands, rows)
+    heads = found.filter("node = root").select(F.col("node").alias("_head"), F.col("class_id").alias("_id"))
+    own = with_nodes(docs.select(F.struct(*docs.columns).alias("_row"), docs["text"].alias("text"), docs["doc_id"].alias("_doc")), odd).drop("text")
+    kept = own.join(heads, (F.col("node") == F.col("_head")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    # of rows of equal text and id one stays, whichever; tasks choose among their own first
+    kept = kept.groupBy("node", "_doc").agg(F.first("_row").alias("_row")).select("_row.*")
+    return kept.unionByName(own.filter("node IS NULL").select("_row.*"))

@@ -41,7 +41,7 @@ _HELD = 400_000
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, bounds = ta.words_by_row(data, offsets)
-    return ta.span_hash(ta.prefix_hash(data), starts, ends).view(np.int64), bounds
+    return ta.word_hash(data, starts, ends).view(np.int64), bounds
 
 
 def count_words(docs: DataFrame) -> DataFrame:

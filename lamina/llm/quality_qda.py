@@ -54,7 +54,7 @@ def features_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total, squares = np.bincount(word_row, length, n), np.bincount(word_row, length * length, n)
     mean = total / np.maximum(words, 1)
     spread = np.sqrt(np.maximum(squares / np.maximum(words, 1) - mean * mean, 0))
-    hashes = ta.span_hash(ta.prefix_hash(data), starts, ends)
+    hashes = ta.word_hash(data, starts, ends)
     twice = np.zeros(len(hashes), bool)
     if len(hashes):
         twice[1:] = (hashes[1:] == hashes[:-1]) & (word_row[1:] == word_row[:-1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, wraps
@@ -105,6 +106,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 _SHORT = 64
 
 
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: longer ones, among which polynomials modulo a power of two have known collisions, by BLAKE2b."""
+    out = span_hash(prefix_hash(data), starts, ends)
+    for i in np.flatnonzero(ends - starts > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def equal_spans(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each i, whether ``x[a[i] : a[i] + n[i]]`` equals ``y[b[i] : b[i] + n[i]]``: short ones symbol by symbol over all of them at once."""
     out = np.ones(len(n), bool)

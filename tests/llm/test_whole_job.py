@@ -190,3 +190,52 @@ def test_windows_of_frequent_grams_are_dealt_out_by_content(spark, hot, monkeypa
     line, passage = prose(95), prose(300)
     rows = [(i, prose(int(rng.integers(0, 60))) + line + (passage if i % 4 == 0 else prose(50)) + line + line[: i % 30]) for i in range(40)] + [(50, "ab" * 300), (51, "ab" * 200)]
     assert removed(spark, rows) == sorted(map(str, by_force(rows).values()))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_texts_whose_words_agree_in_a_polynomial_hash_are_classes_of_their_own(spark, n):
+    """Alone, within longer texts, and through the stage that drops documents; op7 counts the words apart."""
+    from lamina.llm import bagminhash
+
+    rng = np.random.default_rng(n)
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{rng.integers(1 << 40):x}" for _ in range(4)]
+    texts = [one, two, "something else", " ".join([*around[:2], one, *around[2:]]), " ".join([*around[:2], two, *around[2:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in bagminhash.assign(docs).collect()) == [(i, i) for i in range(5)]
+    assert sorted(r.doc_id for r in bagminhash.deduplicate(docs).collect()) == list(range(5))
+    assert pseudo_lm.count_words(docs.filter("doc_id < 2")).count() == 2
+
+
+def test_overlaps_compare_words(monkeypatch):
+    """Shingles have one number exactly if their words are equal, whatever hashes say."""
+    from lamina.llm import bagminhash
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["a", "b", "ab", "é", "c" * 70], int(n))) for n in (0, 1, 4, 5, 6, 300)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    true = ta.span_hash
+    for hashed in (true, lambda p, a, b: true(p, a, b) % np.uint64(3)):
+        monkeypatch.setattr(ta, "span_hash", hashed)
+        row, number, times = bagminhash.exact_shingles(data, offsets)
+        want = [collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in map(str.split, texts)]
+        assert [sorted(times[row == i].tolist()) for i in range(len(texts))] == [sorted(c.values()) for c in want]
+        assert len(set(number.tolist())) == len(set().union(*want))
+        assert all(len(set(number[row == a].tolist()) & set(number[row == b].tolist())) == len(set(want[a]) & set(want[b])) for a in range(6) for b in range(6))
+
+
+def test_texts_of_one_number_are_told_apart(spark, monkeypatch):
+    """With a hash of texts that takes 7 values, classes are what they are with the true one."""
+    from lamina.llm import bagminhash
+
+    rng = np.random.default_rng(5)
+    prose = lambda n: [f"w{rng.integers(500)}" for _ in range(n)]
+    base = [prose(80) for _ in range(4)]
+    texts = [" ".join(b) for b in base for _ in range(3)] + [" ".join([*b[:60], "other", *b[61:]]) for b in base] + [" ".join(prose(30)) for _ in range(10)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want, kept = ({r.doc_id: r.asDict() for r in f(docs).collect()} for f in (bagminhash.assign, bagminhash.deduplicate))
+    true = bagminhash.node_of
+    monkeypatch.setattr(bagminhash, "node_of", lambda text: true(text) % 7)
+    assert {r.doc_id: r.asDict() for r in bagminhash.assign(docs).collect()} == want
+    assert {r.doc_id: r.asDict() for r in bagminhash.deduplicate(docs).collect()} == kept
