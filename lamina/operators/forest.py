@@ -1,8 +1,9 @@
 """Walks of layer trees (id, parent_id, is_group, place, opacity, visible) by pointer doubling.
 
-A value is folded along every node's path to its root: in each round a node takes over what its pointer's node has folded and points to where
-that one points, so a path of n folders needs log2(n) joins by id, whatever the number of nodes. Nodes that no root reaches (in or below a cycle, or
-below a parent that is missing) never end and are left out, as in a walk from the roots down.
+A value is folded along every folder's path to its root: in each round a folder takes over what its pointer's folder has folded and points to where
+that one points, so a path of n folders needs log2(n) joins by id. Only nodes that others name as their parent go through the rounds; all others, however many
+stand in one folder, meet what their parent has folded in one join at the end, whose folded side Spark broadcasts where it is small.
+Nodes that no root reaches (in or below a cycle, or below a parent that is missing) never end and are left out, as in a walk from the roots down.
 """
 
 from __future__ import annotations
@@ -18,21 +19,34 @@ from lamina.plans.staging import ranked, staged
 Values = dict[str, tuple[Column, Callable[[Column, Column], Column]]]
 
 
-def rooted(tree: DataFrame, values: Values, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ``keep``, ``values``) of each node that a root reaches."""
-    start = tree.select("id", *keep, F.col("parent_id").alias("_up"), *[e.alias(name) for name, (e, _) in values.items()])
-    open_, done, left, steps = staged(start), None, tree.select("id").distinct().count(), 1
+def _doubled(nodes: DataFrame, values: Values) -> DataFrame:
+    """(id, ``values``) of each of ``nodes`` (id, _up, ``values``) that a root reaches through them."""
+    open_, done, left, steps = nodes, None, None, 1
     while True:
         ended = open_.filter("_up IS NULL")
         done = ended if done is None else done.unionByName(ended)
         open_ = open_.filter("_up IS NOT NULL")
-        if steps > 2 * left or not open_.limit(1).count():
+        if not open_.limit(1).count():
+            return done.drop("_up")
+        # no path has more steps than there are nodes: what goes on then goes in a circle
+        left = nodes.select("id").distinct().count() if left is None else left
+        if steps > 2 * left:
             return done.drop("_up")
         # what a pointer's node has folded: finished ones, which point nowhere, and open ones
         above = done.unionByName(open_).select(F.col("id").alias("_up"), F.col("_up").alias("_next"), *[F.col(name).alias(f"_{name}") for name in values])
         folded = [join(F.col(name), F.col(f"_{name}")).alias(name) for name, (_, join) in values.items()]
-        open_ = staged(open_.join(above, "_up").select("id", *keep, F.col("_next").alias("_up"), *folded))
-        done, steps = staged(done), 2 * steps
+        open_ = staged(open_.join(above, "_up").select("id", F.col("_next").alias("_up"), *folded))
+        steps *= 2
+
+
+def rooted(tree: DataFrame, values: Values, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``keep``, ``values``) of each node that a root reaches."""
+    start = tree.select("id", *keep, F.col("parent_id").alias("_up"), *[e.alias(name) for name, (e, _) in values.items()])
+    parents = start.filter("_up IS NOT NULL").select(F.col("_up").alias("id")).distinct()
+    folders = staged(start.drop(*keep).join(parents, "id", "left_semi"))
+    above = _doubled(folders, values).select(F.col("id").alias("_up"), *[F.col(name).alias(f"_{name}") for name in values])
+    folded = [join(F.col(name), F.col(f"_{name}")).alias(name) for name, (_, join) in values.items()]
+    return start.filter("_up IS NULL").drop("_up").unionByName(start.join(above, "_up").select("id", *keep, *folded))
 
 
 def _both(a: Column, b: Column) -> Column:
@@ -68,9 +82,9 @@ def folder_mask_product(tree: DataFrame) -> DataFrame:
 
 
 def depth_first(tree: DataFrame) -> DataFrame:
-    """(id, rank): the order of a walk that takes children by place."""
-    key = F.concat(F.lit("/"), F.lpad(F.col("place").cast("string"), 6, "0"))
-    return ranked(rooted(tree, {"path": (key, _below_first)}), ["path", "id"], "rank").select("id", "rank")
+    """(id, rank): the order of a walk that takes children by place, of equal places by id; places are compared as numbers of any size."""
+    key = F.array(F.struct(F.col("place").cast("long").alias("place"), "id"))
+    return ranked(rooted(tree, {"path": (key, _below_first)}), ["path"], "rank").select("id", "rank")
 
 
 def descendants(tree: DataFrame, root: str) -> DataFrame:

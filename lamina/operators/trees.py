@@ -19,11 +19,12 @@ def visible_leaves() -> Text:
 
 
 def depth_first() -> Text:
-    """(id, rank): the order of a walk that takes children by place."""
+    """(id, rank): the order of a walk that takes children by place: a node comes after the folders above it and all that stands in earlier siblings of theirs or its own."""
 
     def text(d: Dialect) -> str:
-        key = "lpad(CAST(place AS STRING), 6, '0')"
-        return _walk("id, parent_id", f"{key} AS path", f"concat(w.path, '/', {key.replace('place', 't.place')})") + " SELECT id, CAST(row_number() OVER (ORDER BY path, id) AS BIGINT) AS rank FROM w"
+        sizes = "s AS (SELECT above AS id, count(*) AS size FROM a GROUP BY above)"
+        before = "b AS (SELECT t.id, 1 + sum(s.size) OVER (PARTITION BY t.parent_id ORDER BY t.place, t.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS own FROM {tree} t JOIN s ON s.id = t.id)"
+        return f"WITH RECURSIVE {_ancestors()}, {sizes}, {before} SELECT a.id, CAST(sum(b.own) AS BIGINT) AS rank FROM a JOIN b ON b.id = a.above GROUP BY a.id"
 
     return text
 

@@ -11,9 +11,16 @@ from lamina.operators import geometry as M
 from lamina.operators import kernels as K
 from lamina.operators import neighbours as N
 from lamina.operators import placement as P
+from lamina.operators import pyramid as Y
+from lamina.operators import queues as U
 from lamina.operators import records as X
+from lamina.operators import regions as B
+from lamina.operators import scene as O
+from lamina.operators import scene_sql as OS
 from lamina.operators import select as S
 from lamina.operators import stats as G
+from lamina.operators import strokes as W
+from lamina.operators import tiles as I
 from lamina.operators import trees as R
 from lamina.plans.sql import Query, Source, Text
 from lamina.sources import views as V
@@ -272,7 +279,74 @@ PLACEMENT = {
     "undo_redo": Query(P.history(), HEAT),
 }
 
-QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS | EDITS | DETAIL | PLACEMENT
+#: A soft ellipse on each canvas.
+SPOT = Source(
+    lambda d: f"SELECT document_id, y, x, greatest(0e0, least(1e0, 1.4e0 - ((x - 3.5e0) * (x - 3.5e0) + (y - 3e0) * (y - 3e0)) / 9e0)) AS c FROM (SELECT document_id, y, {d.explode(d.series('0', '7'), 'x')} FROM (SELECT document_id, {d.explode(d.series('0', '6'), 'y')} FROM ({V.SCENE['canvases'].sql(d)}) c) r) p",
+    ("embeddings",),
+)
+SCENES = {
+    "scene_flatten": Query(OS.flattened(), V.SCENE, O.flattened),
+    "scene_merged": Query(OS.merged("layer_id % 4 <> 3"), V.SCENE, lambda layers, *rest: O.merged(layers.selectExpr("*", "layer_id % 4 <> 3 AS selected"), *rest)),
+    "scene_copied": Query(OS.copied(), V.SCENE | {"selection": SPOT}, lambda layers, pixels, masks, canvases, selection: O.copied(layers, pixels, canvases, selection)),
+}
+
+#: Users' events are the points of strokes, six of each, with tips of all kinds; each stroke has a canvas.
+STROKES = {
+    "points": Source(
+        lambda d: f"SELECT user_id * 1000 + CAST({d.div('k - 1', '6')} AS BIGINT) AS stroke_id, k AS seq, hour(ts) * 1.3e0 AS x, value / 20e0 AS y, 0.8e0 + user_id % 5 AS radius, CASE WHEN user_id % 4 = 0 THEN 1e0 ELSE (user_id % 10) / 11e0 END AS hardness, k % 6 = 0 AS tail "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {'{events}' if d.spark else 'events'} e) q",
+        ("events",),
+    ),
+    "canvases": Source(
+        lambda d: f"SELECT DISTINCT user_id * 1000 + CAST({d.div('k - 1', '6')} AS BIGINT) AS stroke_id, 32 AS width, 26 AS height FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM {'{events}' if d.spark else 'events'} e) q",
+        ("events",),
+    ),
+}
+SIZES = Source(lambda d: f"SELECT DISTINCT image_id, 8 AS height, 8 AS width FROM ({V.GREY.sql(d)}) g", ("embeddings",))
+SMALL = Source(lambda d: f"SELECT DISTINCT image_id, 4 AS height, 4 AS width FROM ({V.RGBA.sql(d)}) g", ("embeddings",))
+#: The rasters after a change of some pixels of every third.
+TOUCHED = Source(lambda d: f"SELECT image_id, y, x, CASE WHEN image_id % 3 = 0 AND y < 2 AND x = 6 THEN 255 - v ELSE v END AS v FROM ({V.GREY.sql(d)}) g", ("embeddings",))
+SEEDS = Source(lambda d: f"SELECT DISTINCT image_id, 1 AS y, 1 AS x FROM ({V.RGBA.sql(d)}) g", ("embeddings",))
+#: Orders are files of their customers' queues.
+FILES = Source(
+    lambda d: "SELECT o_custkey AS queue_id, o_orderkey AS seq, CAST(o_orderkey % 977 * 37 AS BIGINT) AS width, CAST(floor(o_totalprice / 40e0) AS BIGINT) AS height, CASE WHEN o_orderstatus = 'P' THEN 'damaged' END AS error FROM " + ("{orders}" if d.spark else "orders"),
+    ("orders",),
+)
+_UNITS = "CAST(length(text) AS BIGINT)"
+RUNS = Source(
+    lambda d: f"SELECT conv_id * 1000 + turn AS text_id, CAST(i * 40 AS BIGINT) AS start, least(40, {_UNITS} - i * 40) AS length, concat('font', i % 2) AS font, concat('', 10 + i % 3) AS size, 'black' AS colour FROM (SELECT *, {d.explode(d.series('0', 'CAST(floor((length(text) - 1) / 40e0) AS BIGINT)'), 'i')} FROM {'{conversations}' if d.spark else 'conversations'} c WHERE length(text) > 0) r",
+    ("conversations",),
+)
+STYLINGS = Source(
+    lambda d: f"SELECT conv_id * 1000 + turn AS text_id, CAST(k AS BIGINT) AS seq, (k * 37 + turn * 11 + conv_id * 5) % (length(text) + 9) - 4 AS first, (k * 37 + turn * 11 + conv_id * 5) % (length(text) + 9) + (k * 29 + conv_id) % 90 - 12 AS last, CASE k % 3 WHEN 0 THEN 'font' WHEN 1 THEN 'size' ELSE 'colour' END AS attribute, "
+    f"CASE k % 3 WHEN 0 THEN concat('font', k % 2) WHEN 1 THEN concat('', 10 + k % 4) ELSE 'red' END AS value FROM (SELECT *, {d.explode(d.series('0', '11'), 'k')} FROM {'{conversations}' if d.spark else 'conversations'} c WHERE length(text) > 0) r",
+    ("conversations",),
+)
+
+
+def _tiled(px, sizes):
+    return I.to_pixels(I.spatial(I.to_tiles(px, sizes, 5), I.box_mean(3), 3, 5)).selectExpr("image_id", "y", "x", "round(v, 6) AS v")
+
+
+def _recomputed(px, touched, sizes):
+    before, after = (I.to_tiles(p, sizes, 4) for p in (px, touched))
+    results = I.spatial(before, I.box_mean(1), 1, 4)
+    return I.to_pixels(I.recomputed(results, after, I.changed_tiles(before, after), I.box_mean(1), 1, 4)).selectExpr("image_id", "y", "x", "round(v, 6) AS v")
+
+
+PIECES = {
+    "brush_strokes": Query(W.painted_sql(), STROKES, W.painted),
+    "tiled_box_blur": Query(N.box_blur(3), {"px": V.GREY, "sizes": SIZES}, _tiled),
+    "tiles_recomputed": Query(lambda d: N.box_blur(1)(d).replace("{px}", "{touched}"), {"px": V.GREY, "touched": TOUCHED, "sizes": SIZES}, _recomputed),
+    "halved_colours": Query(Y.halved_sql(1), {"px": V.RGBA, "sizes": SMALL}, lambda px, sizes: Y.halved(px, sizes)[0]),
+    "pyramid_colours": Query(Y.halved_sql(2), {"px": V.RGBA, "sizes": SMALL}, lambda px, sizes: Y.pyramid(px, sizes, 2).filter("level = 2").drop("level")),
+    "pyramid_masks": Query(Y.halved_sql(2, True, 8, 8), {"px": V.GREY, "sizes": SIZES}, lambda px, sizes: Y.pyramid(px.select("image_id", "y", "x", "v"), sizes, 2, True).filter("level = 2").drop("level")),
+    "region_flood": Query(S.wand_contiguous((1, 1), 48), {"px": V.RGBA, "seeds": SEEDS}, lambda px, seeds: B.flooded(px, seeds, 48, 3)),
+    "import_queue": Query(U.admitted_sql(60_000_000), {"files": FILES}, lambda files: U.admitted(files, 60_000_000)),
+    "text_restyled": Query(U.restyled_sql(), {"runs": RUNS, "edits": STYLINGS}, U.restyled),
+}
+
+QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS | EDITS | DETAIL | PLACEMENT | SCENES | PIECES
 
 
 def _kernel(make) -> object:

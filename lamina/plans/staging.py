@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's folder below that of ``spark.checkpoint.dir``; only a local session without one makes its own."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
+        named = context._jsc.sc().getCheckpointDir().get()
+    return f"{named.rstrip('/')}/lamina-{context.applicationId}"
+
+
 def staged(frame: DataFrame) -> DataFrame:
-    """``frame`` checkpointed in the folder of ``spark.checkpoint.dir``; only a local session without one makes its own."""
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamina-"))
-    return frame.checkpoint()
+    """``frame`` written as Parquet in the shared folder and read back: each row is made once, lineage is cut, and lost executors lose nothing."""
+    path = f"{_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application has staged; frames that are made from it can no longer be run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranked(frame: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -14,7 +14,10 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, z int, name string, parent int, section int, x0 int, y0 int, width int, height int, blend_key string, opacity int, clipping boolean, hidden boolean, resolution double, rgba binary, mask binary"
+SCHEMA = "path string, z int, name string, parent int, section int, x0 int, y0 int, width int, height int, blend_key string, opacity int, clipping boolean, hidden boolean, resolution double, rgba binary, mask binary, blocks map<string,binary>"
+
+#: The additional blocks that go along with a layer (text, paths, shapes, fills and adjustments); ``psd_blocks`` reads them.
+BLOCKS = ("TySh", "tySh", "vmsk", "vsms", "vogk", "vstk", "SoCo", "levl", "curv", "hue2", "hue ")
 
 
 class _Cursor:
@@ -80,7 +83,7 @@ def _record(c: _Cursor, large: bool) -> dict:
     c.take(c.read("I"))
     name = c.take(c.read("B")).decode("mac-roman")
     c.at += -(len(name) + 1) % 4
-    section = 0
+    section, blocks = 0, {}
     while c.at + 12 <= end and c.data[c.at : c.at + 4] in (b"8BIM", b"8B64"):
         wide = c.take(4) == b"8B64"
         info = c.take(4)
@@ -90,8 +93,10 @@ def _record(c: _Cursor, large: bool) -> dict:
             name = payload[4 : 4 + 2 * struct.unpack(">I", payload[:4])[0]].decode("utf-16-be").rstrip("\0")
         elif info in (b"lsct", b"lsdk"):
             section = struct.unpack(">I", payload[:4])[0]
+        elif info.decode("latin-1") in BLOCKS:
+            blocks[info.decode("latin-1")] = payload
     c.at = end
-    return {"box": (left, top, right, bottom), "channels": channels, "key": key, "opacity": opacity, "clipping": bool(clipping), "hidden": bool(flags & 2), "mask": mask, "name": name, "section": section}
+    return {"box": (left, top, right, bottom), "channels": channels, "key": key, "opacity": opacity, "clipping": bool(clipping), "hidden": bool(flags & 2), "mask": mask, "name": name, "section": section, "blocks": blocks}
 
 
 def _resolution(data: bytes) -> float:
@@ -172,7 +177,7 @@ def read(data: bytes, crop: tuple[int, int, int, int] | None = None) -> list[dic
             a = planes.get(-1, np.full((h, w), 255, np.uint8)).astype(int)
             rgba = np.dstack([*[((planes[k].astype(int) * a + 127) // 255) for k in range(3)], a]).astype(np.uint8).tobytes()
         if r["section"] != 3:
-            out.append({"z": z, "name": r["name"], "parent": above[z], "section": r["section"], "x0": x0, "y0": y0, "width": w, "height": h, "blend_key": r["key"], "opacity": r["opacity"], "clipping": r["clipping"], "hidden": r["hidden"], "resolution": resolution, "rgba": rgba, "mask": mask})
+            out.append({"z": z, "name": r["name"], "parent": above[z], "section": r["section"], "x0": x0, "y0": y0, "width": w, "height": h, "blend_key": r["key"], "opacity": r["opacity"], "clipping": r["clipping"], "hidden": r["hidden"], "resolution": resolution, "rgba": rgba, "mask": mask, "blocks": r["blocks"]})
     return out
 
 
@@ -193,7 +198,7 @@ class _Reader(DataSourceReader):
         with open(partition.path, "rb") as f:
             rows = read(f.read(), self.crop)
         for r in rows:
-            yield (partition.path, *(r[k] for k in ("z", "name", "parent", "section", "x0", "y0", "width", "height", "blend_key", "opacity", "clipping", "hidden", "resolution", "rgba", "mask")))
+            yield (partition.path, *(r[k] for k in ("z", "name", "parent", "section", "x0", "y0", "width", "height", "blend_key", "opacity", "clipping", "hidden", "resolution", "rgba", "mask", "blocks")))
 
 
 class LayeredSource(DataSource):
