@@ -23,6 +23,8 @@ from lamina.operators import strokes as W
 from lamina.operators import tiles as I
 from lamina.operators import trees as R
 from lamina.plans.sql import Query, Source, Text
+from lamina.sources import package as K_
+from lamina.sources import psd_queries as F
 from lamina.sources import views as V
 
 RGBA = {"px": V.RGBA}
@@ -323,6 +325,33 @@ STYLINGS = Source(
     ("conversations",),
 )
 
+TURNS = Source(lambda d: f"SELECT conv_id * 1000 + turn AS id, text FROM {'{conversations}' if d.spark else 'conversations'} c WHERE length(text) > 0", ("conversations",))
+VECTORS = Source(lambda d: f"SELECT vec_id AS id, embedding FROM {'{embeddings}' if d.spark else 'embeddings'} e WHERE vec_id IS NOT NULL AND embedding IS NOT NULL", ("embeddings",))
+#: Layer records of packages with fields that break each rule, by their ids.
+MANIFESTS = Source(
+    lambda d: "SELECT *, CASE WHEN isGroup IS NULL THEN CASE WHEN layer_id % 31 = 5 THEN 'other.png' ELSE concat(id, '.png') END END AS imageFile FROM (SELECT layer_id, concat('p', document_id) AS package, CAST(1 + document_id % 13 AS INT) AS version, CAST(CASE WHEN document_id % 17 = 3 THEN 0 ELSE 800 END AS INT) AS width, 600 AS height, place AS z, "
+    "concat('L', CASE WHEN layer_id % 53 = 7 THEN layer_id - 1 ELSE layer_id END) AS id, CASE WHEN layer_id % 29 = 4 THEN '  ' WHEN layer_id % 23 <> 6 THEN concat('Layer ', layer_id) END AS name, CASE WHEN is_group THEN true END AS isGroup, "
+    "CASE WHEN layer_id % 37 = 3 THEN 1.5e0 WHEN layer_id % 5 <> 0 THEN opacity END AS opacity, CASE WHEN layer_id % 41 = 9 THEN 'nowhere' WHEN layer_id % 41 = 10 THEN concat('L', layer_id) WHEN parent_id IS NOT NULL THEN concat('L', parent_id) END AS parentID, "
+    f"CASE WHEN mask_source IS NOT NULL THEN concat('L', mask_source) END AS maskSourceID FROM ({V.SCENE['layers'].sql(d)}) l) r",
+    ("embeddings",),
+)
+
+
+def _package_rules(d) -> str:
+    """The rules of packages over records as they were written."""
+    r = "(SELECT * FROM {records} q WHERE version <= 11)"
+    since = {"isGroup": 2, "opacity": 3, "maskSourceID": 5}
+    rules = [
+        f"SELECT package, 'size' AS rule, package AS id FROM (SELECT DISTINCT package, width FROM {r} a) b WHERE width < 1",
+        f"SELECT package, 'opacity', id FROM {r} a WHERE opacity < 0 OR opacity > 1",
+        f"SELECT package, 'repeated id', id FROM {r} a GROUP BY package, id HAVING count(*) > 1",
+        f"SELECT package, 'file name', id FROM {r} a WHERE imageFile <> concat(id, '.png')",
+        f"SELECT package, 'name', id FROM {r} a WHERE name IS NULL OR trim(name) = ''",
+        f"SELECT a.package, 'parent', a.id FROM {r} a LEFT JOIN {r} b ON b.package = a.package AND b.id = a.parentID WHERE a.parentID IS NOT NULL AND b.isGroup IS NULL",
+        *[f"SELECT package, '{f} before {v}', id FROM {r} a WHERE version < {v} AND {f} IS NOT NULL" for f, v in since.items()],
+    ]
+    return " UNION ALL ".join(rules)
+
 
 def _tiled(px, sizes):
     return I.to_pixels(I.spatial(I.to_tiles(px, sizes, 5), I.box_mean(3), 3, 5)).selectExpr("image_id", "y", "x", "round(v, 6) AS v")
@@ -344,6 +373,9 @@ PIECES = {
     "region_flood": Query(S.wand_contiguous((1, 1), 48), {"px": V.RGBA, "seeds": SEEDS}, lambda px, seeds: B.flooded(px, seeds, 48, 3)),
     "import_queue": Query(U.admitted_sql(60_000_000), {"files": FILES}, lambda files: U.admitted(files, 60_000_000)),
     "text_restyled": Query(U.restyled_sql(), {"runs": RUNS, "edits": STYLINGS}, U.restyled),
+    "package_violations": Query(_package_rules, {"records": MANIFESTS}, lambda records: K_.violations(K_.parsed(K_.written(records), "project"))),
+    "layered_texts": Query(F.texts_sql(), {"turns": TURNS}, F.texts),
+    "layered_paths": Query(F.coverage_sql(), {"vectors": VECTORS}, F.coverage),
 }
 
 QUERIES: dict[str, Query] = {name: Query(text, RGBA) for name, text in MAPS.items()} | SELECTIONS | STATISTICS | WINDOWS | COMPOSITES | TREES | GEOMETRY | RECORDS | EDITS | DETAIL | PLACEMENT | SCENES | PIECES

@@ -37,13 +37,14 @@ def _package() -> F.Column:
 
 
 def manifests(spark: SparkSession, folder: str, format_name: str | None = None) -> DataFrame:
-    """(package, manifest): of all packages below ``folder``; files too long, not parsed, of another format or an unknown version are left out.
-
-    The header is parsed first, the whole record only where it fits.
-    """
+    """(package, manifest): of all packages below ``folder``; files too long, not parsed, of another format or an unknown version are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= MOST_MANIFEST)
-    text = files.select(_package().alias("package"), F.col("content").cast("string").alias("text"))
-    head = text.withColumn("header", F.from_json("text", HEADER)).filter(F.col("header.version").between(VERSIONS[0], VERSIONS[-1]))
+    return parsed(files.select(_package().alias("package"), F.col("content").cast("string").alias("text")), format_name)
+
+
+def parsed(texts: DataFrame, format_name: str | None = None) -> DataFrame:
+    """(package, manifest) of manifests' ``texts`` (package, text): the header is parsed first, the whole record only where it fits."""
+    head = texts.withColumn("header", F.from_json("text", HEADER)).filter(F.col("header.version").between(VERSIONS[0], VERSIONS[-1]))
     if format_name:
         head = head.filter(F.col("header.format") == format_name)
     return head.select("package", F.from_json("text", MANIFEST).alias("manifest")).filter(F.size("manifest.layers") <= MOST_LAYERS)
@@ -79,6 +80,14 @@ def violations(found: DataFrame) -> DataFrame:
     return out
 
 
+def written(records: DataFrame) -> DataFrame:
+    """(package, text): manifests of ``records`` (package, version, width, height, z, and a layer's fields), one for each package, its layers in order of z; fields that are null are left out."""
+    fields = [f.name for f in LAYER if f.name in records.columns]
+    listed = records.groupBy("package", "version", "width", "height").agg(F.array_sort(F.collect_list(F.struct("z", *fields))).alias("all"))
+    layers_ = F.transform("all", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return listed.select("package", F.to_json(F.struct(F.lit("project").alias("format"), "version", F.col("package").alias("documentID"), "width", "height", layers_.alias("layers"))).alias("text"))
+
+
 def pixels(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """Premultiplied pixels of the images that ``wanted`` (package, image_file) names; files beyond the limit are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= MOST_ASSET)

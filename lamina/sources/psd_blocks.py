@@ -421,3 +421,78 @@ def coverage(lines: DataFrame, canvases: DataFrame, keys: list[str], rows: int =
     part = F.least(F.col("end"), F.col("px") + 1.0) - F.greatest(F.col("begin"), F.col("px").cast("double"))
     sums = cells.groupBy(*keys, F.floor(F.col("s") / rows).cast("int").alias("y"), F.col("px").alias("x")).agg((F.sum(part) / rows).alias("c"))
     return sums.select(*keys, "y", "x", F.round(F.col("c") + 3e-9, 6).alias("c")).filter("c > 0")
+
+
+# writing
+
+
+def _text(s: str) -> bytes:
+    data = s.encode("utf-16-be", "surrogatepass")
+    return struct.pack(">I", len(data) // 2) + data
+
+
+def _name(s: str) -> bytes:
+    return (struct.pack(">I", 0) if len(s) == 4 else struct.pack(">I", len(s))) + s.encode("latin-1")
+
+
+def _items(values: dict[str, bytes]) -> bytes:
+    return _text("") + _name("null") + struct.pack(">I", len(values)) + b"".join(_name(k) + v for k, v in values.items())
+
+
+def _string(s: str) -> bytes:
+    raw = (b"\xfe\xff" + s.encode("utf-16-be", "surrogatepass")).replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    return b"(" + raw + b")"
+
+
+def write_text(text: str, fonts: list[str], runs: list[tuple[int, int, float, tuple[float, float, float]]], matrix: tuple[float, ...]) -> bytes:
+    """A text layer's block: ``runs`` are (length in UTF-16 units, place of the font, size, colour); ``matrix`` takes text space to the document."""
+    sheets = b" ".join(b"<< /StyleSheet << /StyleSheetData << /Font %d /FontSize %s /FillColor << /Type 1 /Values [ 1.0 %s %s %s ] >> >> >> >>" % (f, repr(float(size)).encode(), *(repr(float(c)).encode() for c in colour)) for _, f, size, colour in runs)
+    lengths = b" ".join(b"%d" % r[0] for r in runs)
+    names = b" ".join(b"<< /Name " + _string(f) + b" >>" for f in fonts)
+    raw = b"<< /EngineDict << /Editor << /Text " + _string(text) + b" >> /StyleRun << /RunArray [ " + sheets + b" ] /RunLengthArray [ " + lengths + b" ] >> >> /ResourceDict << /FontSet [ " + names + b" ] >> >>"
+    words = {"Txt ": b"TEXT" + _text(text), "Ornt": b"enum" + _name("Ornt") + _name("Hrzn"), "EngineData": b"tdta" + struct.pack(">I", len(raw)) + raw}
+    return struct.pack(">H6dHI", 1, *matrix, 50, 16) + _items(words) + struct.pack(">HI", 1, 16) + _items({"warpStyle": b"enum" + _name("warpStyle") + _name("warpNone")})
+
+
+def write_path(subpaths: list[tuple[bool, list[tuple[tuple[float, float], ...]]]]) -> bytes:
+    """A vector mask's block: for each subpath whether it is closed, and its knots' incoming, own and outgoing points (x, y) as parts of the canvas."""
+    out = [struct.pack(">II", 3, 0), struct.pack(">h24x", 6)]
+    for closed, knots_ in subpaths:
+        out.append(struct.pack(">hh22x", 0 if closed else 3, len(knots_)))
+        out += [struct.pack(">h6i", 1 if closed else 4, *(math.floor(v * (1 << 24) + 0.5) for x, y in points for v in (y, x))) for points in knots_]
+    return b"".join(out)
+
+
+def _blocks(rows: DataFrame, key: str, kind: str, write: Callable[[dict], bytes]) -> DataFrame:
+    """(``key``, blocks): the block that ``write`` makes of each row."""
+    schema = pa.schema([(key, pa.int64()), ("blocks", pa.map_(pa.string(), pa.binary()))])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([[(kind, write(r))] for r in batch.to_pylist()], schema.field("blocks").type)], schema=schema)
+
+    return rows.mapInArrow(written, f"{key} long, blocks map<string,binary>")
+
+
+def conversation_blocks(turns: DataFrame) -> DataFrame:
+    """Turns (id, text) as text layers: two runs of fonts and sizes by their ids."""
+
+    def block(r: dict) -> bytes:
+        text = r["text"]
+        units = len(text.encode("utf-16-le")) // 2
+        first = units // 3
+        runs = [(first, 0, 10 + r["id"] % 7, (0.5, 0.25, 0.0)), (units - first, 1, 24.5, (1.0, 1.0, 0.0))]
+        return write_text(text, ["Serif-Book", "Sans (Bold)"], runs if first else runs[1:], (2.0, 0.0, 0.0, 2.0, float(r["id"] % 50), 8.0))
+
+    return _blocks(turns.select(F.col("id").cast("long").alias("id"), "text"), "id", "TySh", block)
+
+
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """Vectors (id, embedding) as closed paths of four knots about the canvas's middle: each knot's point and handles are six components."""
+
+    def block(r: dict) -> bytes:
+        v = r["embedding"]
+        around = ((0.3, 0.3), (0.7, 0.3), (0.7, 0.7), (0.3, 0.7))
+        return write_path([(True, [tuple((x + 0.25 * v[6 * k + 2 * i], y + 0.25 * v[6 * k + 2 * i + 1]) for i in range(3)) for k, (x, y) in enumerate(around)])])
+
+    return _blocks(vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), "id", "vmsk", block)

@@ -363,6 +363,17 @@ def test_paint_does_not_hang_on_how_often_the_pointer_was_asked(spark):
     assert max(abs(a - b) for a, b in pairs) <= 3 and max(a for a, _ in pairs) == 255
 
 
+def test_the_blur_brush_mixes_through_its_stroke(spark):
+    rng = np.random.default_rng(8)
+    sharp, soft = rng.integers(0, 256, (2, 20, 20, 4))
+    rows = lambda p: spark.createDataFrame([(0, y, x, *map(int, p[y, x])) for y in range(20) for x in range(20)], "stroke_id long, y int, x int, r int, g int, b int, a int")
+    points = [(4.0, 5.0, False), (15.0, 12.0, False)]
+    cover = strokes.painted(spark.createDataFrame([(0, i, x, y, 3.0, 0.2, t) for i, (x, y, t) in enumerate(points)], "stroke_id long, seq int, x double, y double, radius double, hardness double, tail boolean"), spark.createDataFrame([(0, 20, 20)], "stroke_id long, width int, height int"))
+    got = {(r.y, r.x): (r.r, r.g, r.b, r.a) for r in strokes.blur_painted(rows(sharp), rows(soft), cover, ["stroke_id"]).collect()}
+    c = {k: v[0] for k, v in stroke_by_loops(points, 3.0, 0.2, 20, 20).items()}
+    assert len(got) == 400 and all(np.abs(np.array(v) - (sharp[k] * (1 - c.get(k, 0)) + soft[k] * c.get(k, 0))).max() < 0.51 for k, v in got.items())
+
+
 def test_segments_meet_no_pixel_out_of_reach(spark):
     points = spark.createDataFrame([(0, i, 10.0 + 300 * i, 10.0 + 300 * i, 2.0, 0.5, False) for i in range(2)], "stroke_id long, seq int, x double, y double, radius double, hardness double, tail boolean")
     near = strokes.met(strokes.segments(points), spark.createDataFrame([(0, 400, 400)], "stroke_id long, width int, height int"))
