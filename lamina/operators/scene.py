@@ -229,7 +229,7 @@ def entries(layers: DataFrame, pixels: DataFrame, masks: DataFrame, canvases: Da
 
 
 def flattened(layers: DataFrame, pixels: DataFrame, masks: DataFrame, canvases: DataFrame) -> DataFrame:
-    """(document_id, y, x, r, g, b, a): premultiplied bytes of each place where anything is drawn; of equal places one row."""
+    """(document_id, y, x, r, g, b, a): premultiplied bytes of each place where anything shows."""
     drawn, order = entries(layers, pixels, masks, canvases)
     stacked = F.col("stack").isNotNull() & (F.col("stack") != F.col("layer_id"))
     everywhere = order.filter("adjustment IS NOT NULL AND NOT has_mask").filter(stacked | F.col("mask_source").isNull())
@@ -238,12 +238,12 @@ def flattened(layers: DataFrame, pixels: DataFrame, masks: DataFrame, canvases:
     at = drawn.groupBy("document_id", "y", "x").agg(F.collect_list(F.struct("z", "kind", "stack", "m", *_RGB, "a", "adjustment", "params")).alias("list")).join(lists, "document_id", "left")
     sorted_ = F.array_sort(F.when(F.col("more").isNull(), F.col("list")).otherwise(F.concat("list", "more")))
     folded = at.withColumn("list", sorted_).select("document_id", "y", "x", F.expr(_fold("list")).alias("f"))
-    return folded.select("document_id", "y", "x", *[F.floor(F.round(F.col(f"f.{c}") * 255, 6) + 0.5).cast("int").alias(c) for c in (*_RGB, "a")])
+    return folded.select("document_id", "y", "x", *[F.floor(F.round(F.col(f"f.{c}") * 255, 6) + 0.5).cast("int").alias(c) for c in (*_RGB, "a")]).filter("a > 0")
 
 
 def merged(layers: DataFrame, pixels: DataFrame, masks: DataFrame, canvases: DataFrame) -> DataFrame:
     """The selected layers (``selected``) flattened by themselves and cut to what they cover: rows as of ``flattened`` with the new layer's origin (ox, oy) and places in it."""
-    flat = staged(flattened(layers.filter("selected OR is_group").drop("selected"), pixels, masks, canvases).filter("a > 0"))
+    flat = staged(flattened(layers.filter("selected OR is_group").drop("selected"), pixels, masks, canvases))
     bounds = flat.groupBy("document_id").agg(F.min("x").alias("ox"), F.min("y").alias("oy"))
     return flat.join(bounds, "document_id").select("document_id", "ox", "oy", (F.col("y") - F.col("oy")).alias("y"), (F.col("x") - F.col("ox")).alias("x"), *_RGB, "a")
 

@@ -92,7 +92,7 @@ turned AS (
 
 
 def flattened() -> Text:
-    """(document_id, y, x, r, g, b, a) of each place where anything is drawn."""
+    """(document_id, y, x, r, g, b, a) of each place where anything shows."""
 
     def text(d: Dialect) -> str:
         straight = ", ".join(f"CASE WHEN o.a > 0 THEN least(1e0, o.{c} / o.a) ELSE 0e0 END AS {c}" for c in _RGB)
@@ -128,7 +128,8 @@ def flattened() -> Text:
         step = steps(meet, levels, f"document_id, y, x, i, {out}, CASE WHEN adjustment IS NULL THEN na + wa * (1e0 - na) ELSE wa END")
         composite = f"composite AS ({start} UNION ALL {step})"
         bytes_ = ", ".join(f"CAST(floor(round({c} * 255e0, 6) + 0.5e0) AS INT) AS {c}" for c in (*_RGB, "a"))
-        return f"WITH RECURSIVE {_SCENE}, {shown}, {members}, {stacks}, {items}, {composite} SELECT document_id, y, x, {bytes_} FROM composite QUALIFY row_number() OVER (PARTITION BY document_id, y, x ORDER BY i DESC) = 1"
+        last = f"SELECT document_id, y, x, {bytes_} FROM composite QUALIFY row_number() OVER (PARTITION BY document_id, y, x ORDER BY i DESC) = 1"
+        return f"WITH RECURSIVE {_SCENE}, {shown}, {members}, {stacks}, {items}, {composite} SELECT * FROM ({last}) f WHERE a > 0"
 
     return text
 
@@ -138,7 +139,7 @@ def merged(selected: str) -> Text:
 
     def text(d: Dialect) -> str:
         flat = flattened()(d).replace("SELECT * FROM {layers} q", f"SELECT * FROM {{layers}} q WHERE is_group OR {selected}")
-        bounds = f"SELECT *, min(x) OVER (PARTITION BY document_id) AS ox, min(y) OVER (PARTITION BY document_id) AS oy FROM ({flat}) f WHERE a > 0"
+        bounds = f"SELECT *, min(x) OVER (PARTITION BY document_id) AS ox, min(y) OVER (PARTITION BY document_id) AS oy FROM ({flat}) f"
         return f"SELECT document_id, ox, oy, y - oy AS y, x - ox AS x, r, g, b, a FROM ({bounds}) g"
 
     return text
