@@ -6,7 +6,7 @@ the model that each task sends. A sharing word's probability is its id's times i
 often as it occurs and probabilities sum to one over the corpus's words; as context, words of one id look alike. The network sees the ``REACH`` words on either side of a hidden one: each position has its own embedding table, the sum
 goes through tanh, and a two-level softmax gives the class and the word within it. Training hides every position of every
 document in one of its rounds; each task (of at least about ``TASK_WORDS`` words) runs Adagrad from the common parameters over all of its documents,
-and the results are averaged by tokens in a two-level reduction, so what training gathers grows with the corpus while the model does not. A document's score is the sum,
+and the results are averaged by tokens in a tree, so what training gathers grows with the corpus while the model does not. A document's score is the sum,
 over all its words, of the log probability of the word given both sides.
 
 Defined results: null and empty texts have no words, the score 0 and no mean; words at a text's ends see padding; repeated rows are scored alike
@@ -419,6 +419,8 @@ def _hidden(ids: list[bytes], number: int, rounds: int, words: int = WORDS) -> t
 _PIECE = 16_384
 #: Words of a training task, at least: a task sends its whole model, so models must be few beside the words.
 TASK_WORDS = 4 << 20
+#: Models that are averaged at a time: a tree, so that none gathers more, whatever their number.
+FAN_IN = 64
 _PARAMETERS = "piece int, group int, values binary, weight double"
 
 
@@ -427,7 +429,7 @@ def _added(table: pa.Table) -> pa.Table:
     weights = np.array(table.column("weight").to_pylist())
     total = weights.sum()
     mean = sum(np.frombuffer(v, np.float32).astype(float) * (w / total) for v, w in zip(table.column("values").to_pylist(), weights, strict=True))
-    return pa.table({"piece": table.column("piece")[:1], "group": pa.array([0], pa.int32()), "values": pa.array([mean.astype(np.float32).tobytes()]), "weight": pa.array([total])})
+    return pa.table({"piece": table.column("piece")[:1], "group": table.column("group")[:1], "values": pa.array([mean.astype(np.float32).tobytes()]), "weight": pa.array([total])})
 
 
 def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
@@ -448,13 +450,16 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Ne
                         own.step(squares, padded, hidden[first : first + STEP], RATE)
                     seen += len(hidden)
             if seen:
-                group = int(TaskContext.get().partitionId()) % 64
+                group = int(TaskContext.get().partitionId())
                 pieces = range(-(-len(flat) // _PIECE))
                 columns = (pa.array(list(pieces), pa.int32()), pa.array([group] * len(pieces), pa.int32()), pa.array([own.flat[i * _PIECE : (i + 1) * _PIECE].tobytes() for i in pieces]), pa.array([float(seen)] * len(pieces)))
                 yield pa.RecordBatch.from_arrays(list(columns), names=["piece", "group", "values", "weight"])
 
         trained = tokens.select("ids").coalesce(tasks).mapInArrow(ta.lean(local), _PARAMETERS)
-        mean = trained.groupBy("piece", "group").applyInArrow(ta.lean(_added), _PARAMETERS).groupBy("piece").applyInArrow(ta.lean(_added), _PARAMETERS)
+        mean, left = trained, tasks
+        while left > 1 or mean is trained:
+            mean = mean.withColumn("group", F.floor(F.col("group") / FAN_IN).cast("int")).groupBy("piece", "group").applyInArrow(ta.lean(_added), _PARAMETERS)
+            left = -(-left // FAN_IN)
         rows = sorted((r.piece, bytes(r["values"])) for r in mean.collect())
         if not rows:
             continue

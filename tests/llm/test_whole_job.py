@@ -239,3 +239,53 @@ def test_texts_of_one_number_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(bagminhash, "node_of", lambda text: true(text) % 7)
     assert {r.doc_id: r.asDict() for r in bagminhash.assign(docs).collect()} == want
     assert {r.doc_id: r.asDict() for r in bagminhash.deduplicate(docs).collect()} == kept
+
+
+def statistics_by_force(text):
+    """The classifier's statistics of one text, character by character."""
+    data = (text or "").encode()
+    words = [w for w in data.translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ") if w]
+    n, lengths = len(words), [len(w) for w in words]
+    mean = sum(lengths) / max(n, 1)
+    spread = math.sqrt(max(sum(k * k for k in lengths) / max(n, 1) - mean * mean, 0))
+    count = lambda kinds: sum(b in kinds for b in data)
+    upper, smooth = count(range(65, 91)), n + 10
+    letters = upper + count(range(97, 123)) + count(range(0xC0, 256))
+    rate = lambda k: math.log1p(100 * k / smooth)
+    twice = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), rate(count(b"#*$%&|<>")), math.log((upper + 0.5) / (letters + 10)), rate(count(b"0123456789")), rate(count(b"!")), rate(count(b".,;:?'\"()-")),
+        math.log((len(set(words)) + 10) / smooth), rate(twice), rate(sum(k == 1 for k in lengths)), rate(data.count(b"\n")), math.log((sum(65 <= w[0] < 91 for w in words) + 1) / smooth),
+    ]
+
+
+def test_every_quality_score_by_a_plain_refit(spark):
+    """All of sf0.01: statistics by loops, classes' covariances with numpy's own, log densities by solving and determinants instead of cached factors."""
+    import zlib
+
+    from lamina.llm import quality_qda, queries
+
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in common.table(spark, folder, "documents").collect()}
+    labels = {}
+    for r in common.table(spark, folder, "labels").collect():
+        labels.setdefault(r.doc_id, []).append(r.quality)
+    labels = {i: min(v for v in q if v in (0, 1)) for i, q in labels.items() if any(v in (0, 1) for v in q)}
+    rest = {i: zlib.crc32(str(i).encode()) % 3 for i in docs}
+    x = {i: np.array(statistics_by_force(t)) for i, t in docs.items()}
+    own = {c: np.array([x[i] for i in docs if rest[i] != 1 and labels.get(i) == c]) for c in (0, 1)}
+    total = sum(map(len, own.values()))
+    spread = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(len(own[c]) * spread[c] for c in own) / total
+    scale = np.sqrt(np.diag(pooled))
+    density = {}
+    for c, v in own.items():
+        cov = ((1 - quality_qda.TO_POOLED) * spread[c] + quality_qda.TO_POOLED * pooled) / np.outer(scale, scale)
+        cov = (1 - quality_qda.TO_IDENTITY) * cov + quality_qda.TO_IDENTITY * np.trace(cov) / len(cov) * np.eye(len(cov))
+        away = (np.array(list(x.values())) - v.mean(axis=0)) / scale
+        density[c] = math.log(len(v) / total) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (away * np.linalg.solve(cov, away.T).T).sum(axis=1)
+    want = dict(zip(x, 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700))), strict=True))
+    got = queries.queries()["op4_quality_classifier"](spark, folder).collect()
+    assert len(got) == len(docs) and all(r.held_out == (rest[r.doc_id] == 1) for r in got)
+    assert max(abs(r.score - want[r.doc_id]) for r in got) < 1e-6
+    assert all(r.predicted == int(r.score >= 0.5) for r in got)
