@@ -4,14 +4,21 @@
 
 A soft tip's density at a distance is -ln(1 - coverage); along a segment it is integrated by eight-point Gauss-Legendre quadrature over the part
 that the tip reaches, and divided by the spacing of dabs. Densities add up over segments, and coverage is 1 - exp(-density). A hard tip
-covers by the nearest segment alone. Segments meet pixels through tiles: each gives the tiles that its reach touches, each tile its pixels, and pixels out of reach are
-left at once.
+covers by the nearest segment alone. Segments meet pixels through tiles: each gives the tiles that its reach touches, and tiles are dealt out and sorted, so that a task
+goes through one tile after the other, however many there are: it holds a tile's sums and some thousand pairs of segments and pixels, and pixels out of reach are left at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lamina.plans.sql import Dialect, Text, num
@@ -22,6 +29,8 @@ NODES = (0.1834346425, 0.5255324099, 0.7966664774, 0.9602898565)
 WEIGHTS = (0.3626837834, 0.3137066459, 0.2223810345, 0.1012285363)
 #: Dabs lie this share of the diameter apart, at least a quarter pixel; hard tips and soft ones.
 SPACING = (0.015, 0.025)
+#: Pairs of segments and pixels that a task works on at once.
+PAIRS = 1 << 18
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -42,8 +51,8 @@ def _distance(px: Column, py: Column) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def met(ways: DataFrame, canvases: DataFrame, tile: int = TILE) -> DataFrame:
-    """``ways`` with each pixel (y, x) of the canvas whose middle is within reach (radius, and half a pixel for hard tips)."""
+def touched(ways: DataFrame, canvases: DataFrame, tile: int = TILE) -> DataFrame:
+    """``ways`` with each tile (ty, tx) of the canvas that has pixels within reach (radius, and half a pixel for hard tips), and the canvas's size."""
     reach = F.col("radius") + F.lit(0.5)
     spans = {}
     for axis, size in (("x", "width"), ("y", "height")):
@@ -53,53 +62,134 @@ def met(ways: DataFrame, canvases: DataFrame, tile: int = TILE) -> DataFrame:
     tiled = ways.join(canvases, "stroke_id").select("*", F.explode(spans["y"]).alias("ty")).select("*", F.explode(spans["x"]).alias("tx"))
     middle = lambda t: (F.col(t) + 0.5) * tile
     # a tile whose middle is farther than the reach and half its diagonal has no pixel within it
-    touched = tiled.filter(_distance(middle("tx"), middle("ty")) <= reach + tile * 0.7072)
-    places = touched.select("*", F.explode(F.sequence(F.lit(0), F.lit(tile * tile - 1))).alias("i"))
+    return tiled.filter(_distance(middle("tx"), middle("ty")) <= reach + tile * 0.7072)
+
+
+def met(ways: DataFrame, canvases: DataFrame, tile: int = TILE) -> DataFrame:
+    """``ways`` with each pixel (y, x) of the canvas whose middle is within reach."""
+    places = touched(ways, canvases, tile).select("*", F.explode(F.sequence(F.lit(0), F.lit(tile * tile - 1))).alias("i"))
     pixels = places.select("*", (F.col("ty") * tile + F.floor(F.col("i") / tile)).cast("int").alias("y"), (F.col("tx") * tile + F.col("i") % tile).cast("int").alias("x"))
     near = pixels.filter("x < width AND y < height").withColumn("distance", _distance(F.col("x") + 0.5, F.col("y") + 0.5))
-    return near.filter(F.col("distance") < reach).drop("ty", "tx", "i", "width", "height")
+    return near.filter(F.col("distance") < F.col("radius") + F.lit(0.5)).drop("ty", "tx", "i", "width", "height")
 
 
-def _soft(squared: Column) -> Column:
+def _soft(squared: np.ndarray, radius: np.ndarray, hardness: np.ndarray) -> np.ndarray:
     """The tip's density at a squared distance."""
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.sqrt(squared) / F.col("radius") - F.col("hardness")) / (1 - F.col("hardness"))))
-    floor = F.exp(F.lit(-FALLOFF))
-    cover = F.greatest(F.lit(0.0), (F.exp(-FALLOFF * t * t) - floor) / (1 - floor))
-    return -F.log(F.greatest(1 - cover, F.lit(0.001)))
-
-
-def dense(near: DataFrame) -> DataFrame:
-    """``near`` with ``d``: the density of a soft tip led along each segment, at a pixel's middle."""
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    rows = near.withColumn("length", F.sqrt(dx * dx + dy * dy))
-    moving, still = F.col("length") >= 1e-6, F.lit(0.0)
-    rows = rows.withColumn("ux", F.when(moving, dx / F.col("length")).otherwise(still)).withColumn("uy", F.when(moving, dy / F.col("length")).otherwise(still))
-    px, py = F.col("x") + 0.5 - F.col("x0"), F.col("y") + 0.5 - F.col("y0")
-    rows = rows.withColumn("along", px * F.col("ux") + py * F.col("uy"))
-    ex, ey = px - F.col("along") * F.col("ux"), py - F.col("along") * F.col("uy")
-    rows = rows.withColumn("across", ex * ex + ey * ey)
-    rows = rows.withColumn("reach", F.sqrt(F.greatest(F.col("radius") * F.col("radius") - F.col("across"), still)))
-    rows = rows.withColumn("low", F.greatest(still, F.col("along") - F.col("reach"))).withColumn("half", (F.least("length", F.col("along") + F.col("reach")) - F.col("low")) / 2)
-    rule = F.array(*[F.struct(F.lit(side * n).alias("node"), F.lit(w).alias("weight")) for n, w in zip(NODES, WEIGHTS, strict=True) for side in (-1.0, 1.0)])
-    at = lambda r: F.col("low") + F.col("half") * (1 + r["node"]) - F.col("along")
-    total = F.aggregate(rule, F.lit(0.0), lambda sum_, r: sum_ + r["weight"] * _soft(F.col("across") + at(r) * at(r)))
-    spacing = F.greatest(F.lit(0.25), 2 * F.col("radius") * SPACING[1])
-    led = F.when((F.col("across") < F.col("radius") * F.col("radius")) & (F.col("half") > 0), total * F.col("half") / spacing).otherwise(still)
-    return rows.withColumn("d", F.when(moving, led).otherwise(_soft(F.col("across"))))
+    t = np.clip((np.sqrt(squared) / radius - hardness) / (1 - hardness), 0.0, 1.0)
+    floor = np.exp(-FALLOFF)
+    cover = np.maximum(0.0, (np.exp(-FALLOFF * t * t) - floor) / (1 - floor))
+    return -np.log(np.maximum(1 - cover, 0.001))
+
+
+def densities(px: np.ndarray, py: np.ndarray, dx: np.ndarray, dy: np.ndarray, radius: np.ndarray, hardness: np.ndarray) -> np.ndarray:
+    """The density of a soft tip led along each segment (dx, dy), at a point (px, py) from its beginning."""
+    length = np.sqrt(dx * dx + dy * dy)
+    moving = length >= 1e-6
+    ux, uy = (np.divide(d, length, out=np.zeros_like(d), where=moving) for d in (dx, dy))
+    along = px * ux + py * uy
+    ex, ey = px - along * ux, py - along * uy
+    across = ex * ex + ey * ey
+    reach = np.sqrt(np.maximum(radius * radius - across, 0.0))
+    low = np.maximum(0.0, along - reach)
+    half = (np.minimum(length, along + reach) - low) / 2
+    out = np.zeros(len(px))
+    led = np.flatnonzero(moving & (across < radius * radius) & (half > 0))
+    if len(led):
+        r, h, c, middle, part = radius[led], hardness[led], across[led], (low + half - along)[led], half[led]
+        total = np.zeros(len(led))
+        for n, w in zip(NODES, WEIGHTS, strict=True):
+            for side in (-1.0, 1.0):
+                at = middle + side * n * part
+                total += w * _soft(c + at * at, r, h)
+        out[led] = total * part / np.maximum(0.25, 2 * r * SPACING[1])
+    still = np.flatnonzero(~moving)
+    if len(still):
+        out[still] = _soft(across[still], radius[still], hardness[still])
+    return out
+
+
+def _laid(part: pa.RecordBatch, group: np.ndarray, tile: int) -> tuple[np.ndarray, ...]:
+    """What the segments of ``part`` lay on the pixels of their tiles, by number of the tile (``group``): hit, solid, and sums and maxima of what is settled and of the tail."""
+    column = lambda name: part.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+    x0, y0, radius, hardness, width, height, ty, tx = (column(c) for c in ("x0", "y0", "radius", "hardness", "width", "height", "ty", "tx"))
+    dx, dy = column("x1") - x0, column("y1") - y0
+    i = np.arange(tile * tile)
+    x, y = tx[:, None] * tile + i % tile, ty[:, None] * tile + i // tile
+    px, py = x + 0.5 - x0[:, None], y + 0.5 - y0[:, None]
+    t = np.clip((px * dx[:, None] + py * dy[:, None]) / np.maximum(dx * dx + dy * dy, 1e-12)[:, None], 0.0, 1.0)
+    distance = np.sqrt((px - t * dx[:, None]) ** 2 + (py - t * dy[:, None]) ** 2)
+    row, place = np.nonzero((distance < radius[:, None] + 0.5) & (x < width[:, None]) & (y < height[:, None]))
+    # a hardness that is no number counts as the greatest
+    solid = ~(hardness < 1)[row]
+    d = np.empty(len(row))
+    d[solid] = np.clip(radius[row[solid]] - distance[row[solid], place[solid]] + 0.5, 0.0, 1.0)
+    soft = ~solid
+    of = row[soft]
+    d[soft] = densities(px[of, place[soft]], py[of, place[soft]], dx[of], dy[of], radius[of], hardness[of])
+    flat, size = group[row] * tile * tile + place, (int(group[-1]) + 1) * tile * tile
+    hit, hard = np.zeros(size, bool), np.zeros(size, bool)
+    hit[flat], hard[flat[solid]] = True, True
+    out = [hit, hard]
+    for tail in (False, True):
+        chosen = pc.fill_null(pc.equal(part.column("tail"), tail), False).to_numpy(zero_copy_only=False)[row]
+        at, values, greatest = flat[chosen], d[chosen], np.zeros(size)
+        np.maximum.at(greatest, at, values)
+        # of no values bincount makes whole numbers
+        out += [np.bincount(at, values, size).astype(np.float64), greatest]
+    return tuple(a.reshape(-1, tile * tile) for a in out)
+
+
+def _summed(tile: int, made: pa.Schema):
+    """Pixels of tiles that come in order: a tile's sums are kept until the next one begins."""
+
+    def pixels(keys: pa.RecordBatch, laid: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        """(stroke_id, y, x, settled, whole) of the hit pixels of the tiles ``keys``."""
+        group, place = np.nonzero(laid[0])
+        hard, sum0, max0, sum1, max1 = (a[group, place] for a in laid[1:])
+        soft = lambda d: 1 - np.exp(-np.minimum(d, MOST))
+        ty, tx = (keys.column(c).to_numpy()[group] for c in ("ty", "tx"))
+        columns = [keys.column("stroke_id").take(pa.array(group)), pa.array((ty * tile + place // tile).astype(np.int32)), pa.array((tx * tile + place % tile).astype(np.int32))]
+        columns += [pa.array(np.where(hard, max0, soft(sum0))), pa.array(np.where(hard, np.maximum(max0, max1), soft(sum0 + sum1)))]
+        return pa.RecordBatch.from_arrays(columns, schema=made)
+
+    def joined(open_: tuple[np.ndarray, ...], first: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        return tuple(how(a, b) for how, a, b in zip((np.logical_or, np.logical_or, np.add, np.maximum, np.add, np.maximum), open_, first, strict=True))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, PAIRS // (tile * tile))
+        key, open_ = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                keys = part.select(["stroke_id", "ty", "tx"])
+                begins = np.ones(part.num_rows, bool)
+                begins[1:] = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in keys.columns], axis=0)
+                with np.errstate(all="ignore"):
+                    laid = _laid(part, np.cumsum(begins) - 1, tile)
+                tiles = keys.take(pa.array(np.flatnonzero(begins)))
+                if key is not None:
+                    if key.equals(tiles.slice(0, 1)):
+                        for a, b in zip(laid, joined(open_, tuple(a[0] for a in laid)), strict=True):
+                            a[0] = b
+                    else:
+                        yield pixels(key, tuple(a[None] for a in open_))
+                key, open_ = tiles.slice(tiles.num_rows - 1), tuple(a[-1].copy() for a in laid)
+                if tiles.num_rows > 1:
+                    yield pixels(tiles.slice(0, tiles.num_rows - 1), tuple(a[:-1] for a in laid))
+        if key is not None:
+            yield pixels(key, tuple(a[None] for a in open_))
+
+    return summed
 
 
 def painted(points: DataFrame, canvases: DataFrame, tile: int = TILE) -> DataFrame:
     """(stroke_id, y, x, settled, preview): coverage by what is settled, and in bytes with the provisional tail, of each pixel within reach."""
-    near = met(segments(points), canvases, tile)
-    hard = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("radius") - F.col("distance") + 0.5))
-    solid = near.filter("hardness >= 1").select("stroke_id", "y", "x", "tail", F.lit(True).alias("solid"), hard.alias("d"))
-    laid = solid.unionByName(dense(near.filter("hardness < 1")).select("stroke_id", "y", "x", "tail", F.lit(False).alias("solid"), "d"))
-    part = lambda tail: F.when(F.col("tail") == tail, F.col("d")).otherwise(0.0)
-    sums = laid.groupBy("stroke_id", "y", "x").agg(F.first("solid").alias("solid"), F.sum(part(False)).alias("sum0"), F.sum(part(True)).alias("sum1"), F.max(part(False)).alias("max0"), F.max(part(True)).alias("max1"))
-    soft = lambda d: 1 - F.exp(-F.least(d, F.lit(MOST)))
-    settled = F.when(F.col("solid"), F.col("max0")).otherwise(soft(F.col("sum0")))
-    whole = F.when(F.col("solid"), F.greatest("max0", "max1")).otherwise(soft(F.col("sum0") + F.col("sum1")))
-    return sums.select("stroke_id", "y", "x", F.round(settled + 3e-9, 6).alias("settled"), F.floor(F.round(whole * 255, 6) + 0.5).cast("int").alias("preview"))
+    numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "radius", "hardness")]
+    parts = touched(segments(points).filter("hardness IS NOT NULL"), canvases, tile).select("stroke_id", "ty", "tx", *numbers, "tail", "width", "height")
+    made = StructType([parts.schema["stroke_id"], *StructType.fromDDL("y int, x int, settled double, whole double")])
+    keys = ["stroke_id", "ty", "tx"]
+    laid = parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summed(tile, to_arrow_schema(made)), made)
+    return laid.select("stroke_id", "y", "x", F.round(F.col("settled") + 3e-9, 6).alias("settled"), F.floor(F.round(F.col("whole") * 255, 6) + 0.5).cast("int").alias("preview"))
 
 
 def blur_painted(pixels: DataFrame, blurred: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:

@@ -379,3 +379,39 @@ def test_segments_meet_no_pixel_out_of_reach(spark):
     points = spark.createDataFrame([(0, i, 10.0 + 300 * i, 10.0 + 300 * i, 2.0, 0.5, False) for i in range(2)], "stroke_id long, seq int, x double, y double, radius double, hardness double, tail boolean")
     near = strokes.met(strokes.segments(points), spark.createDataFrame([(0, 400, 400)], "stroke_id long, width int, height int"))
     assert near.filter("distance >= radius + 0.5").count() == 0 and near.count() < 300 * 2**0.5 * 2 * 2.5 * 1.1
+
+
+def test_a_task_lays_strokes_tile_by_tile(spark):
+    """Pixels are not held in a table of sums; a tile whose segments come in several batches is the same as in one."""
+    rng = np.random.default_rng(3)
+    rows = [(s, i, float(x), float(y), 3.0, 0.3, i == 8) for s in range(4) for i, (x, y) in enumerate(rng.uniform(-4, 36, (9, 2)))]
+    points = spark.createDataFrame(rows, "stroke_id long, seq int, x double, y double, radius double, hardness double, tail boolean")
+    canvases = spark.createDataFrame([(s, 30, 28) for s in range(4)], "stroke_id long, width int, height int")
+    whole = strokes.painted(points, canvases)
+    assert "HashAggregate" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = sorted(whole.collect())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted(strokes.painted(points, canvases).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_a_stroke_with_soft_and_hard_tips_is_the_sqls(spark):
+    """Where both meet, the hard tip decides, in whatever order segments come."""
+    import duckdb
+
+    from lamina.plans.sql import DUCK
+
+    rng = np.random.default_rng(4)
+    rows = [(s, i, float(x), float(y), 4.0, (0.4, 1.0)[(i + s) % 2], i % 5 == 4) for s in range(3) for i, (x, y) in enumerate(rng.uniform(0, 24, (10, 2)))]
+    points = spark.createDataFrame(rows, "stroke_id long, seq int, x double, y double, radius double, hardness double, tail boolean")
+    canvases = spark.createDataFrame([(s, 24, 24) for s in range(3)], "stroke_id long, width int, height int")
+    con = duckdb.connect()
+    values = ", ".join(f"({s}, {i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {r!r}::DOUBLE, {h!r}::DOUBLE, {t})" for s, i, x, y, r, h, t in rows)
+    con.execute(f"create table points as select * from (values {values}) v(stroke_id, seq, x, y, radius, hardness, tail)")
+    con.execute("create table canvases as select i as stroke_id, 24 as width, 24 as height from range(3) r(i)")
+    want = con.execute(strokes.painted_sql()(DUCK).format(points="points", canvases="canvases")).fetchall()
+    got = strokes.painted(points, canvases).select("stroke_id", "y", "x", "settled", "preview").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
