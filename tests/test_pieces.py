@@ -61,6 +61,24 @@ def test_only_what_a_change_reaches_is_done_again(spark, rasters):
     assert tiles.around(changed, halo, tile).count() == 9 and tiles._needed(after, tiles.around(changed, halo, tile), halo, tile).count() <= 25 < after.count()
 
 
+def test_small_tiles_are_worked_on_together(spark):
+    """A kernel is called for many tiles at once; batches that end within a tile change nothing."""
+    rng = np.random.default_rng(1)
+    planes = {i: rng.integers(0, 256, (9, 10)).astype(float) for i in range(40)}
+    pixels = spark.createDataFrame(plane_rows(planes), "image_id long, y int, x int, v double").cache()
+    sizes = spark.createDataFrame([(i, 9, 10) for i in planes], "image_id long, height int, width int")
+    together = tiles.spatial(tiles.to_tiles(pixels, sizes, 4), lambda window: np.full_like(window, window.size), 2, 4)
+    assert tiles.to_pixels(together).agg(F.max("v")).first()[0] > 8 * 8
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        kernel = tiles.box_mean(2)
+        got = as_planes(tiles.to_pixels(tiles.spatial(tiles.to_tiles(pixels, sizes, 4), kernel, 2, 4)).collect(), {i: p.shape for i, p in planes.items()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert all(np.allclose(got[i], kernel(p), atol=1e-9) for i, p in planes.items())
+
+
 # reduced copies
 
 
