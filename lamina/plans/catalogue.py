@@ -23,6 +23,7 @@ from lamina.operators import strokes as W
 from lamina.operators import tiles as I
 from lamina.operators import trees as R
 from lamina.plans.sql import Query, Source, Text
+from lamina.plans.staging import staged
 from lamina.sources import package as K_
 from lamina.sources import psd_queries as F
 from lamina.sources import views as V
@@ -358,7 +359,7 @@ def _tiled(px, sizes):
 
 
 def _recomputed(px, touched, sizes):
-    before, after = (I.to_tiles(p, sizes, 4) for p in (px, touched))
+    before, after = (staged(I.to_tiles(p, sizes, 4)) for p in (px, touched))
     results = I.spatial(before, I.box_mean(1), 1, 4)
     return I.to_pixels(I.recomputed(results, after, I.changed_tiles(before, after), I.box_mean(1), 1, 4)).selectExpr("image_id", "y", "x", "round(v, 6) AS v")
 
