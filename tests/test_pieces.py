@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,3 +448,12 @@ def test_blocks_go_along_with_layers():
     file = b"8BPS" + struct.pack(">H6xHIIHH", 1, 3, 1, 1, 8, 3) + struct.pack(">II", 0, 0) + struct.pack(">II", len(layers) + 4, len(layers)) + layers
     (row,) = psd.read(file)
     assert row["blocks"].keys() == {"TySh"} and psd_blocks.text_of(row["blocks"]["TySh"])["text"] == "hi"
+
+
+def test_batches_of_layered_files_are_opened_in_pieces():
+    """However many rows or bytes a batch has, only a bounded piece of it is opened at once; rows keep their order, and a row of any size comes by itself."""
+    blocks = [b"x" * (3_000_000 if i == 700 else 100) for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([[("TySh", b)] for b in blocks], pa.map_(pa.string(), pa.binary()))], names=["id", "blocks"])
+    pieces = list(psd_blocks._pieces(iter([batch.slice(0, 0), batch])))
+    assert [i for p in pieces for i in p.column("id").to_pylist()] == list(range(2000))
+    assert all(p.num_rows <= 512 and (p.num_rows == 1 or p.nbytes <= 1 << 20) for p in pieces)
