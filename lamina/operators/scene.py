@@ -27,6 +27,7 @@ from lamina.plans.staging import staged
 ADJUSTMENTS = ("Invert", "Levels", "Exposure")
 _BASE, _CLIPPED, _ADJUSTS, _ADJUSTS_STACK, _ENDS = range(5)
 _RGB = ("r", "g", "b")
+_PLACED = ("ox", "oy", "w", "h", "cos", "sin", "flip_x", "flip_y", "nearest", "grid_w", "grid_h")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -94,15 +95,23 @@ def _fold(entries: str) -> str:
     return f"aggregate({listed}, {zero}, (acc, e) -> {step})"
 
 
-def _turned(prefix: str = "") -> dict[str, Column]:
+def _snapped(t: Column) -> Column:
+    """To 9 digits, in doubles: whole and half pixels are met exactly, whatever the last digits of sines."""
+    return F.rint(t * 1e9) / 1e9
+
+
+def _angled(layers: DataFrame) -> DataFrame:
+    """Layers whose rotation's sine and cosine are taken once, before their places are made."""
+    return layers.withColumns({"cos": F.cos(F.radians("rotation")), "sin": F.sin(F.radians("rotation"))})
+
+
+def _turned() -> dict[str, Column]:
     """A point (px, py) of the document in a layer's own grid (gx, gy), and how much of its pixel lies within the layer's bounds."""
-    c = lambda name: F.col(f"{prefix}{name}")
-    angle = F.radians(c("rotation"))
+    c = F.col
     dx, dy = F.col("px") - (c("ox") + c("w") / 2), F.col("py") - (c("oy") + c("h") / 2)
-    # whole and half pixels are met exactly, whatever the last digits of sines
-    u, v = F.round(F.cos(angle) * dx + F.sin(angle) * dy, 9), F.round(F.cos(angle) * dy - F.sin(angle) * dx, 9)
+    u, v = _snapped(c("cos") * dx + c("sin") * dy), _snapped(c("cos") * dy - c("sin") * dx)
     inside = lambda t, size: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + size / 2 - F.abs(t)))
-    along = lambda t, flip, size, n: F.round((F.when(flip, -t).otherwise(t) / size + 0.5) * n, 9)
+    along = lambda t, flip, size, n: _snapped((F.when(flip, -1.0).otherwise(1.0) * t / size + 0.5) * n)
     gx, gy = along(u, c("flip_x"), c("w"), c("grid_w")), along(v, c("flip_y"), c("h"), c("grid_h"))
     hard = ((gx >= 0) & (gx < c("grid_w")) & (gy >= 0) & (gy < c("grid_h"))).cast("double")
     return {"gx": gx, "gy": gy, "within": F.when(c("nearest"), hard).otherwise(inside(u, c("w")) * inside(v, c("h")))}
@@ -116,24 +125,31 @@ def _on_document(x: Column, y: Column) -> tuple[Column, Column]:
     return F.col("ox") + F.col("w") / 2 + F.cos(angle) * u - F.sin(angle) * v, F.col("oy") + F.col("h") / 2 + F.sin(angle) * u + F.cos(angle) * v
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Lines (layer_id, y) of places, dealt out before their places are made: lines are few and small, and Spark would join them into one task, which then makes all places."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "layer_id", "y")
+
+
 def sampled(places: DataFrame, layers: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
-    """``grids`` (layer_id, y, x, values) at ``places`` (``keys``, layer_id, px, py): per key and layer, the values between pixels, and ``within``.
+    """``grids`` (layer_id, y, x, values) at ``places`` (``keys``, layer_id, px, py): per key and layer, the values between pixels, and ``within``."""
+    return _sampled(places.join(_angled(layers).select("layer_id", *_PLACED), "layer_id"), grids, keys)
+
+
+def _sampled(places: DataFrame, grids: DataFrame, keys: list[str]) -> DataFrame:
+    """``sampled`` at places that know their layers' own (``_PLACED``).
 
     Between pixels values are bilinear, and repeat beyond the grid's edge; the nearest one is taken where a layer says so.
     """
     names = [c for c in grids.columns if c not in ("layer_id", "y", "x")]
-    put = places.join(layers.select("layer_id", "ox", "oy", "w", "h", "rotation", "flip_x", "flip_y", "nearest", "grid_w", "grid_h"), "layer_id")
-    put = put.select(*keys, "layer_id", "nearest", "grid_w", "grid_h", *[e.alias(n) for n, e in _turned().items()]).filter("within > 0")
-    corners = []
-    for i, j in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        axis = []
-        for g, n, step in (("gx", "grid_w", i), ("gy", "grid_h", j)):
-            t = F.col(g) - 0.5
-            weight = F.when(F.col("nearest"), F.lit(float(not step))).otherwise(t - F.floor(t) if step else 1 - (t - F.floor(t)))
-            at = F.when(F.col("nearest"), F.floor(g)).otherwise(F.floor(t) + step)
-            axis.append((F.greatest(F.lit(0), F.least(F.col(n) - 1, at)).cast("int"), weight))
-        corners.append(F.struct(axis[1][0].alias("_y"), axis[0][0].alias("_x"), (axis[0][1] * axis[1][1]).alias("weight")))
-    near = put.select(*keys, "layer_id", "within", F.explode(F.array(*corners)).alias("c")).filter("c.weight > 0").select(*keys, "layer_id", "within", "c.*")
+    put = places.select(*keys, "layer_id", "nearest", "grid_w", "grid_h", *[e.alias(n) for n, e in _turned().items()]).filter("within > 0")
+    # the pixel before the point on each axis, and how far the point is on from its middle
+    first = lambda g: F.when(F.col("nearest"), F.floor(g)).otherwise(F.floor(F.col(g) - 0.5))
+    on = lambda g: F.when(F.col("nearest"), 0.0).otherwise(F.col(g) - 0.5 - F.floor(F.col(g) - 0.5))
+    put = put.select("*", first("gx").alias("_x"), first("gy").alias("_y"), on("gx").alias("_u"), on("gy").alias("_v"))
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (0, 1), (1, 1))]))
+    at = lambda axis, step, n: F.greatest(F.lit(0), F.least(F.col(n) - 1, F.col(axis) + F.col(step))).cast("int")
+    part = lambda t, step: F.when(F.col(step) == 1, F.col(t)).otherwise(1 - F.col(t))
+    near = put.select("*", corners.alias("c")).select(*keys, "layer_id", "within", at("_y", "c.j", "grid_h").alias("_y"), at("_x", "c.i", "grid_w").alias("_x"), (part("_u", "c.i") * part("_v", "c.j")).alias("weight")).filter("weight > 0")
     met = near.join(grids.withColumnsRenamed({"y": "_y", "x": "_x"}), ["layer_id", "_y", "_x"])
     return met.groupBy(*keys, "layer_id").agg(F.first("within").alias("within"), *[F.sum(F.col("weight") * F.col(n)).alias(n) for n in names])
 
@@ -148,16 +164,15 @@ def _grids(layers: DataFrame, pixels: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def _places(layers: DataFrame, canvases: DataFrame) -> DataFrame:
-    """Where a layer may be drawn: (document_id, layer_id, y, x, px, py), the pixels of its turned bounds on the canvas."""
-    angle = F.radians("rotation")
-    far = lambda a, b: (F.abs(F.cos(angle)) * F.col(a) + F.abs(F.sin(angle)) * F.col(b)) / 2 + 1
+    """Where a layer may be drawn: (document_id, layer_id, y, x, px, py) and ``_PLACED``, the pixels of its turned bounds on the canvas."""
+    far = lambda a, b: (F.abs("cos") * F.col(a) + F.abs("sin") * F.col(b)) / 2 + 1
     spans = {}
     for axis, origin, size, other, limit in (("x", "ox", "w", "h", "width"), ("y", "oy", "h", "w", "height")):
         middle = F.col(origin) + F.col(size) / 2
         first, last = F.greatest(F.lit(0), F.floor(middle - far(size, other))).cast("int"), F.least(F.col(limit) - 1, F.ceil(middle + far(size, other))).cast("int")
         spans[axis] = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    rows = layers.join(canvases, "document_id").select("document_id", "layer_id", spans["x"].alias("xs"), F.explode(spans["y"]).alias("y"))
-    return rows.select("document_id", "layer_id", "y", F.explode("xs").alias("x")).select("*", (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"))
+    rows = _dealt(_angled(layers).join(canvases, "document_id").select("document_id", "layer_id", *_PLACED, spans["x"].alias("xs"), F.explode(spans["y"]).alias("y")))
+    return rows.select("document_id", "layer_id", *_PLACED, "y", F.explode("xs").alias("x")).select("*", (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"))
 
 
 def ordered(layers: DataFrame) -> DataFrame:
@@ -212,7 +227,7 @@ def entries(layers: DataFrame, pixels: DataFrame, masks: DataFrame, canvases: Da
     clips = staged(live.join(drawn.select("layer_id"), "layer_id").unionByName(folders).join(members, "layer_id", "left_anti"))
     wanted = known.join(drawn.select("layer_id").unionByName(clips.select(F.col("clip_id").alias("layer_id"))).distinct(), "layer_id")
     keys = ["document_id", "y", "x"]
-    samples = sampled(_places(wanted, canvases), known, _grids(layers, pixels, masks), keys)
+    samples = _sampled(_places(wanted, canvases), _grids(layers, pixels, masks), keys)
     # a folder's opacity is in the total of what it holds, its mask is not
     totals = known.withColumn("total", F.when(F.col("is_group"), F.lit(1.0)).otherwise(F.col("total")))
     own = staged(_own(samples, totals, keys))
@@ -270,7 +285,7 @@ def copied(layers: DataFrame, pixels: DataFrame, canvases: DataFrame, selection:
     """(layer_id, y, x, r, g, b, a): each layer's own pixels as they lie on the document, without masks, opacity or effects, under the coverage c of ``selection`` (document_id, y, x, c)."""
     leaves = layers.filter("NOT is_group AND adjustment IS NULL")
     keys = ["document_id", "y", "x"]
-    samples = sampled(_places(leaves, canvases), layers, pixels.select("layer_id", "y", "x", *_RGB, "a"), keys).join(selection, keys)
+    samples = _sampled(_places(leaves, canvases), pixels.select("layer_id", "y", "x", *_RGB, "a"), keys).join(selection, keys)
     shown = F.col("within") * F.col("c")
     out = samples.select("layer_id", "y", "x", *[F.floor(F.round(F.col(c) * shown, 6) + 0.5).cast("int").alias(c) for c in (*_RGB, "a")])
     return out.filter("a > 0")
@@ -282,7 +297,7 @@ def masks_in_grids(layers: DataFrame, masks: DataFrame, placements: DataFrame) -
     at_edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("grid_w") - 1) | (F.col("y") == F.col("grid_h") - 1)
     edges = masks.join(placements.select("layer_id", "grid_w", "grid_h"), "layer_id").filter(at_edge).groupBy("layer_id").agg(F.when(F.avg("v") >= 127.5, 255.0).otherwise(0.0).alias("background"))
     grids = layers.join(placements.select("layer_id"), "layer_id").select("layer_id", "ox", "oy", "w", "h", "rotation", "flip_x", "flip_y", "grid_w", "grid_h", F.explode(F.sequence(F.lit(0), F.col("grid_h") - 1)).alias("y"))
-    grids = grids.select("*", F.explode(F.sequence(F.lit(0), F.col("grid_w") - 1)).alias("x"))
+    grids = _dealt(grids).select("*", F.explode(F.sequence(F.lit(0), F.col("grid_w") - 1)).alias("x"))
     px, py = _on_document(F.col("x") + 0.5, F.col("y") + 0.5)
     points = grids.select("layer_id", "y", "x", px.alias("px"), py.alias("py"))
     asked = points.select("layer_id", F.col("y").alias("at_y"), F.col("x").alias("at_x"), "px", "py")
@@ -297,7 +312,7 @@ def grown(layers: DataFrame, floats: DataFrame) -> DataFrame:
     units = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0.0, 1.0) for j in (0.0, 1.0)]))
     corners = floats.select("*", units.alias("c"))
     px, py = _on_document(F.col("c.i") * F.col("grid_w"), F.col("c.j") * F.col("grid_h"))
-    points = corners.select("layer_id", px.alias("px"), py.alias("py")).join(layers.select("layer_id", "ox", "oy", "w", "h", "rotation", "flip_x", "flip_y", "nearest", "grid_w", "grid_h"), "layer_id")
+    points = corners.select("layer_id", px.alias("px"), py.alias("py")).join(_angled(layers).select("layer_id", *_PLACED), "layer_id")
     at = _turned()
     placed = points.select("layer_id", "grid_w", "grid_h", at["gx"].alias("gx"), at["gy"].alias("gy"))
     low, high = (lambda c: F.floor(F.round(F.min(c), 6))), (lambda c: F.ceil(F.round(F.max(c), 6)))
@@ -312,7 +327,8 @@ def floating_merged(layers: DataFrame, pixels: DataFrame, floats: DataFrame, flo
     """
     spans = staged(grown(layers, floats))
     joined = layers.join(spans, "layer_id")
-    grid = joined.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("at_y")).select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("at_x"))
+    lines = joined.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"))
+    grid = _dealt(lines).withColumnRenamed("y", "at_y").select("*", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("at_x"))
     px, py = _on_document(F.col("at_x") + 0.5, F.col("at_y") + 0.5)
     points = grid.select("layer_id", "at_y", "at_x", px.alias("px"), py.alias("py"))
     over = sampled(points, floats, floating.select("layer_id", "y", "x", *_RGB, "a"), ["at_y", "at_x"])

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.operators import scene, strokes
 from lamina.operators.compose import COMPONENT
@@ -415,3 +416,11 @@ def test_a_stroke_with_soft_and_hard_tips_is_the_sqls(spark):
     want = con.execute(strokes.painted_sql()(DUCK).format(points="points", canvases="canvases")).fetchall()
     got = strokes.painted(points, canvases).select("stroke_id", "y", "x", "settled", "preview").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_places_of_few_layers_are_made_in_many_tasks(spark):
+    """One large layer in one partition: its places come from all tasks, and none is lost."""
+    layers, _, _, canvases = frames(spark, [layer(0, box=(0.0, 0.0, 64.0, 64.0), grid=(64, 64))], [], size=(64, 64))
+    places = scene._places(layers.coalesce(1), canvases.coalesce(1)).select("y", "x", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.y, r.x) for r in places) == [(y, x) for y in range(64) for x in range(64)]
+    assert len({r.task for r in places}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
