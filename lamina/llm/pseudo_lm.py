@@ -36,6 +36,8 @@ _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 _CHUNK = 16_384
 #: Words whose outputs stay in a core's cache together.
 _CACHED = 2048
+#: Words whose classes' members are taken together.
+_TOGETHER = 1024
 _HELD = 400_000
 
 
@@ -127,28 +129,31 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in frequent], totals)
 
 
-def _layer(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Layers (the last two axes) as matrices for columns of hidden values above a 1, and whether the exponentials of their outputs surely are neither too large nor all too small."""
-    reach = np.abs(weights).sum(axis=-2)
-    wide = np.concatenate([weights, bias[..., None, :]], axis=-2)
-    return wide.swapaxes(-1, -2), ((bias + reach).max(axis=-1) < 80) & ((bias - reach).max(axis=-1) > -80)
+def _safe(layer: np.ndarray) -> np.ndarray:
+    """Whether the exponentials of outputs of layers (the last two axes, the last row being biases) surely are neither too large nor all too small."""
+    reach, bias = np.abs(layer[..., :-1, :]).sum(axis=-2), layer[..., -1, :]
+    return ((bias + reach).max(axis=-1) < 80) & ((bias - reach).max(axis=-1) > -80)
+
+
+def _exponentials(x: np.ndarray, safe: bool) -> np.ndarray:
+    """The sums of the rows' exponentials, as a column; those are left in place of ``x``, whose rows have their largest taken off unless ``safe``."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x) @ np.ones((x.shape[1], 1), np.float32)
 
 
 def _log_of(x: np.ndarray, safe: bool, which: np.ndarray) -> np.ndarray:
-    """Each column's log softmax at its ``which``; ``x`` is used up."""
+    """Each row's log softmax at its ``which``; ``x`` is used up."""
     if not safe:
-        x -= x.max(axis=0)
-    got = x[which, np.arange(x.shape[1])]
-    return got - np.log(np.exp(x, out=x).sum(axis=0))
+        x -= x.max(axis=1, keepdims=True)
+    got = x[np.arange(len(x)), which]
+    return got - np.log(_exponentials(x, True)[:, 0])
 
 
 def _softmax_error(x: np.ndarray, safe: bool, which: np.ndarray, n: int) -> np.ndarray:
-    """The gradient of -log softmax at ``which`` over ``n``, in place of ``x``, whose columns are words."""
-    if not safe:
-        x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x *= 1 / (x.sum(axis=0) * np.float32(n))
-    x[which, np.arange(x.shape[1])] -= np.float32(1 / n)
+    """The gradient of -log softmax at ``which`` over ``n``, in place of ``x``, whose rows are words."""
+    x *= 1 / (_exponentials(x, safe) * np.float32(n))
+    x[np.arange(len(x)), which] -= np.float32(1 / n)
     return x
 
 
@@ -167,11 +172,14 @@ def _segment_sums(x: np.ndarray, by: np.ndarray, head: np.ndarray) -> np.ndarray
 def _shapes(words: int) -> dict[str, tuple[int, ...]]:
     classes = 1 << (words.bit_length() - 1) // 2
     members = words // classes
-    return {"context": (len(_OFFSETS), words + 1, WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, classes), "class_bias": (classes,), "to_member": (classes, WIDTH, members), "member_bias": (classes, members)}
+    return {"tables": (words + 1, len(_OFFSETS), WIDTH), "bias": (WIDTH,), "class_layer": (WIDTH + 1, classes), "member_layers": (classes, WIDTH + 1, members)}
 
 
 class Network:
-    """Parameters in one float32 vector, with views of its parts. Id ``words`` is padding. A word's class is its id modulo ``classes``."""
+    """Parameters in one float32 vector, with views of its parts. Id ``words`` is padding. A word's class is its id modulo ``classes``.
+
+    A word's embeddings at all positions lie side by side, and a layer's biases are its last row, so that each is read and moved at once.
+    """
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
@@ -180,6 +188,9 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, flat[at : at + size].reshape(shape))
             at += size
+        self.context = self.tables.swapaxes(0, 1)
+        self.to_class, self.class_bias = self.class_layer[:-1], self.class_layer[-1]
+        self.to_member, self.member_bias = self.member_layers[:, :-1], self.member_layers[:, -1]
         self.classes, _, self.members = self.to_member.shape
 
     @classmethod
@@ -199,10 +210,11 @@ class Network:
         return net
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = self.context[0].take(padded[at + _OFFSETS[0]], axis=0)
+        rows, z = self.tables.reshape(-1, WIDTH), None
+        for j, o in enumerate(_OFFSETS):
+            near = rows.take(padded[at + o].astype(np.int64) * len(_OFFSETS) + j, axis=0)
+            z = near if z is None else np.add(z, near, out=z)
         z += self.bias
-        for table, o in zip(self.context[1:], _OFFSETS[1:], strict=True):
-            z += table.take(padded[at + o], axis=0)
         return np.tanh(z, out=z)
 
     def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,29 +223,39 @@ class Network:
         order = np.argsort(kind, kind="stable")
         return order, (target // self.classes)[order], np.searchsorted(kind[order], np.arange(self.classes + 1))
 
-    def _columns(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The hidden values of each word as a column, above a row of ones."""
-        out = np.ones((WIDTH + 1, len(at)), np.float32)
-        out[:WIDTH] = self.hidden(padded, at).T
+    def _with_ones(self, padded: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """In ``out``, the hidden values of each word as a row that ends with a one."""
+        out[:, :-1] = self.hidden(padded, at)
+        out[:, -1] = 1
         return out
 
+    def _member_outputs(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, bool]]:
+        """Some classes at a time that have few words together: the classes, their words, the outputs of their members for these, and whether those are safe."""
+        safe, first = _safe(self.member_layers), 0
+        while first < self.classes:
+            last = min(max(first + 1, int(np.searchsorted(bounds, bounds[first] + _TOGETHER, "right")) - 1), self.classes)
+            words = slice(int(bounds[first]), int(bounds[last]))
+            x = np.empty((words.stop - words.start, self.members), np.float32)
+            for c in range(first, last):
+                if bounds[c + 1] > bounds[c]:
+                    np.matmul(h[bounds[c] : bounds[c + 1]], self.member_layers[c], out=x[bounds[c] - words.start : bounds[c + 1] - words.start])
+            if len(x):
+                yield slice(first, last), words, x, bool(safe[first:last].all())
+            first = last
+
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each of ``at``, given those around it."""
-        out = np.empty(len(at))
-        (to_class, safe), (to_member, safe_members) = _layer(self.to_class, self.class_bias), _layer(self.to_member, self.member_bias)
+        out, safe = np.empty(len(at)), _safe(self.class_layer)
         for first in range(0, len(at), _CHUNK):
             own = at[first : first + _CHUNK]
             target = padded[own].astype(np.int64)
             order, member, bounds = self._by_class(target)
-            h, got = np.empty((WIDTH + 1, len(own)), np.float32), np.empty(len(own))
+            kind, h, got = target[order] % self.classes, np.empty((len(own), WIDTH + 1), np.float32), np.empty(len(own))
             for begin in range(0, len(own), _CACHED):
                 some = slice(begin, begin + _CACHED)
-                h[:, some] = part = self._columns(padded, own[order[some]])
-                got[some] = _log_of(to_class @ part, safe, target[order[some]] % self.classes)
-            for c in range(self.classes):
-                own_class = slice(bounds[c], bounds[c + 1])
-                if bounds[c + 1] > bounds[c]:
-                    got[own_class] += _log_of(to_member[c] @ h[:, own_class], safe_members[c], member[own_class])
+                got[some] = _log_of(self._with_ones(padded, own[order[some]], h[some]) @ self.class_layer, safe, kind[some])
+            for _, words, x, safe_members in self._member_outputs(h, bounds):
+                got[words] += _log_of(x, safe_members, member[words])
             out[first + order] = got
         return out
 
@@ -242,60 +264,57 @@ class Network:
         n = len(at)
         target = padded[at].astype(np.int64)
         order, member, bounds = self._by_class(target)
-        h, dh, gradient = np.empty((WIDTH + 1, n), np.float32), np.empty((WIDTH, n), np.float32), np.zeros((WIDTH + 1, self.classes), np.float32)
-        (to_class, safe), (to_member, safe_members) = _layer(self.to_class, self.class_bias), _layer(self.to_member, self.member_bias)
+        kind, place = target[order] % self.classes, at[order]
+        h, dh, gradient = np.empty((n, WIDTH + 1), np.float32), np.empty((n, WIDTH), np.float32), np.zeros((WIDTH + 1, self.classes), np.float32)
+        safe = _safe(self.class_layer)
         for first in range(0, n, _CACHED):
             own = slice(first, first + _CACHED)
-            part = self._columns(padded, at[order[own]])
-            d = _softmax_error(to_class @ part, safe, target[order[own]] % self.classes, n)
-            h[:, own], dh[:, own] = part, self.to_class @ d
-            gradient += part @ d.T
-        members = np.zeros((self.classes, WIDTH + 1, self.members), np.float32)
-        for c in range(self.classes):
-            own = slice(bounds[c], bounds[c + 1])
-            if bounds[c + 1] > bounds[c]:
-                part = h[:, own]
-                e = _softmax_error(to_member[c] @ part, safe_members[c], member[own], n)
-                dh[:, own] += self.to_member[c] @ e
-                np.matmul(part, e.T, out=members[c])
-        self._move_outputs(squares, ("to_class", "class_bias"), gradient, rate)
-        self._move_outputs(squares, ("to_member", "member_bias"), members, rate)
+            part = self._with_ones(padded, place[own], h[own])
+            d = _softmax_error(part @ self.class_layer, safe, kind[own], n)
+            np.matmul(d, self.to_class.T, out=dh[own])
+            gradient += part.T @ d
+        for classes, words, x, safe_members in self._member_outputs(h, bounds):
+            e, back = _softmax_error(x, safe_members, member[words], n), np.empty((len(x), WIDTH), np.float32)
+            members = np.zeros((classes.stop - classes.start, WIDTH + 1, self.members), np.float32)
+            for c in range(classes.start, classes.stop):
+                if bounds[c + 1] > bounds[c]:
+                    own = slice(bounds[c] - words.start, bounds[c + 1] - words.start)
+                    np.matmul(e[own], self.to_member[c].T, out=back[own])
+                    np.matmul(h[bounds[c] : bounds[c + 1]].T, e[own], out=members[c - classes.start])
+            dh[words] += back
+            # other classes' words do not read these layers, so they move while they are in the core's cache
+            _move(self.member_layers[classes], squares.member_layers[classes], members, rate)
+        _move(self.class_layer, squares.class_layer, gradient, rate)
         # a word seen at place p took part in the words at p - REACH .. p + REACH: one row of ``around``
         low, high = int(at[0]) - REACH, int(at[-1]) + REACH + 1
         dz = np.zeros((high - low + 2 * REACH, WIDTH), np.float32)
-        for first in range(0, n, _CACHED):
-            own = slice(first, first + _CACHED)
-            part = h[:WIDTH, own]
-            dh[:, own] *= 1 - part * part
-            dz[at[order[own]] - low + REACH] = dh[:, own].T
-        self._move(squares, "bias", dh.sum(axis=1), rate)
+        dh *= 1 - h[:, :-1] * h[:, :-1]
+        dz[place - low + REACH] = dh
+        _move(self.bias, squares.bias, dh.sum(axis=0), rate)
         around = np.lib.stride_tricks.as_strided(dz, (high - low, (2 * REACH + 1) * WIDTH), dz.strides, writeable=False)
         seen = padded[low:high]
         by = np.argsort(seen, kind="stable")
         words = seen[by]
         head = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
         sums = _segment_sums(around, by, head)
-        for j, o in enumerate(_OFFSETS):
-            self._move_rows(squares, j, words[head], sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH], rate)
-
-    def _move_outputs(self, squares: Network, names: tuple[str, str], gradient: np.ndarray, rate: float) -> None:
-        """Weights and, by the gradients' last rows, biases."""
-        self._move(squares, names[0], gradient[..., :-1, :], rate)
-        self._move(squares, names[1], gradient[..., -1, :], rate)
+        self._move_rows(squares, words[head], np.concatenate([sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH] for o in _OFFSETS], axis=1), rate)
 
-    def _move(self, squares: Network, name: str, gradient: np.ndarray, rate: float) -> None:
-        total = getattr(squares, name)
-        change = gradient * gradient
-        total += change
-        getattr(self, name)[...] -= _change(gradient, total, change, rate)
-
-    def _move_rows(self, squares: Network, table: int, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        """Of one of the ``context`` tables; no row stands twice."""
-        total, own = squares.context[table], self.context[table]
+    def _move_rows(self, squares: Network, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+        """Of the embeddings; no row stands twice."""
+        total, own = (x.tables.reshape(len(x.tables), -1) for x in (squares, self))
         change = gradient * gradient
         change += total.take(rows, axis=0)
         total[rows] = change
-        own[rows] = own.take(rows, axis=0) - _change(gradient, change, change, rate)
+        moved = own.take(rows, axis=0)
+        moved -= _change(gradient, change, change, rate)
+        own[rows] = moved
+
+
+def _move(own: np.ndarray, total: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    """Parameters ``own``, whose sums of squared gradients are ``total``."""
+    change = gradient * gradient
+    total += change
+    own -= _change(gradient, total, change, rate)
 
 
 def _change(gradient: np.ndarray, total: np.ndarray, out: np.ndarray, rate: float) -> np.ndarray:
@@ -405,10 +424,12 @@ def _hidden(ids: list[bytes], number: int, rounds: int, words: int = WORDS) -> t
     Runs of ``_RUN`` words take turns; which comes first hangs on the document's words. Over all ``rounds`` each word is hidden once.
     """
     padded, at, n = _padded(ids, words)
-    begin = np.cumsum(n) - n
-    turn = np.repeat(np.array([zlib.crc32(b or b"") for b in ids], np.int64), n) + (np.arange(len(at)) - np.repeat(begin, n)) // _RUN
+    runs = -(-n // _RUN)
+    of = np.repeat(np.arange(len(n)), runs)
+    run = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+    turn = np.array([zlib.crc32(b or b"") for b in ids], np.int64)[of] + run
     hidden = np.zeros(len(padded), bool)
-    hidden[at[turn % rounds == number % rounds]] = True
+    hidden[at] = np.repeat(turn % rounds == number % rounds, np.minimum(_RUN, n[of] - run * _RUN))
     near = hidden.copy()
     for o in range(1, REACH + 1):
         near[o:] |= hidden[:-o]

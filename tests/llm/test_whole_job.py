@@ -289,3 +289,45 @@ def test_every_quality_score_by_a_plain_refit(spark):
     assert len(got) == len(docs) and all(r.held_out == (rest[r.doc_id] == 1) for r in got)
     assert max(abs(r.score - want[r.doc_id]) for r in got) < 1e-6
     assert all(r.predicted == int(r.score >= 0.5) for r in got)
+
+
+def test_a_step_is_that_of_plain_sums():
+    """Classes of no, few and very many words, and one whose outputs are too large for exponentials: one step moves all parameters as in doubles, each read before it moves."""
+    rng = np.random.default_rng(11)
+    net = pseudo_lm.Network.start(rng.random(pseudo_lm.WORDS))
+    net.member_bias[3] += 200
+    net.class_bias[5] -= 100
+    kinds = np.concatenate([np.full(1500, 3), np.full(900, 4), rng.integers(8, net.classes - 2, 600)])
+    ids = rng.permutation(kinds + net.classes * rng.integers(0, net.members, len(kinds))).astype(np.uint16)
+    padded, at, _ = pseudo_lm._padded([ids[:1000].tobytes(), b"", ids[1000:].tobytes()])
+    at = at[rng.random(len(at)) < 0.7]
+    plain = {name: getattr(net, name).astype(float) for name in ("context", "bias", "to_class", "class_bias", "to_member", "member_bias")}
+    slopes = {name: np.zeros(x.shape) for name, x in plain.items()}
+    for a in at:
+        around, (member, kind) = padded[[a + o for o in pseudo_lm._OFFSETS]], divmod(int(padded[a]), net.classes)
+        h = np.tanh(plain["bias"] + sum(plain["context"][j][w] for j, w in enumerate(around)))
+        dh = np.zeros(len(h))
+        for weights, bias, which, dw, db in (
+            (plain["to_class"], plain["class_bias"], kind, slopes["to_class"], slopes["class_bias"]),
+            (plain["to_member"][kind], plain["member_bias"][kind], member, slopes["to_member"][kind], slopes["member_bias"][kind]),
+        ):
+            out = h @ weights + bias
+            e = np.exp(out - out.max())
+            e /= e.sum()
+            e[which] -= 1
+            e /= len(at)
+            dw += np.outer(h, e)
+            db += e
+            dh += weights @ e
+        dz = dh * (1 - h * h)
+        slopes["bias"] += dz
+        for j, w in enumerate(around):
+            slopes["context"][j][w] += dz
+    squares = pseudo_lm.Network(np.zeros(net.size(), np.float32))
+    net.step(squares, padded, at, 0.15)
+    for name, slope in slopes.items():
+        # Adagrad's first step is the slope over its size
+        want = plain[name] - 0.15 * slope / np.sqrt(slope * slope + 1e-10)
+        assert np.allclose(np.sqrt(getattr(squares, name)), abs(slope), rtol=1e-3, atol=1e-7), name
+        assert np.allclose(getattr(net, name), want, rtol=1e-4, atol=2e-3), name
+    assert all(net.tables[w].flags.c_contiguous and np.array_equal(net.tables[w], net.context[:, w]) for w in (0, 7, pseudo_lm.WORDS))
