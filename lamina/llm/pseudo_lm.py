@@ -17,7 +17,9 @@ part. Texts of any length are scored whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,14 @@ _RUN = 256
 _OFFSETS = tuple(o for o in range(-REACH, REACH + 1) if o)
 _CHUNK = 16_384
 #: Words whose outputs stay in a core's cache together.
-_CACHED = 2048
+_CACHED = 4096
 #: Words whose classes' members are taken together.
-_TOGETHER = 1024
+_TOGETHER = 1536
+#: Words whose embeddings move together, and places of a word from which on they are added up in one product.
+_MOVED, _OFTEN = 1024, 8
 _HELD = 400_000
+#: Bytes whose words are hashed together: the arrays of twice as many are big enough to be given back to the system and cleared again each time.
+_HASHED = 1 << 17
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +70,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             data, offsets = ta.bytes_of(batch.column(0))
-            for a, b in ta.groups(offsets):
+            for a, b in ta.groups(offsets, _HASHED):
                 held.append(np.unique(_word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], return_counts=True))
                 if sum(len(w) for w, _ in held) > _HELD:
                     held[:] = [merged(held)]
@@ -81,13 +87,35 @@ def rare_ids(size: int) -> int:
     return size // 4
 
 
+class _Places:
+    """Where words (hashes) are in an array of such that rises: a table by their first bits says where to begin."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, bits = np.append(words, np.iinfo(np.int64).max), len(words).bit_length() + 3
+        self.shift = np.uint64(64 - bits)
+        self.first = np.append(0, np.cumsum(np.bincount(self._key(words), minlength=1 << bits)))
+
+    def _key(self, words: np.ndarray) -> np.ndarray:
+        return ((words.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift).view(np.int64)
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        """As ``np.searchsorted``."""
+        place = self.first.take(self._key(words))
+        on = np.flatnonzero(self.words.take(place) < words)
+        while len(on):
+            place[on] += 1
+            on = on[self.words[place[on]] < words[on]]
+        return place
+
+
 class Vocabulary:
     """Ids 0 .. size - 1: the frequent words by falling count, then the shared ones."""
 
     def __init__(self, frequent: list[int], totals: list[int]):
         self.own, self.size = len(frequent), len(totals)
         order = np.argsort(np.array(frequent, np.int64), kind="stable")
-        self.sorted, self.ids = np.array(frequent, np.int64)[order], order
+        self.sorted, self.ids = np.array(frequent, np.int64)[order], order.astype(np.uint16)
+        self.places: _Places | None = None
         self.unigram = np.array(totals, float)
         #: What a shared id's log probability is lowered by before a word's own log count is added.
         self.log_total = np.zeros(self.size)
@@ -96,14 +124,13 @@ class Vocabulary:
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and which of the words share theirs."""
-        rare = rare_ids(self.size)
-        out = self.size - rare + (ta.mix(hashes.view(np.uint64)) % np.uint64(rare)).astype(np.int64)
-        hit = np.zeros(len(hashes), bool)
-        if self.own:
-            place = np.minimum(np.searchsorted(self.sorted, hashes), self.own - 1)
-            hit = self.sorted[place] == hashes
-            out[hit] = self.ids[place[hit]]
-        return out.astype(np.uint16), ~hit
+        self.places = self.places or _Places(self.sorted)
+        rare, place = np.uint64(rare_ids(self.size)), self.places(hashes)
+        sharing = self.places.words.take(place) != hashes
+        sharing |= place == self.own
+        out = np.append(self.ids, np.uint16(0)).take(place)
+        out[sharing] = self.size - int(rare) + (ta.mix(hashes[sharing].view(np.uint64)) % rare).astype(np.int64)
+        return out, sharing
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -129,46 +156,54 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in frequent], totals)
 
 
-def _safe(layer: np.ndarray) -> np.ndarray:
-    """Whether the exponentials of outputs of layers (the last two axes, the last row being biases) surely are neither too large nor all too small."""
-    reach, bias = np.abs(layer[..., :-1, :]).sum(axis=-2), layer[..., -1, :]
-    return ((bias + reach).max(axis=-1) < 80) & ((bias - reach).max(axis=-1) > -80)
+def _tanh(z: np.ndarray) -> np.ndarray:
+    """In place, by exponentials: 1 - 2 / (1 + exp(2z)), to 1e-7, faster than NumPy's own."""
+    z += z
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1
+    np.divide(-2, z, out=z)
+    z += 1
+    return z
+
+
+def _exponentials(x: np.ndarray, fill: Callable[[np.ndarray], object]) -> tuple[np.ndarray, np.ndarray | float]:
+    """The sums of the rows' exponentials, as a column, and what was taken off the rows first; the exponentials are left in place of ``x``.
+
+    Rows have their largest taken off only where exponentials turn out too large or all too small; ``fill`` makes ``x`` again for that.
+    """
+    ones, top = np.ones((x.shape[1], 1), np.float32), 0.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        sums = np.exp(x, out=x) @ ones
+    if not (sums.min() > 1e-30 and sums.max() < 1e30):
+        fill(x)
+        top = x.max(axis=1, keepdims=True)
+        x -= top
+        sums = np.exp(x, out=x) @ ones
+    return sums, top
 
 
-def _exponentials(x: np.ndarray, safe: bool) -> np.ndarray:
-    """The sums of the rows' exponentials, as a column; those are left in place of ``x``, whose rows have their largest taken off unless ``safe``."""
-    if not safe:
-        x -= x.max(axis=1, keepdims=True)
-    return np.exp(x, out=x) @ np.ones((x.shape[1], 1), np.float32)
+def _cells(x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` in one line, and where each row's ``which`` is in it."""
+    return x.reshape(-1), which + np.arange(0, x.size, x.shape[1])
 
 
-def _log_of(x: np.ndarray, safe: bool, which: np.ndarray) -> np.ndarray:
+def _log_of(x: np.ndarray, which: np.ndarray, fill: Callable[[np.ndarray], object]) -> np.ndarray:
     """Each row's log softmax at its ``which``; ``x`` is used up."""
-    if not safe:
-        x -= x.max(axis=1, keepdims=True)
-    got = x[np.arange(len(x)), which]
-    return got - np.log(_exponentials(x, True)[:, 0])
+    line, cells = _cells(x, which)
+    got = line.take(cells)
+    sums, top = _exponentials(x, fill)
+    return got - np.ravel(top) - np.log(sums[:, 0])
 
 
-def _softmax_error(x: np.ndarray, safe: bool, which: np.ndarray, n: int) -> np.ndarray:
+def _softmax_error(x: np.ndarray, which: np.ndarray, n: int, fill: Callable[[np.ndarray], object]) -> np.ndarray:
     """The gradient of -log softmax at ``which`` over ``n``, in place of ``x``, whose rows are words."""
-    x *= 1 / (_exponentials(x, safe) * np.float32(n))
-    x[np.arange(len(x)), which] -= np.float32(1 / n)
+    x *= 1 / (_exponentials(x, fill)[0] * np.float32(n))
+    line, cells = _cells(x, which)
+    line[cells] -= np.float32(1 / n)
     return x
 
 
-def _segment_sums(x: np.ndarray, by: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """The sums of the rows x[by[head[i]]] .. up to the next head: short segments row by row over all at once, long ones each in one sum."""
-    n = np.diff(np.append(head, len(by)))
-    sums, short = x[by[head]], np.flatnonzero((n > 1) & (n <= 8))
-    for k in range(1, 8):
-        short = short[n[short] > k]
-        sums[short] += x[by[head[short] + k]]
-    for i in np.flatnonzero(n > 8):
-        sums[i] = x[by[head[i] : head[i] + n[i]]].sum(axis=0)
-    return sums
-
-
 def _shapes(words: int) -> dict[str, tuple[int, ...]]:
     classes = 1 << (words.bit_length() - 1) // 2
     members = words // classes
@@ -209,105 +244,142 @@ class Network:
         net.member_bias[:] = np.log(by_class)
         return net
 
-    def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rows, z = self.tables.reshape(-1, WIDTH), None
+    def hidden(self, first: np.ndarray, at: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """In ``z``, the hidden values of the words at ``at``; ``first`` holds the numbers of each place's first embedding."""
+        rows, near = self.tables.reshape(-1, WIDTH), np.empty_like(z)
         for j, o in enumerate(_OFFSETS):
-            near = rows.take(padded[at + o].astype(np.int64) * len(_OFFSETS) + j, axis=0)
-            z = near if z is None else np.add(z, near, out=z)
+            # every id has its row: clipping only spares a copy
+            rows[j:].take(first[at + o], axis=0, out=near if j else z, mode="clip")
+            if j:
+                z += near
         z += self.bias
-        return np.tanh(z, out=z)
+        return _tanh(z)
 
-    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The order that sorts words by class, their members in it, and where each class begins."""
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """The order that sorts words by class, their classes and members in it, and where each class begins."""
         kind = (target % self.classes).astype(np.uint16)
         order = np.argsort(kind, kind="stable")
-        return order, (target // self.classes)[order], np.searchsorted(kind[order], np.arange(self.classes + 1))
+        kind = kind[order].astype(np.intp)
+        return order, kind, (target // self.classes)[order].astype(np.intp), np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
 
-    def _with_ones(self, padded: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """In ``out``, the hidden values of each word as a row that ends with a one."""
-        out[:, :-1] = self.hidden(padded, at)
+    def _with_ones(self, first: np.ndarray, at: np.ndarray, z: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """In ``z`` the hidden values of each word, in ``out`` the same as a row that ends with a one."""
+        out[:, :-1] = self.hidden(first, at, z)
         out[:, -1] = 1
         return out
 
-    def _member_outputs(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, bool]]:
-        """Some classes at a time that have few words together: the classes, their words, the outputs of their members for these, and whether those are safe."""
-        safe, first = _safe(self.member_layers), 0
+    def _together(self, bounds: list[int]) -> Iterator[range]:
+        """Some classes at a time that have few words together."""
+        first = 0
         while first < self.classes:
-            last = min(max(first + 1, int(np.searchsorted(bounds, bounds[first] + _TOGETHER, "right")) - 1), self.classes)
-            words = slice(int(bounds[first]), int(bounds[last]))
-            x = np.empty((words.stop - words.start, self.members), np.float32)
-            for c in range(first, last):
-                if bounds[c + 1] > bounds[c]:
-                    np.matmul(h[bounds[c] : bounds[c + 1]], self.member_layers[c], out=x[bounds[c] - words.start : bounds[c + 1] - words.start])
-            if len(x):
-                yield slice(first, last), words, x, bool(safe[first:last].all())
+            last = min(max(first + 1, bisect_right(bounds, bounds[first] + _TOGETHER) - 1), self.classes)
+            if bounds[last] > bounds[first]:
+                yield range(first, last)
             first = last
 
+    def _member_outputs(self, h: np.ndarray, bounds: list[int], classes: range, out: np.ndarray) -> np.ndarray:
+        """In ``out``, the outputs of the members of ``classes`` for these classes' words."""
+        start = bounds[classes.start]
+        for c in classes:
+            a, b = bounds[c], bounds[c + 1]
+            if b > a:
+                np.dot(h[a:b], self.member_layers[c], out=out[a - start : b - start])
+        return out
+
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the word at each of ``at``, given those around it."""
-        out, safe = np.empty(len(at)), _safe(self.class_layer)
+        out = np.empty(len(at))
         for first in range(0, len(at), _CHUNK):
             own = at[first : first + _CHUNK]
-            target = padded[own].astype(np.int64)
-            order, member, bounds = self._by_class(target)
-            kind, h, got = target[order] % self.classes, np.empty((len(own), WIDTH + 1), np.float32), np.empty(len(own))
+            low, high = int(own.min()) - REACH, int(own.max()) + REACH + 1
+            order, kind, member, bounds = self._by_class(padded[own])
+            place, h, got = own[order] - low, np.empty((len(own), WIDTH + 1), np.float32), np.empty(len(own))
+            z = np.empty((_CACHED, WIDTH), np.float32)
+            numbers = padded[low:high].astype(np.intp) * len(_OFFSETS)
             for begin in range(0, len(own), _CACHED):
                 some = slice(begin, begin + _CACHED)
-                got[some] = _log_of(self._with_ones(padded, own[order[some]], h[some]) @ self.class_layer, safe, kind[some])
-            for _, words, x, safe_members in self._member_outputs(h, bounds):
-                got[words] += _log_of(x, safe_members, member[words])
+                part = self._with_ones(numbers, place[some], z[: len(place[some])], h[some])
+                got[some] = _log_of(part @ self.class_layer, kind[some], partial(np.matmul, part, self.class_layer))
+            for classes in self._together(bounds):
+                words, fill = slice(bounds[classes.start], bounds[classes.stop]), partial(self._member_outputs, h, bounds, classes)
+                got[words] += _log_of(fill(np.empty((words.stop - words.start, self.members), np.float32)), member[words], fill)
             out[first + order] = got
         return out
 
     def step(self, squares: Network, padded: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One Adagrad step on the words at ``at``, which rises; ``squares`` holds the sums of squared gradients."""
-        n = len(at)
-        target = padded[at].astype(np.int64)
-        order, member, bounds = self._by_class(target)
-        kind, place = target[order] % self.classes, at[order]
-        h, dh, gradient = np.empty((n, WIDTH + 1), np.float32), np.empty((n, WIDTH), np.float32), np.zeros((WIDTH + 1, self.classes), np.float32)
-        safe = _safe(self.class_layer)
+        n, low, high = len(at), int(at[0]) - REACH, int(at[-1]) + REACH + 1
+        padded, at = padded[low:high], at - low
+        order, kind, member, bounds = self._by_class(padded[at])
+        place, numbers = at[order], padded.astype(np.intp) * len(_OFFSETS)
+        h, gradient = np.empty((n, WIDTH + 1), np.float32), np.zeros((WIDTH + 1, self.classes), np.float32)
+        z, dh = np.empty((n, WIDTH), np.float32), np.empty((n, WIDTH), np.float32)
         for first in range(0, n, _CACHED):
             own = slice(first, first + _CACHED)
-            part = self._with_ones(padded, place[own], h[own])
-            d = _softmax_error(part @ self.class_layer, safe, kind[own], n)
+            part = self._with_ones(numbers, place[own], z[own], h[own])
+            d = _softmax_error(part @ self.class_layer, kind[own], n, partial(np.matmul, part, self.class_layer))
             np.matmul(d, self.to_class.T, out=dh[own])
             gradient += part.T @ d
-        for classes, words, x, safe_members in self._member_outputs(h, bounds):
-            e, back = _softmax_error(x, safe_members, member[words], n), np.empty((len(x), WIDTH), np.float32)
-            members = np.zeros((classes.stop - classes.start, WIDTH + 1, self.members), np.float32)
-            for c in range(classes.start, classes.stop):
-                if bounds[c + 1] > bounds[c]:
-                    own = slice(bounds[c] - words.start, bounds[c + 1] - words.start)
-                    np.matmul(e[own], self.to_member[c].T, out=back[own])
-                    np.matmul(h[bounds[c] : bounds[c + 1]].T, e[own], out=members[c - classes.start])
+        for classes in self._together(bounds):
+            start, words, fill = bounds[classes.start], slice(bounds[classes.start], bounds[classes.stop]), partial(self._member_outputs, h, bounds, classes)
+            e = _softmax_error(fill(np.empty((words.stop - start, self.members), np.float32)), member[words], n, fill)
+            back, members = np.empty((len(e), WIDTH), np.float32), np.zeros((len(classes), WIDTH + 1, self.members), np.float32)
+            for c in classes:
+                a, b = bounds[c], bounds[c + 1]
+                if b > a:
+                    own = e[a - start : b - start]
+                    np.dot(own, self.to_member[c].T, out=back[a - start : b - start])
+                    np.dot(h[a:b].T, own, out=members[c - classes.start])
             dh[words] += back
             # other classes' words do not read these layers, so they move while they are in the core's cache
-            _move(self.member_layers[classes], squares.member_layers[classes], members, rate)
+            moved = slice(classes.start, classes.stop)
+            _move(self.member_layers[moved], squares.member_layers[moved], members, rate)
         _move(self.class_layer, squares.class_layer, gradient, rate)
-        # a word seen at place p took part in the words at p - REACH .. p + REACH: one row of ``around``
-        low, high = int(at[0]) - REACH, int(at[-1]) + REACH + 1
-        dz = np.zeros((high - low + 2 * REACH, WIDTH), np.float32)
-        dh *= 1 - h[:, :-1] * h[:, :-1]
-        dz[place - low + REACH] = dh
-        _move(self.bias, squares.bias, dh.sum(axis=0), rate)
-        around = np.lib.stride_tricks.as_strided(dz, (high - low, (2 * REACH + 1) * WIDTH), dz.strides, writeable=False)
-        seen = padded[low:high]
+        z *= z
+        np.subtract(1, z, out=z)
+        dh *= z
+        _move(self.bias, squares.bias, np.ones(n, np.float32) @ dh, rate)
+        dz = np.zeros((len(padded) + 2 * REACH, WIDTH), np.float32)
+        dz[place + REACH] = dh
+        self._move_embeddings(squares, padded, dz, rate)
+
+    def _move_embeddings(self, squares: Network, seen: np.ndarray, dz: np.ndarray, rate: float) -> None:
+        """``dz``: the gradients of the sums at the places of ``seen``, with ``REACH`` places more on either side.
+
+        A word's gradient at all positions is the sum over its places; words go by falling number of places, some at a time that stay in a core's cache.
+        """
         by = np.argsort(seen, kind="stable")
         words = seen[by]
         head = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        sums = _segment_sums(around, by, head)
-        self._move_rows(squares, words[head], np.concatenate([sums[:, (REACH - o) * WIDTH : (REACH - o + 1) * WIDTH] for o in _OFFSETS], axis=1), rate)
-
-    def _move_rows(self, squares: Network, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
-        """Of the embeddings; no row stands twice."""
-        total, own = (x.tables.reshape(len(x.tables), -1) for x in (squares, self))
-        change = gradient * gradient
-        change += total.take(rows, axis=0)
-        total[rows] = change
-        moved = own.take(rows, axis=0)
-        moved -= _change(gradient, change, change, rate)
-        own[rows] = moved
+        n = np.diff(np.append(head, len(by)))
+        falling = np.argsort(-n, kind="stable")
+        head, n, words = head[falling], n[falling], words[head[falling]].astype(np.intp)
+        # a word seen at place p took part in the sum at p - o as what stands o places on
+        around, width = np.array([REACH - o for o in _OFFSETS]), len(_OFFSETS) * WIDTH
+
+        def rows(places: np.ndarray) -> np.ndarray:
+            return dz.take(places[:, None] + around, axis=0, mode="clip").reshape(len(places), width)
+
+        total, own = (x.tables.reshape(len(x.tables), width) for x in (squares, self))
+        for first in range(0, len(words), _MOVED):
+            some = slice(first, first + _MOVED)
+            at, count, which = head[some], n[some], words[some]
+            gradient = rows(by[at])
+            often = int(np.searchsorted(-count, -_OFTEN, "left"))
+            if often:
+                many = rows(np.concatenate([by[a : a + m] for a, m in zip(at[:often].tolist(), count[:often].tolist(), strict=True)]))
+                ends = np.cumsum(count[:often]).tolist()
+                for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                    gradient[i] = np.ones(b - a, np.float32) @ many[a:b]
+            for k in range(1, min(int(count[often]), _OFTEN) if often < len(count) else 0):
+                more = int(np.searchsorted(-count, -k, "left"))
+                gradient[often:more] += rows(by[at[often:more] + k])
+            change = gradient * gradient
+            change += total.take(which, axis=0)
+            total[which] = change
+            moved = own.take(which, axis=0)
+            moved -= _change(gradient, change, change, rate)
+            own[which] = moved
 
 
 def _move(own: np.ndarray, total: np.ndarray, gradient: np.ndarray, rate: float) -> None:
@@ -349,7 +421,7 @@ def token_ids(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         row = int(TaskContext.get().partitionId()) << 33
         for batch in batches:
             data, offsets = ta.bytes_of(batch.column(1))
-            for a, b in ta.groups(offsets):
+            for a, b in ta.groups(offsets, _HASHED):
                 hashes, bounds = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got, sharing = vocabulary(hashes)
                 rare, to = hashes[sharing], np.append(0, np.cumsum(sharing))[bounds]
@@ -398,18 +470,20 @@ def rare_logs(tokens: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
         counted = np.flatnonzero(blocks < 0)
         w, n = (np.concatenate([np.frombuffer(x[int(i)].as_buffer(), np.int64) for i in counted] or [np.zeros(0, np.int64)]) for x in (words, at))
         order = np.argsort(w)
-        w, logs = w[order], np.log(n[order])
+        places, logs = _Places(w[order]), np.log(n[order])
         out: list[tuple[int, bytes, bytes]] = []
         for i in np.flatnonzero(blocks >= 0):
-            rows, inverse = np.unique(np.frombuffer(at[int(i)].as_buffer(), np.uint16), return_inverse=True)
-            sums = np.bincount(inverse, logs[np.searchsorted(w, np.frombuffer(words[int(i)].as_buffer(), np.int64))])
-            out.append((int(blocks[i]), rows.tobytes(), sums.tobytes()))
+            rows = np.frombuffer(at[int(i)].as_buffer(), np.uint16)
+            # rows rise, as they were dealt
+            head = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            sums = np.add.reduceat(logs.take(places(np.frombuffer(words[int(i)].as_buffer(), np.int64))), head)
+            out.append((int(blocks[i]), rows[head].tobytes(), sums.tobytes()))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "at": pa.array([x[1] for x in out], pa.binary()), "logs": pa.array([x[2] for x in out], pa.binary())})
 
     def by_row(table: pa.Table) -> pa.Table:
         sums = np.zeros(_BLOCK)
         for at, logs in zip(table.column("at"), table.column("logs"), strict=True):
-            sums[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(logs.as_buffer())
+            np.add.at(sums, np.frombuffer(at.as_buffer(), np.uint16), np.frombuffer(logs.as_buffer()))
         rows = np.flatnonzero(sums)
         return pa.table({"row": pa.array(rows + table.column("block")[0].as_py() * _BLOCK), "logs": pa.array(sums[rows])})
 

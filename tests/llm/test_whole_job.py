@@ -4,6 +4,7 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.llm import common, pretokens, pseudo_lm, quality_rules, suffix_dedup
@@ -331,3 +332,44 @@ def test_a_step_is_that_of_plain_sums():
         assert np.allclose(np.sqrt(getattr(squares, name)), abs(slope), rtol=1e-3, atol=1e-7), name
         assert np.allclose(getattr(net, name), want, rtol=1e-4, atol=2e-3), name
     assert all(net.tables[w].flags.c_contiguous and np.array_equal(net.tables[w], net.context[:, w]) for w in (0, 7, pseudo_lm.WORDS))
+
+
+def test_words_are_counted_in_pieces_that_stay_in_memory(spark, monkeypatch):
+    """Texts of a batch are hashed some at a time, at most 128 KiB unless one is longer; the counts are those of all words."""
+    from unittest.mock import MagicMock
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, n)) for n in (9000, 9000, 1, 20_000, 60_000, 9000, 0, 9000, 9000, 9000)]
+    docs, seen, hashed = MagicMock(), [], pseudo_lm._word_hashes
+    pseudo_lm.count_words(docs)
+    work = docs.select.return_value.mapInArrow.call_args[0][0]
+    monkeypatch.setattr(pseudo_lm, "_word_hashes", lambda data, offsets: seen.append(len(data)) or hashed(data, offsets))
+    got = collections.Counter()
+    for batch in work(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got[word] += n
+    assert sum(seen) == sum(map(len, texts)) and all(n <= 1 << 17 or n in map(len, texts) for n in seen)
+    want = collections.Counter(w for t in texts for w in t.split())
+    assert sorted(got.values()) == sorted(want.values())
+
+
+def test_ids_are_those_of_a_plain_lookup():
+    """Words at either end of all numbers, many that begin alike, unknown ones between them, and no frequent words at all."""
+    rng = np.random.default_rng(9)
+    ends = np.iinfo(np.int64)
+    known = np.unique(np.concatenate([rng.integers(ends.min, ends.max, 500), np.arange(300) * 2 + (1 << 40), [ends.min, -1, 0, ends.max]]))
+    asked = np.concatenate([known, known[:-1] + 1, rng.integers(ends.min, ends.max, 2000), np.arange(700) + (1 << 40), [ends.max - 1]])
+    for frequent in (known, known[:-1], known[:0]):
+        assert np.array_equal(pseudo_lm._Places(frequent)(asked), np.searchsorted(frequent, asked))
+        mixed = rng.permutation(frequent).tolist()
+        of = {w: i for i, w in enumerate(mixed)}
+        vocabulary = pseudo_lm.Vocabulary(mixed, [1] * pseudo_lm.WORDS)
+        ids, sharing = vocabulary(asked)
+        assert ids.dtype == np.uint16 and sharing.tolist() == [w not in of for w in asked.tolist()]
+        assert [i for i, s in zip(ids.tolist(), sharing, strict=True) if not s] == [of[w] for w in asked.tolist() if w in of]
+        assert not sharing.any() or ids[sharing].min() >= pseudo_lm.WORDS - pseudo_lm.rare_ids(pseudo_lm.WORDS)
+
+
+def test_hyperbolic_tangents():
+    z = np.array([[0, 1e-6, -0.01, 0.3, -1, 4, -12, 60, -60, 1000, -1000]], np.float32)
+    assert np.allclose(pseudo_lm._tanh(z.copy()), np.tanh(z.astype(float)), rtol=0, atol=3e-7)
