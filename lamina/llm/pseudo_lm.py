@@ -52,8 +52,18 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return ta.word_hash(data, starts, ends).view(np.int64), bounds
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n): 64-bit hashes of words and their counts over all documents; workers add up before the shuffle."""
+def _by_part(words: np.ndarray, values: np.ndarray, parts: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """The parts that words go to by hash, and per part its words and their values, packed in the order in which they stand."""
+    part = (ta.mix(words.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    return full.astype(np.int32), [pa.array([x[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()) for x in (words[order], values[order])]
+
+
+def count_words(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """(word, n): 64-bit hashes of words and their counts over all documents; workers add up before the shuffle, which packs them by part."""
+    dealt_to = parts or common.parts_for(docs, 16 << 20)
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -64,9 +74,9 @@ def count_words(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            words, n = merged(held)
+            part, blobs = _by_part(*merged(held), dealt_to)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(part), *blobs], names=["part", "words", "n"])
 
         for batch in batches:
             data, offsets = ta.bytes_of(batch.column(0))
@@ -79,7 +89,11 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(ta.lean(counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def summed(table: pa.Table) -> pa.Table:
+        words, n = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]) for c in ("words", "n"))
+        return pa.table(dict(zip(("word", "n"), merged([(words, n)]), strict=True)))
+
+    return docs.select("text").mapInArrow(ta.lean(counts), "part int, words binary, n binary").groupBy("part").applyInArrow(ta.lean(summed), "word long, n long")
 
 
 def rare_ids(size: int) -> int:
@@ -443,13 +457,8 @@ def rare_logs(tokens: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     """
 
     def packed(words: np.ndarray, block: int, at: np.ndarray) -> pa.RecordBatch:
-        part = (ta.mix(words.view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        words, at = words[order], at[order]
-        full = np.flatnonzero(bounds[1:] > bounds[:-1])
-        blobs = [pa.array([x[bounds[p] : bounds[p + 1]].tobytes() for p in full], pa.binary()) for x in (words, at)]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block)), *blobs], names=["part", "block", "words", "at"])
+        part, blobs = _by_part(words, at, parts)
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), *blobs], names=["part", "block", "words", "at"])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -582,8 +591,9 @@ def score(tokens: DataFrame, net: Network, vocabulary: Vocabulary, logs: DataFra
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Count, train and score over all of ``docs``."""
-    counts = common.stage(count_words(docs), "counts")
+    parts = common.parts_for(docs, 16 << 20)
+    counts = common.stage(count_words(docs, parts), "counts")
     vocabulary = build_vocabulary(counts)
     tokens = common.stage(token_ids(docs, vocabulary), "tokens")
-    logs = rare_logs(tokens, counts, common.parts_for(docs, 16 << 20))
+    logs = rare_logs(tokens, counts, parts)
     return score(tokens, train(tokens, vocabulary), vocabulary, logs)

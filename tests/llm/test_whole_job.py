@@ -341,13 +341,14 @@ def test_words_are_counted_in_pieces_that_stay_in_memory(spark, monkeypatch):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, n)) for n in (9000, 9000, 1, 20_000, 60_000, 9000, 0, 9000, 9000, 9000)]
     docs, seen, hashed = MagicMock(), [], pseudo_lm._word_hashes
-    pseudo_lm.count_words(docs)
+    pseudo_lm.count_words(docs, 3)
     work = docs.select.return_value.mapInArrow.call_args[0][0]
     monkeypatch.setattr(pseudo_lm, "_word_hashes", lambda data, offsets: seen.append(len(data)) or hashed(data, offsets))
     got = collections.Counter()
     for batch in work(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
-        for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            got[word] += n
+        for words, n in zip(batch["words"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            for word, m in zip(np.frombuffer(words, np.int64).tolist(), np.frombuffer(n, np.int64).tolist(), strict=True):
+                got[word] += m
     assert sum(seen) == sum(map(len, texts)) and all(n <= 1 << 17 or n in map(len, texts) for n in seen)
     want = collections.Counter(w for t in texts for w in t.split())
     assert sorted(got.values()) == sorted(want.values())
